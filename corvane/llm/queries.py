@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, media, secret_scan
+from corvane.llm import bpe, decontaminate, media, secret_scan
 from corvane.session import table
 
 
@@ -31,9 +31,14 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.contamination(docs.select("doc_id", "text"), bench))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_bpe_roundtrip, op7_media_columns)}
+    return {f.__name__: f for f in (op3_secret_scan, op6_bpe_roundtrip, op7_media_columns, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.oracle()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, media, secret_scan
+from corvane.llm import bpe, decontaminate, media, neardup, secret_scan
 from corvane.session import table
 
 
@@ -36,8 +36,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(docs.select("doc_id", "text"), bench))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_bpe_roundtrip, op7_media_columns, op8_decontaminate)}
+    return {f.__name__: f for f in (op3_secret_scan, op6_bpe_roundtrip, op7_media_columns, op8_decontaminate, op9_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,7 +56,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of the column each, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -76,12 +76,14 @@ def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, share: int =
     all the other keys are joined by a shuffle, in which no key is large. small is read twice: pass a
     written table. The weight column is dropped from the result.
     """
-    total = small.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).first()["t"]
-    hot = small.where(F.col(weight) * share > F.lit(total)).drop(weight)
-    rest = small.where(F.col(weight) * share <= F.lit(total)).drop(weight)
     values = [c for c in small.columns if c not in (key, weight)]
-    first = big.join(F.broadcast(hot.withColumnsRenamed({c: f"hot_{c}" for c in values}).withColumn("is_hot", F.lit(True))), key, "left")
-    # A hot row needs no partner below: it gets a key of its own, which spreads it.
-    first = first.withColumn("cold_key", F.when(F.col("is_hot"), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key).cast("string")))
-    second = first.join(rest.withColumn("cold_key", F.col(key).cast("string")).drop(key), "cold_key", "left")
+    size = small.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t"), F.coalesce(F.max(weight), F.lit(0)).alias("m")).first()
+    if size["m"] * share <= size["t"]:  # no key is large
+        return big.join(small.drop(weight), key, "left").select(*big.columns, *values)
+    is_hot = F.col(weight) * share > F.lit(size["t"])
+    hot = small.where(is_hot).drop(weight).withColumnsRenamed({c: f"hot_{c}" for c in values}).withColumn("is_hot", F.lit(True))
+    rest = small.where(~is_hot).drop(weight).withColumn("spread", F.lit(0).cast("bigint"))
+    # A hot row needs no partner in the second join: a number of its own spreads it.
+    first = big.join(F.broadcast(hot), key, "left").withColumn("spread", F.when(F.col("is_hot"), 1 + F.monotonically_increasing_id()).otherwise(F.lit(0).cast("bigint")))
+    second = first.join(rest, [key, "spread"], "left")
     return second.select(*big.columns, *[F.coalesce(F.col(f"hot_{c}"), F.col(c)).alias(c) for c in values])

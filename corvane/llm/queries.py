@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, media, neardup, secret_scan
+from corvane.llm import bpe, decontaminate, media, neardup, secret_scan, token_output
 from corvane.session import table
 
 
@@ -40,8 +40,12 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_shards(token_output.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_bpe_roundtrip, op7_media_columns, op8_decontaminate, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op3_secret_scan, op6_bpe_roundtrip, op7_media_columns, op8_decontaminate, op9_minhash_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, media, neardup, secret_scan, token_output
+from corvane.llm import bpe, decontaminate, media, neardup, quality, secret_scan, token_output
 from corvane.session import table
 
 
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -45,7 +49,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_bpe_roundtrip, op7_media_columns, op8_decontaminate, op9_minhash_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_quality_classifier, op6_bpe_roundtrip, op7_media_columns, op8_decontaminate, op9_minhash_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -123,13 +123,13 @@ def without_documents(docs: DataFrame, bench: DataFrame, key: str = "doc_id", mo
 
 def without_spans(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """docs with the covered words cut out of the text, each with what stands before it since the last word."""
-    found = contamination(docs.select(key, text), bench, n, text).where(F.col("n_hit") > 0).select(F.col(key).alias("cut_key"), "places")
+    found = contamination(docs.select(key, text), bench, n, text).where(F.col("n_hit") > 0).select(F.col(key).alias("cut_key"), F.col("places").alias("cut_places"))
     upper = NOT_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # the same words, before lower-casing
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"[{upper}]*[^{upper}]+|[{upper}]+$"), F.lit(0))
-    inside = lambda i: F.exists("places", lambda p: (i >= p["place"]) & (i < p["place"] + p["size"]))
+    inside = lambda i: F.exists("cut_places", lambda p: (i >= p["place"]) & (i < p["place"] + p["size"]))
     kept = F.array_join(F.filter(pieces, lambda x, i: ~inside(i)), "")
     joined = docs.join(found, docs[key] == found["cut_key"], "left")
-    return joined.select(*[F.when(F.col("places").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col("cut_places").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else docs[c] for c in docs.columns])
 
 
 def oracle(n: int = N) -> str:

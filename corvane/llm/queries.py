@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, media, neardup, quality, secret_scan, token_output
+from corvane.llm import bpe, decontaminate, language_id, license_scan, media, neardup, quality, quote_linking, secret_scan, token_output
 from corvane.session import table
 
 
@@ -18,6 +18,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
 
@@ -26,6 +34,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_linking.threads(table(spark, sf_dir, "conversations"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -48,9 +60,23 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_shards(token_output.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+_ALL = (
+    op1_language_id,
+    op2_license_scan,
+    op3_secret_scan,
+    op4_quality_classifier,
+    op5_quote_linking,
+    op6_bpe_roundtrip,
+    op7_media_columns,
+    op8_decontaminate,
+    op9_minhash_dedup,
+    op10_token_output,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_quality_classifier, op6_bpe_roundtrip, op7_media_columns, op8_decontaminate, op9_minhash_dedup, op10_token_output)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "op8_decontaminate": decontaminate.oracle()}

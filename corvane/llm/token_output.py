@@ -18,7 +18,7 @@ END = 2
 #: A shard's most ids before compression: bounds what a worker holds; a partition writes as many shards as it needs.
 SHARD_IDS = 4 << 20
 #: Rounds of replacing, pairs in a round, the fewest occurrences worth a rule, and the share of symbols below which a round is the last.
-ROUNDS, PER_ROUND, LEAST, GAIN = 8, 4096, 8, 0.02
+ROUNDS, PER_ROUND, LEAST, GAIN = 5, 4096, 8, 0.03
 #: Different words that a worker keeps with their ids.
 KEPT_WORDS = 1_200_000
 MAGIC = b"RPG1"
@@ -185,6 +185,8 @@ class WordEncoder:
         if len(self.words) > KEPT_WORDS:
             self._clear()
         look = self.words.__getitem__
+        # The tokenizer lower-cases; doing so here first makes fewer words, but might make a special token's name.
+        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
         numbers = [np.fromiter(map(look, t.replace("\n", " ").split(" ")), np.int32) for t in texts]
         self._learn()
         words = np.concatenate(numbers)

@@ -17,8 +17,8 @@ from corvane.llm.common import blocks, buffers, lookup, python_ready, text_or_em
 K, PERMS, BANDS = 5, 128, 32
 #: Linked from so many hundredths on; a pair isn't verified if its signatures agree in less than LEAST (4.5 standard errors below).
 PERCENT, LEAST = 75, 0.58
-#: Members of a bucket up to which all its pairs between components are listed; rows of a block beyond it.
-SMALL, BLOCK = 24, 1024
+#: Members of a group up to which all its pairs between components are listed; rows of a block beyond it.
+SMALL, BLOCK = 6, 512
 #: Up to so many ids (16 MB) are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -119,45 +119,70 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _close(rows: pa.Table, cap: int) -> pa.Table:
-    """Of one block or pair of blocks: for each two components the `cap` most alike pairs that may be links; how many more there are."""
+def _joined(rows: pa.Table) -> pa.Table:
+    """Links between the components of one block, or of two: enough of them to join all that full sets confirm."""
     node, part = np.asarray(rows["node"]), np.asarray(rows["component"])
     sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(node), PERMS)
-    side, one = np.asarray(rows["side"]), rows["bi"][0].as_py() == rows["bj"][0].as_py()
+    lists = rows["values"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, offs = np.asarray(lists.values), np.asarray(lists.offsets).astype(np.int64)
+    size = np.diff(offs)
+    one = rows["bi"][0].as_py() == rows["bj"][0].as_py()
+    side = np.asarray(rows["side"])
     left, right = (np.arange(len(node)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    part = part.copy()
     found = []
     for i in left.tolist():
-        others = right[(part[right] != part[i]) & ((node[right] > node[i]) if one else True)]
-        if len(others):
-            same = (sketch[others] == sketch[i]).sum(1)
-            ok = same >= LEAST * PERMS
-            found += [(min(part[i], part[j]), max(part[i], part[j]), -s, *sorted((node[i], node[j]))) for j, s in zip(others[ok].tolist(), same[ok].tolist(), strict=True)]
-    out, more, seen = [], 0, {}
-    for p, q, _, a, b in sorted(found):
-        seen[p, q] = seen.get((p, q), 0) + 1
-        if seen[p, q] <= cap:
-            out.append((a, b))
-        else:
-            more += 1
-    if more:
-        out.append((-1, -1))
-    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-
-def _residual(rows: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
-    """Candidate pairs between components inside the buckets; a row (-1, -1) where the cap held some back."""
-    stats = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")), "buckets")
-    live = lookup(rows, stats.select("bucket", F.col("n").alias("members"), (F.col("lo") < F.col("hi")).alias("open"), "n"), "bucket", "n").where("open")
-    live = written(live, "open")
-    few = live.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))
+        others = right[(right > i) & (part[right] != part[i])] if one else right[part[right] != part[i]]
+        others = others[np.minimum(size[others], size[i]) * 100 >= np.maximum(size[others], size[i]) * PERCENT]
+        others = others[(sketch[others] == sketch[i]).sum(1) >= LEAST * PERMS]
+        if not len(others):
+            continue
+        own = flat[offs[i] : offs[i + 1]]
+        own = np.sort(own)
+        many = np.concatenate([flat[offs[j] : offs[j + 1]] for j in others.tolist()])
+        hit = own[np.minimum(np.searchsorted(own, many), len(own) - 1)] == many
+        common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[others])[:-1]]), dtype=np.int64)
+        for j in others[common * 100 >= (size[others] + size[i] - common) * PERCENT].tolist():
+            if part[j] != part[i]:
+                found.append((min(node[i], node[j]), max(node[i], node[j])))
+                part[part == part[j]] = part[i]
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """rows (lead, node, component) of the groups that hold several components, with the group's figures."""
+    each = rows.groupBy("lead", "component").agg(F.count(F.lit(1)).alias("m"))
+    stats = each.groupBy("lead").agg(F.sum("m").alias("n"), F.max("m").alias("n_main"), F.max_by("component", F.struct("m", "component")).alias("main"))
+    stats = written(stats.withColumns({"members": F.col("n")}), "groups")
+    return written(lookup(rows, stats, "lead", "n").where(F.col("n_main") < F.col("members")), "open")
+
+
+def _listed(live: DataFrame) -> DataFrame:
+    """All pairs between components in groups of SMALL members at most."""
+    few = live.where(F.col("members") <= SMALL).groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))
     pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, SMALL), lambda y: y["component"] != x["component"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    small = few.select(F.inline(pair)).distinct()
-    many = live.where(F.col("members") > SMALL).withColumn("k", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    many = many.select("bucket", "node", "component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    many = many.join(nodes.select("node", "sketch"), "node")
-    large = many.groupBy("bucket", "bi", "bj").applyInArrow(lambda t: _close(t, cap), "a bigint, b bigint").distinct()
-    return small.unionByName(large)
+    return few.select(F.inline(pair)).distinct()
+
+
+def _in_blocks(live: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components in larger groups.
+
+    The members outside a group's largest component are dealt into blocks; each block meets itself, every
+    other such block, and every block of the largest component. So a row of that component, which may
+    have most of all rows, is sent as often as there are blocks of others: mostly once.
+    """
+    many = live.where(F.col("members") > SMALL)
+    many = many.withColumn("p", F.ceil((F.col("members") - F.col("n_main")) / BLOCK).cast("int")).withColumn("q", F.ceil(F.col("n_main") / BLOCK).cast("int"))
+    is_main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("q")).otherwise(F.col("p"))).cast("int")
+    many = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1))))
+    low = F.when(is_main, F.col("other")).otherwise(F.least("own", "other"))
+    high = F.when(is_main, F.col("p") + F.col("own")).otherwise(F.greatest("own", "other"))
+    side = (is_main | (F.col("own") > F.col("other"))).cast("int")
+    many = many.select("lead", "node", "component", low.alias("bi"), high.alias("bj"), side.alias("side"))
+    many = many.join(nodes.select("node", "sketch").join(sets, "node"), "node")
+    return many.groupBy("lead", "bi", "bj").applyInArrow(_joined, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,9 +190,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Rows of equal sets are one class first, so copies never meet each other below. A class's signature is
     cut into bands; in each bucket of a band a class is first verified against the smallest one it meets.
-    What a bucket still holds in different components is then compared: small buckets by all such pairs,
-    large ones block by block on signatures, most alike pairs first, in growing portions until none is
-    left. Every link is confirmed on full sets, and no candidate is dropped. Null, empty and blank texts
+    What buckets with the same smallest class still hold in different components is then compared: small
+    groups by all such pairs, large ones block by block, where a worker compares signatures, then full
+    sets, and returns only links that join components. Every link is confirmed on full sets, and no
+    candidate is dropped. Null, empty and blank texts
     have no set and are linked with nothing. Other columns aren't read.
     """
     python_ready(docs.sparkSession)
@@ -180,20 +206,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     met = written(met, "met")
     sets = written(full_sets(docs, key, text, met.select("node").distinct()), "sets")
     pairs = met.groupBy("node").agg(F.min("first").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
+    pairs = written(pairs, "pairs")
     links = written(verified(pairs, sets), "links")
-    tested = written(pairs, "tested")
-    parts, cap = written(components(links), "parts"), 8
-    while True:
-        now = met.select("node", "bucket").join(parts, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
-        found = written(_residual(written(now, "now"), nodes, cap), "residual")
-        more = not found.where("a < 0").isEmpty()
-        fresh = written(found.where("a >= 0").join(tested, ["a", "b"], "left_anti"), "fresh")
-        new = written(verified(fresh, sets), "links")
-        if not new.isEmpty():
-            parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "parts")
-        if not more:
-            break
-        tested, cap = tested.unionByName(fresh), cap * 16
+    parts = written(components(links), "parts")
+    # Members of a bucket share its smallest one; buckets with the same one are one group, so bands repeat little.
+    rows = met.select(F.col("first").alias("lead"), "node").distinct().join(parts, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("component"))
+    live = _open(written(rows, "rows"))
+    fresh = _listed(live).join(pairs, ["a", "b"], "left_anti")
+    new = written(verified(fresh, sets).unionByName(_in_blocks(live, nodes, sets)), "links")
+    parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "parts")
     known = classes.join(parts, "node", "left").select("set_id", "n", F.coalesce("component", "node").alias("component"))
     out = lookup(seen.select("key", "n_shingles", "set_id"), written(known, "known"), "set_id", "n")
     out = out.withColumn("component_id", F.coalesce("component", "key"))

@@ -53,7 +53,7 @@ def corpus(seed, n):
     return texts | {2: None, 5: "", 8: " \n ", 11: "a b c", 14: "A  b\tC", 17: "a b c d", 20: "\xa0a b c", 9001: "x " * 20000, 9002: "x " * 15000}
 
 
-@pytest.mark.parametrize("small, block", [(24, 1024), (3, 16)])
+@pytest.mark.parametrize("small, block", [(6, 512), (2, 16), (1000, 1)])
 def test_as_all_pairs(spark, monkeypatch, small, block):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", block)

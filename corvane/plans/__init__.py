@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from corvane.plans import pool_queries  # noqa: F401
+from corvane.plans import join_queries, pool_queries  # noqa: F401
 from corvane.plans.registry import ORACLES, QUERIES  # noqa: F401

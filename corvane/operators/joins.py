@@ -62,7 +62,6 @@ def merged_shards(shards: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame
     return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def shard_of(rows: DataFrame, n: int, total: int | None = None) -> DataFrame:
-    """rows (with `ordinal`, from 0) and their shard: strided, and contiguous by ceiling division."""
-    size = F.lit(-(-total // n)) if total is not None else F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / n)
-    return rows.withColumns({"strided": F.pmod("ordinal", F.lit(n)), "contiguous": F.floor(F.col("ordinal") / size)})
+def shard_of(rows: DataFrame, n: int) -> DataFrame:
+    """Numbered rows (see `order.numbered`) with their shard: strided, and contiguous by ceiling division."""
+    return rows.withColumns({"strided": F.pmod("ordinal", F.lit(n)), "contiguous": F.floor(F.col("ordinal") / F.ceil(F.col("total") / n))})

@@ -1,4 +1,4 @@
-"""Ranks and order statistics over a whole table without a task that holds all rows."""
+"""Ranks, running sums and order statistics over a whole table without a task that holds all rows."""
 
 from __future__ import annotations
 
@@ -6,25 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, *order: str | Column) -> tuple[DataFrame, int]:
-    """rows with `ordinal`, 0, 1, ... in a total order, and their number.
+def with_part(rows: DataFrame, by: str, parts: int | None = None) -> DataFrame:
+    """rows with `_part`: the place of `by` among quantiles of the column, so that parts follow each other.
 
-    Rows are dealt by ranges of the order; a partition numbers its own, and adds how many rows the
-    partitions before it have: one number per partition, which is all that the driver sees.
+    The bounds are literals of the plan: every execution deals rows alike, which range partitioning with
+    its sampling does not promise. Null is in the first part, NaN in the last.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    # monotonically_increasing_id counts from 0 in a partition, in the order of its rows.
-    dealt = dealt.withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
-    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    base, total = {}, 0
-    for part in sorted(sizes):
-        base[part], total = total, total + sizes[part]
-    starts = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.lit(None).cast("map<int,int>")
-    return dealt.withColumn("ordinal", (F.coalesce(starts[F.col("_part")], F.lit(0)) + F.col("_at")).cast("bigint")).drop("_part", "_at"), total
-
-
-def at_positions(values: DataFrame, group: list[str], value: str, places: dict[str, float]) -> DataFrame:
-    """Per group the order statistics sorted[int(q * n)], without interpolation: name -> q."""
-    order = Window.partitionBy(*group).orderBy(value)
-    ranked = values.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    return ranked.groupBy(*group).agg(*[F.max(F.when(F.col("_r") == F.floor(F.lit(q) * F.col("_n") + F.lit(1e-9)), F.col(value))).alias(name) for name, q in places.items()])
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / n for i in range(1, n)] or [0.5]
+    bounds = rows.agg(F.percentile_approx(by, shares, 10 * max(n, 1000)).alias("b")).first()["b"] or []
+    literals = [F.lit(b) for b in sorted(set(bounds))]
+    place = F.size(F.filter(F.array(*literals), lambda b: F.col(by) > b)) if literals else F.lit(0)
+    return rows.withColumn("_part", F.when(F.col(by).isNull(), 0).otherwise(place))
+
+
+def running(rows: DataFrame, group: list[str], by: str, sums: dict[str, str]) -> DataFrame:
+    """rows with, per name, the sum of its column over the rows of the group that come before; (group, by) must be unique.
+
+    Each part adds up its own rows; what precedes a part is a sum over the parts before it.
+    """
+    dealt = with_part(rows, by)
+    own = Window.partitionBy(*group, "_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
+    totals = dealt.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*group, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    joined = local.join(base, [*group, "_part"])
+    return joined.select(*rows.columns, *[(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
+def numbered(rows: DataFrame, by: str, *ties: str) -> DataFrame:
+    """rows with `ordinal`, 0, 1, ... by `by`, then `ties`, and `total`, their number."""
+    dealt = with_part(rows, by)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by, *ties)) - 1
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(everything).alias("total"))
+    return dealt.withColumn("_at", place).join(base, "_part").select(*rows.columns, (F.col("_base") + F.col("_at")).alias("ordinal"), "total")
+
+
+def order_statistics(rows: DataFrame, by: str, places: dict[str, float]) -> list[Column]:
+    """Aggregates over `numbered` rows: sorted[int(q * n)] for each name, without interpolation."""
+    return [F.max(F.when(F.col("ordinal") == F.floor(F.lit(q) * F.col("total") + 1e-9), F.col(by))).alias(name) for name, q in places.items()]
+
+
+def median(by: str) -> Column:
+    """Aggregate over `numbered` rows: the middle one, or the mean of both middle ones."""
+    middle = (F.col("ordinal") == F.floor((F.col("total") - 1) / 2)) | (F.col("ordinal") == F.floor(F.col("total") / 2))
+    return F.avg(F.when(middle, F.col(by)))

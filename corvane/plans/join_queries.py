@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import joins
+from corvane.operators.order import numbered
 from corvane.plans.registry import query
 from corvane.plans.views import CANDIDATES, candidates
 from corvane.session import table
@@ -104,11 +105,7 @@ def bucket_delta_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CAST(o - 1 AS BIGINT) AS ordinal, CAST((o - 1) % 16 AS BIGINT) AS strided, CAST(floor((o - 1) / ceil(n / 16)) AS BIGINT) AS contiguous FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS o, count(*) OVER () AS n FROM orders)")
 def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of the problems in id order. Ordinals come from counts by range, so no task sees all rows."""
-    from corvane.operators.order import numbered
-
-    ids = table(spark, sf_dir, "orders").select("o_orderkey")
-    rows, total = numbered(ids, "o_orderkey")
-    return joins.shard_of(rows, 16, total).select("o_orderkey", "ordinal", "strided", "contiguous")
+    return joins.shard_of(numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey"), 16).select("o_orderkey", "ordinal", "strided", "contiguous")
 
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE toxic = 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.decontaminate import NOT_WORD, let, words
+from corvane.llm.decontaminate import NOT_WORD, folded, let
 
 #: From so many thousandths on a line or a text counts as the template.
 LEAST = 750
@@ -26,11 +26,11 @@ TEMPLATES = {
 
 
 def bigrams(text: str) -> list[str]:
-    """A template's distinct word bigrams; of one word, that word."""
+    """A template's word bigrams, repeated ones too; of one word, that word."""
     import re
 
     w = [x for x in re.split(f"[{NOT_WORD}]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if x]
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))) if len(w) > 1 else w
+    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] if len(w) > 1 else w
 
 
 def bounds(m: int, least: int = LEAST) -> tuple[int, int]:
@@ -39,33 +39,46 @@ def bounds(m: int, least: int = LEAST) -> tuple[int, int]:
 
 
 def _pairs(w: Column) -> Column:
-    """The distinct bigrams of an array of words."""
-    two = F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
-    return F.array_distinct(F.coalesce(two, w))
+    """The bigrams of an array of words."""
+    return F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))).otherwise(w)
+
+
+def _common(g: Column, template: list[str]) -> Column:
+    """How many bigrams of the template the array g has too, each as often as both have it."""
+    times = {x: template.count(x) for x in template}
+    once = [x for x, n in times.items() if n == 1]
+    out = F.size(F.array_intersect(g, F.array(*map(F.lit, once)))) if once else F.lit(0)
+    for x, n in times.items():
+        if n > 1:
+            out = out + F.least(F.lit(n), F.size(F.filter(g, lambda y: y == x)))  # noqa: B023
+    return out
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: int = LEAST) -> DataFrame:
     """key, line (0 for the whole text), licence, common, size, template_size: every part similar enough to a template.
 
-    Parts are the text's lines and, if it has several, the whole text. A template is compared only with
-    parts whose number of bigrams can reach the bound; a part with too many words for all is not cut into
-    bigrams at all. No shuffle; templates are part of the plan.
+    Parts are the text's lines and, if it has several, the whole text. Sizes count bigrams with
+    repetition, so the number of a part's words tells which templates it can reach; parts that can reach
+    none are never cut into bigrams. The words are found once, by line. No shuffle; templates are part of the plan.
     """
     known = {k: bigrams(t) for k, t in (templates or TEMPLATES).items()}
-    widest = max(bounds(len(g), least)[1] for g in known.values())
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    parts = docs.select(F.col(key).alias("key"), F.posexplode(lines).alias("line", "part")).select("key", (F.col("line") + 1).alias("line"), "part")
-    # A text whose distinct bigrams fit has a bounded share of others; its length says nothing, so it is counted.
-    whole = docs.where(F.coalesce(F.col(text), F.lit("")).contains("\n")).select(F.col(key).alias("key"), F.lit(0).alias("line"), F.col(text).alias("part"))
-    grams = parts.unionByName(whole).select("key", "line", let(words(F.col("part")), _pairs).alias("g"))
-    sized = grams.where((F.size("g") > 0) & (F.size("g") <= widest))
+    ranges = [bounds(len(g), least) for g in known.values()]
+    fits = lambda n: F.array_max(F.array(*[(n >= lo) & (n <= hi) for lo, hi in sorted(set(ranges))]))
+    size = lambda w: F.greatest(F.size(w) - 1, F.least(F.size(w), F.lit(1)))
+
+    def parts(lines: Column) -> Column:
+        total = F.aggregate(lines, F.lit(0), lambda n, w: n + F.size(w))
+        whole = F.when((F.size(lines) > 1) & (total <= max(hi for _, hi in ranges) + 1), F.array(F.struct(F.lit(0).alias("line"), F.flatten(lines).alias("w")))).otherwise(F.array().cast("array<struct<line:int,w:array<string>>>"))
+        return F.filter(F.concat(whole, F.transform(lines, lambda w, i: F.struct((i + 1).alias("line"), w.alias("w")))), lambda p: fits(size(p["w"])))
+
+    few = docs.select(F.col(key).alias("key"), F.inline(let(F.transform(F.split(folded(F.col(text)), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"[^{NOT_WORD}]+"), F.lit(0))), parts)))
+    grams = few.select("key", "line", size(F.col("w")).alias("size"), _pairs(F.col("w")).alias("g"))
     found = []
     for name, g in sorted(known.items()):
         lo, hi = bounds(len(g), least)
-        n = F.size("g")
-        common = F.when((n >= lo) & (n <= hi), F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in g]))))
-        found.append(F.struct(F.lit(name).alias("licence"), common.alias("common"), n.alias("size"), F.lit(len(g)).alias("template_size")))
-    rows = sized.select("key", "line", F.inline(F.array(*found)))
+        common = F.when((F.col("size") >= lo) & (F.col("size") <= hi), _common(F.col("g"), g))
+        found.append(F.struct(F.lit(name).alias("licence"), common.alias("common"), F.lit(len(g)).alias("template_size")))
+    rows = grams.select("key", "line", "size", F.inline(F.array(*found)))
     return rows.where(2000 * F.col("common") >= least * (F.col("size") + F.col("template_size"))).withColumnRenamed("key", key)
 
 
@@ -95,8 +108,8 @@ def oracle(least: int = LEAST) -> str:
     p AS (SELECT doc_id, i AS line, string_split(coalesce(text, ''), chr(10))[i] AS part FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS r(i)
           UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
     w AS (SELECT doc_id, line, {split} AS w FROM p),
-    b AS (SELECT doc_id, line, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w),
-    m AS (SELECT doc_id, line, licence, len(list_intersect(b.g, t.g)) AS common, len(b.g) AS size, len(t.g) AS template_size FROM b, t WHERE len(b.g) > 0 AND len(b.g) <= 2 * len(t.g)),
+    b AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END AS g FROM w),
+    m AS (SELECT doc_id, line, licence, list_sum(list_transform(list_distinct(t.g), lambda x: least(len(list_filter(b.g, lambda y: y = x)), len(list_filter(t.g, lambda y: y = x))))) AS common, len(b.g) AS size, len(t.g) AS template_size FROM b, t WHERE len(b.g) > 0 AND (2000 - {least}) * len(b.g) >= {least} * len(t.g) AND {least} * len(b.g) <= (2000 - {least}) * len(t.g)),
     f AS (SELECT doc_id, licence, CAST(floor(2000 * common / (size + template_size)) AS BIGINT) AS d FROM m WHERE 2000 * common >= {least} * (size + template_size)),
     a AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(d) AS d FROM f GROUP BY doc_id)
     SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licences, '') AS licences,

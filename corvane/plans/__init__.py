@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from corvane.plans import join_queries, pool_queries, stat_queries, text_queries  # noqa: F401
+from corvane.plans import array_queries, join_queries, pool_queries, stat_queries, text_queries  # noqa: F401
 from corvane.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SHARED).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again."""
+def written(df: DataFrame, name: str, per_core: int = 16) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it again; `per_core` files a core at most."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small step's rows, kept for their second reader; what is lost with an executor is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -74,7 +80,7 @@ def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, share: int =
 
     Keys with more than 1/share of the weight are fewer than `share`, so their rows are broadcast;
     all the other keys are joined by a shuffle, in which no key is large. small is read twice: pass a
-    written table. The weight column is dropped from the result.
+    written or kept table. The weight column is dropped from the result.
     """
     values = [c for c in small.columns if c not in (key, weight)]
     size = small.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t"), F.coalesce(F.max(weight), F.lit(0)).alias("m")).first()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, lookup, python_ready, text_or_empty, written
+from corvane.llm.common import blocks, buffers, kept, lookup, python_ready, text_or_empty, written
 
 #: Words in a shingle; minima of a signature and its bands: a pair at 0.75 shares no band once in 200,000 times.
 K, PERMS, BANDS = 5, 128, 32
@@ -100,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
         from_to = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if large:
             from_to = from_to.unionByName(from_to.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(from_to.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "star")
+        least = kept(from_to.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
         moved = lookup(from_to, least, "u", "n")
         moved = moved.where(F.col("v") > F.col("u")).select("v", "m") if large else moved.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
         return moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -108,10 +108,10 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 2)
     before = state(edges)
     while before[0]:
-        edges = written(star(written(star(edges, True), "large"), False), "edges")
+        edges = written(star(kept(star(edges, True)), False), "edges", 2)
         after = state(edges)
         if after == before:
             break
@@ -154,8 +154,8 @@ def _open(rows: DataFrame) -> DataFrame:
     """rows (lead, node, component) of the groups that hold several components, with the group's figures."""
     each = rows.groupBy("lead", "component").agg(F.count(F.lit(1)).alias("m"))
     stats = each.groupBy("lead").agg(F.sum("m").alias("n"), F.max("m").alias("n_main"), F.max_by("component", F.struct("m", "component")).alias("main"))
-    stats = written(stats.withColumns({"members": F.col("n")}), "groups")
-    return written(lookup(rows, stats, "lead", "n").where(F.col("n_main") < F.col("members")), "open")
+    stats = kept(stats.withColumns({"members": F.col("n")}))
+    return kept(lookup(rows, stats, "lead", "n").where(F.col("n_main") < F.col("members")))
 
 
 def _listed(live: DataFrame) -> DataFrame:
@@ -198,25 +198,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     python_ready(docs.sparkSession)
     seen = written(sketches(docs, key, text), "sketches")
-    classes = written(seen.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
-    nodes = written(seen.join(classes.select("node"), seen["key"] == classes["node"]).select("node", "sketch", "bands"), "nodes")
+    classes = kept(seen.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n")))
+    nodes = kept(seen.join(classes.select("node"), seen["key"] == classes["node"]).select("node", "sketch", "bands"))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"), "shared")
+    shared = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
     met = lookup(rows, shared, "bucket", "n").where("first IS NOT NULL")
     met = written(met, "met")
     sets = written(full_sets(docs, key, text, met.select("node").distinct()), "sets")
     pairs = met.groupBy("node").agg(F.min("first").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
-    pairs = written(pairs, "pairs")
-    links = written(verified(pairs, sets), "links")
-    parts = written(components(links), "parts")
+    pairs = kept(pairs)
+    links = kept(verified(pairs, sets))
+    parts = kept(components(links))
     # Members of a bucket share its smallest one; buckets with the same one are one group, so bands repeat little.
     rows = met.select(F.col("first").alias("lead"), "node").distinct().join(parts, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("component"))
-    live = _open(written(rows, "rows"))
+    live = _open(kept(rows))
     fresh = _listed(live).join(pairs, ["a", "b"], "left_anti")
-    new = written(verified(fresh, sets).unionByName(_in_blocks(live, nodes, sets)), "links")
-    parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "parts")
+    new = kept(verified(fresh, sets).unionByName(_in_blocks(live, nodes, sets)))
+    parts = kept(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
     known = classes.join(parts, "node", "left").select("set_id", "n", F.coalesce("component", "node").alias("component"))
-    out = lookup(seen.select("key", "n_shingles", "set_id"), written(known, "known"), "set_id", "n")
+    out = lookup(seen.select("key", "n_shingles", "set_id"), kept(known), "set_id", "n")
     out = out.withColumn("component_id", F.coalesce("component", "key"))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 

@@ -33,7 +33,7 @@ def _plain(s: Column) -> Column:
 def _number_text(s: Column, value: Column) -> Column:
     """Whole numbers without decimals, others with six; the string in lower case where there is no number."""
     whole = value.cast("decimal(38,0)").cast("string")
-    return F.when(value.isNull(), F.lower(s)).when(value == F.floor(value), whole).otherwise(F.format_string("%.6f", value))
+    return F.when(value.isNull(), F.lower(s)).when(value == F.rint(value), whole).otherwise(F.format_string("%.6f", value))
 
 
 def normalize_bon(answer: Column) -> Column:
@@ -54,8 +54,7 @@ def normalize_guided(answer: Column) -> Column:
     """Commas dropped; numbers cut to their whole part; other strings unchanged."""
     s = F.regexp_replace(F.trim(answer), ",", "")
     value = F.when(F.abs(numeric(s)) < 1e37, numeric(s))
-    cut = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
-    return F.when(value.isNotNull(), cut.cast("decimal(38,0)").cast("string")).otherwise(s)
+    return F.when(value.isNotNull(), (value - value % 1).cast("decimal(38,0)").cast("string")).otherwise(s)
 
 
 def extract_bon(filtered: Column, response: Column) -> Column:

@@ -21,17 +21,17 @@ def derive_seed(base: str, problem: str, particle: str, stage: str) -> Column:
 
 
 def resampled_means(outcomes: DataFrame, values: list[str], times: int, key: str) -> DataFrame:
-    """b and the mean of each value over resample b: n draws with replacement, the same for all values.
+    """`resample` and the mean of each value over it: n draws with replacement, the same for all values.
 
-    Draws are rows (b, place); they meet the outcomes by place in a shuffle join, and are added up per b.
+    Draws are rows (resample, place); they meet the outcomes by place in a shuffle join, and are added up.
     """
     placed = numbered(outcomes, key).withColumnRenamed("ordinal", "place")
     total = F.col("total").cast("bigint")
-    draws = placed.select("total", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("b"))
-    draws = draws.select("b", draw(F.concat_ws("-", F.col("b").cast("string"), F.col("i").cast("string")), total).alias("place"))
-    hit = draws.groupBy("b", "place").agg(F.count(F.lit(1)).alias("times"))
+    draws = placed.select("total", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("resample"))
+    draws = draws.select("resample", draw(F.concat_ws("-", F.col("resample").cast("string"), F.col("i").cast("string")), total).alias("place"))
+    hit = draws.groupBy("resample", "place").agg(F.count(F.lit(1)).alias("times"))
     joined = hit.join(placed.select("place", *values), "place")
-    return joined.groupBy("b").agg(*[(F.sum(F.col(v).cast("bigint") * F.col("times")) / F.sum("times")).alias(v) for v in values])
+    return joined.groupBy("resample").agg(*[(F.sum(F.col(v).cast("bigint") * F.col("times")) / F.sum("times")).alias(v) for v in values])
 
 
 def interval(means: DataFrame, value: str | Column, times: int, alpha: float = 0.05) -> list[Column]:
@@ -42,8 +42,8 @@ def interval(means: DataFrame, value: str | Column, times: int, alpha: float = 0
 
 def bootstrap(outcomes: DataFrame, methods: list[str], times: int, key: str) -> DataFrame:
     """method, point, lo, hi for 0/1 columns."""
-    means = resampled_means(outcomes, methods, times, key).unpivot("b", methods, "method", "m")
-    placed = means.withColumn("at", F.row_number().over(Window.partitionBy("method").orderBy("m", "b")) - 1)
+    means = resampled_means(outcomes, methods, times, key).unpivot("resample", methods, "method", "m")
+    placed = means.withColumn("at", F.row_number().over(Window.partitionBy("method").orderBy("m", "resample")) - 1)
     bounds = placed.groupBy("method").agg(*interval(placed, F.col("m"), times))
     n = F.count(F.lit(1))
     points = outcomes.agg(*[(F.sum(F.col(m).cast("bigint")) / n).alias(m) for m in methods]).withColumn("one", F.lit(1)).unpivot("one", methods, "method", "point").drop("one")
@@ -54,8 +54,8 @@ def paired_bootstrap(outcomes: DataFrame, pairs: list[tuple[str, str]], times: i
     """a, b, delta, lo, hi: the difference of two methods over the same draws."""
     methods = sorted({m for p in pairs for m in p})
     means = resampled_means(outcomes, methods, times, key)
-    rows = means.select("b", F.inline(F.array(*[F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), (F.col(x) - F.col(y)).alias("m")) for x, y in pairs])))
-    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("left", "right").orderBy("m", "b")) - 1)
+    rows = means.select("resample", F.inline(F.array(*[F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), (F.col(x) - F.col(y)).alias("m")) for x, y in pairs])))
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("left", "right").orderBy("m", "resample")) - 1)
     bounds = placed.groupBy("left", "right").agg(*interval(placed, F.col("m"), times))
     n = F.count(F.lit(1))
     flat = outcomes.agg(F.array(*[F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), (F.sum(F.col(x).cast("bigint")) / n - F.sum(F.col(y).cast("bigint")) / n).alias("delta")) for x, y in pairs]).alias("p")).select(F.inline("p"))

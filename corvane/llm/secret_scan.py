@@ -130,13 +130,14 @@ def masked(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
     """
     python_ready(docs.sparkSession)
     spans = found.where(F.size("spans") > 0).select(F.col(key).alias("span_key"), F.col("spans").alias("span_marks"))
-    joined = docs.join(spans, docs[key] == spans["span_key"], "left").select(*docs.columns, "span_marks")
+    columns = docs.columns
+    joined = docs.join(spans, docs[key] == spans["span_key"], "left").select(*[docs[c] for c in columns], "span_marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column(text).to_pylist(), batch.column("span_marks").to_pylist(), strict=True)
             new = pa.array([_masked(t, m) if t is not None and m else t for t, m in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == text else batch.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([new if c == text else batch.column(c) for c in columns], columns)
 
     return joined.mapInArrow(run, docs.schema)
 

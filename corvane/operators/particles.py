@@ -92,3 +92,30 @@ def transfer_count(masked: Column, step: Column, steps: int, eps: float = 1e-3)
     """How many masked places a denoising step fills: int(m (1 - s / t)) on an even grid of times from 1 to eps, all in the last step."""
     time = lambda i: 1 - i * (1 - eps) / steps
     return F.when(step == steps - 1, masked).otherwise(F.floor(masked * (1 - time(step + 1) / time(step))).cast("bigint"))
+
+
+def weights_of(score: Column, kind: str) -> Column:
+    """A vote's weight from a score: raw, sigmoid, or exp (a softmax once votes are normalised)."""
+    return {"raw": score, "sigmoid": probability(score), "exp": F.exp(score)}[kind]
+
+
+def two_stage(rows: DataFrame, h1: str, h2: str, target: float, least: float, offset: Column) -> DataFrame:
+    """Both stages of particle guidance over score tables: problem_id, sample_id, ancestor, weight, resampled.
+
+    Stage one tempers h1 to the target and, where the effective size falls under `least`, resamples; slot s
+    then continues from its ancestor. The last weight is v h2 / h1(ancestor)^beta, normalised, with v even
+    after resampling and the first weight else. One shuffle by problem serves every step.
+    """
+    beta = tempering(rows, h1, target)
+    first = rows.join(beta, P).withColumn("w1", F.pow(F.col(h1), F.col("beta")))
+    size = first.groupBy(P).agg((F.sum("w1") * F.sum("w1") / F.sum(F.col("w1") * F.col("w1"))).alias("ess1"), F.sum("w1").alias("total"), F.count(F.lit(1)).alias("k"))
+    slots = systematic_resample(first, "w1", offset).select(P, F.col("slot").alias("sample_id"), "ancestor")
+    joined = first.join(size, P).join(slots, [P, "sample_id"])
+    joined = joined.withColumn("resampled", F.col("ess1") < least).withColumn("ancestor", F.when(F.col("resampled"), F.col("ancestor")).otherwise(F.col("sample_id")))
+    joined = joined.withColumn("v", F.when(F.col("resampled"), 1 / F.col("k")).otherwise(F.col("w1") / F.col("total")))
+    parent = rows.select(P, F.col("sample_id").alias("ancestor"), F.col(h1).alias("h1_parent"))
+    joined = joined.join(parent, [P, "ancestor"])
+    log = F.log("v") + F.log(h2) - F.col("beta") * F.log("h1_parent")
+    everything = Window.partitionBy(P)
+    out = joined.withColumn("_l", log).withColumn("_e", F.exp(F.col("_l") - F.max("_l").over(everything)))
+    return out.select(P, "sample_id", "ancestor", (F.col("_e") / F.sum("_e").over(everything)).alias("weight"), "resampled", "beta")

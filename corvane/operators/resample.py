@@ -68,3 +68,14 @@ def random_rerank(pool: DataFrame, trials: int) -> DataFrame:
     rows = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     picked = draw(F.concat_ws("-", F.col("trial").cast("string"), F.col("problem_id").cast("string")), F.col("n")).cast("int")
     return rows.select("trial", F.element_at("graded", picked).alias("ok")).groupBy("trial").agg((F.count_if("ok") / F.count(F.lit(1))).alias("accuracy"))
+
+
+def sequential(outcomes: list[int], times: int, seed: int, alpha: float = 0.05) -> tuple[float, float, float]:
+    """(point, lo, hi) with the draws of one Mersenne Twister stream, on the driver: exact parity for a bounded list of outcomes."""
+    import random
+
+    stream, n = random.Random(seed), len(outcomes)
+    if not n:
+        return 0.0, 0.0, 0.0
+    means = sorted(sum(outcomes[stream.randrange(n)] for _ in range(n)) / n for _ in range(times))
+    return sum(outcomes) / n, means[int(alpha / 2 * times)], means[int((1 - alpha / 2) * times)]

@@ -96,3 +96,36 @@ def monotonic_violations(rows: DataFrame, bucket: str, accuracy: str, slack: flo
 def mean_and_error(rows: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, mean, standard_error (sample deviation over root n; 0 for one row)."""
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value) / F.sqrt(F.count(F.lit(1))), F.lit(0.0)).alias("standard_error"))
+
+
+def t_tail(t: float, df: float) -> float:
+    """P(|T| > |t|) of Student's t, by the continued fraction of the incomplete beta function."""
+    import math
+
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+
+    def fraction(a: float, b: float, x: float) -> float:
+        c, d = 1.0, 1 / max(1e-300, 1 - (a + b) * x / (a + 1)) if abs(1 - (a + b) * x / (a + 1)) > 1e-300 else 1e300
+        out = d
+        for m in range(1, 400):
+            for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / (1 + k * d)
+                c = 1 + k / c
+                out *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return out
+
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+
+
+def spearman_p(rho: float | None, n: int) -> float | None:
+    """Two-sided p-value of a rank correlation over n buckets; None below three or without rho."""
+    if rho is None or n < 3:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    return t_tail(rho * ((n - 2) / (1 - rho * rho)) ** 0.5, n - 2)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import arrays, particles
+from corvane.operators import arrays, denoise, particles
 from corvane.plans.registry import query
 from corvane.plans.views import CANDIDATES, SNAPSHOTS, candidates, snapshots
-from corvane.session import table
+from corvane.session import ship, table
 
 MASK, PAD, END = 49, 48, 47
 _SORTED = "list({x} ORDER BY step)"
@@ -157,3 +157,32 @@ def branch_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SNAPSHOTS} SELECT trajectory_id, step, CASE WHEN step = 127 THEN n ELSE CAST(floor(n * (1 - (1 - (step + 1) * 0.999 / 128) / (1 - step * 0.999 / 128))) AS BIGINT) END AS transferred FROM s WHERE step < 128")
 def transfer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).where("step < 128").select("trajectory_id", "step", particles.transfer_count(F.col("n"), F.col("step"), 128).alias("transferred"))
+
+
+@query(
+    f"""WITH {CANDIDATES}, r AS (SELECT problem_id, sample_id, {_H} AS h1, (prm_score + 0.01) / 2 AS h2, count(*) OVER (PARTITION BY problem_id) AS k FROM c QUALIFY k >= 3),
+g AS (SELECT problem_id, i / 20 AS beta, pow(h1, i / 20) AS w FROM r, range(0, 21) x(i)), e AS (SELECT problem_id, beta, sum(w) * sum(w) / sum(w * w) AS ess FROM g GROUP BY ALL),
+b AS (SELECT problem_id, max(beta) AS beta FROM e WHERE ess + 1e-9 >= 3 GROUP BY problem_id), f AS (SELECT r.*, beta, pow(h1, beta) AS w1 FROM r JOIN b USING (problem_id)),
+z AS (SELECT problem_id, sum(w1) * sum(w1) / sum(w1 * w1) < 3.5 AS resampled, sum(w1) AS total FROM f GROUP BY 1),
+q AS (SELECT problem_id, sample_id, k, CASE WHEN sample_id = k - 1 THEN 1.0 ELSE sum(w1) OVER (PARTITION BY problem_id ORDER BY sample_id ROWS UNBOUNDED PRECEDING) / sum(w1) OVER (PARTITION BY problem_id) END AS hi FROM f),
+s AS (SELECT f.problem_id, f.sample_id, min(q.sample_id) AS a FROM f JOIN q ON f.problem_id = q.problem_id AND (0.37 + f.sample_id) / f.k <= q.hi GROUP BY 1, 2),
+j AS (SELECT f.*, resampled, CASE WHEN resampled THEN a ELSE f.sample_id END AS ancestor, CASE WHEN resampled THEN 1 / k ELSE w1 / total END AS v FROM f JOIN z USING (problem_id) JOIN s ON f.problem_id = s.problem_id AND f.sample_id = s.sample_id),
+l AS (SELECT j.problem_id, j.sample_id, ancestor, resampled, ln(v) + ln(j.h2) - beta * ln(p.h1) AS l FROM j JOIN r p ON j.problem_id = p.problem_id AND ancestor = p.sample_id)
+SELECT problem_id, sample_id, ancestor, resampled, round(exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY problem_id), 6) AS weight FROM (SELECT *, max(l) OVER (PARTITION BY problem_id) AS m FROM l)"""
+)
+def smc_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tempering, conditional resampling and final weights of problems with three candidates or more."""
+    rows = _probabilities(spark, sf_dir).withColumn("h2", (F.col("prm_score") + 0.01) / 2)
+    enough = rows.groupBy("problem_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 3").select("problem_id")
+    rows = rows.join(enough, "problem_id").select("problem_id", "sample_id", "h", "h2")
+    out = particles.two_stage(rows, "h", "h2", 3.0 - 1e-9, 3.5, F.lit(0.37))
+    return out.select("problem_id", "sample_id", "ancestor", "resampled", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def denoise_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state machine with a toy kernel, over every trajectory: no SQL, tested by resuming and by reordering."""
+    ship(spark)
+    ids = F.transform("ids", lambda x: F.when(x % 3 == 0, MASK).otherwise(x))
+    states = trajectories(spark, sf_dir).select("trajectory_id", ids.alias("x"), F.lit(0).alias("next_step"), F.crc32(F.col("trajectory_id").cast("string")).alias("seed"))
+    return denoise.run(states, 16, MASK, denoise.toy_kernel(MASK)).select("trajectory_id", arrays.joined(F.col("x")).alias("ids"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions import text, udf
-from corvane.operators import arrays, gates, joins, lineage, particles
+from corvane.operators import arrays, denoise, gates, joins, lineage, particles, resample, stats
 
 
 def one(spark, column, **values):
@@ -154,3 +154,29 @@ def test_positions_and_prefixes(spark):
     assert sorted(map(tuple, joins.aligned(a, b, "o").collect())) == [(1, 0, 10, 20), (1, 1, 11, None)]
     pool = spark.createDataFrame([(1, 0), (1, 1)], "problem_id int, sample_id int")
     assert [r.reused for r in joins.prefix_extended(pool, 4).orderBy("sample_id").collect()] == [True, True, False, False]
+
+
+def test_denoising_resumes_and_ignores_order(spark):
+    rows = [(i, [49] * 12 + [1, 2], 0, 100 + i) for i in range(6)]
+    schema = "id int, x array<int>, next_step int, seed bigint"
+    kernel = denoise.toy_kernel(40)
+    whole = {r.id: r.x for r in denoise.run(spark.createDataFrame(rows, schema), 8, 49, kernel).collect()}
+    assert all(49 not in x and x[12:] == [1, 2] for x in whole.values())
+    for cut in (1, 3, 6):
+        half = denoise.run(spark.createDataFrame(rows[::-1], schema), 8, 49, kernel, cut)
+        assert {r.id: r.x for r in denoise.run(half, 8, 49, kernel).collect()} == whole
+    other = {r.id: r.x for r in denoise.run(spark.createDataFrame([(i, x, s, seed + 1000) for i, x, s, seed in rows], schema), 8, 49, kernel).collect()}
+    assert other != whole
+
+
+def test_sequential_bootstrap_and_p_values():
+    import random
+
+    y = [1, 0, 1, 1, 0, 1, 0, 1, 1, 1]
+    stream = random.Random(7)
+    means = sorted(sum(y[stream.randrange(10)] for _ in range(10)) / 10 for _ in range(200))
+    assert resample.sequential(y, 200, 7) == (0.7, means[5], means[195])
+    assert resample.sequential([], 10, 1) == (0.0, 0.0, 0.0)
+    assert stats.t_tail(2.0, 10) == pytest.approx(0.07338803, abs=1e-7) and stats.t_tail(0.5, 3) == pytest.approx(0.65145, abs=1e-4)
+    assert stats.t_tail(12.706204736, 1) == pytest.approx(0.05, abs=1e-8)
+    assert stats.spearman_p(1.0, 5) == 0.0 and stats.spearman_p(0.5, 2) is None and stats.spearman_p(None, 9) is None

@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 
 from corvane.llm import wordnum
 from corvane.llm.common import blocks, buffers, python_ready, text_or_empty
+from corvane.llm.pieces import Pieces
 
 #: A cut follows where the hash of the WINDOW bytes before it has MASK's bits clear; LONGEST bytes without one are cut too.
 WINDOW, MASK, LONGEST = 24, (1 << 9) - 1, 1 << 13
 #: Bytes of chunks and ids that a worker keeps for reuse.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 32 << 20
+#: Different words behind a space that it keeps with their ids.
+KEPT_WORDS = 1_200_000
 
 
 def safe_places(raw: np.ndarray) -> np.ndarray:
@@ -75,6 +78,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.spaced = Pieces(self.tokenizer, " ", KEPT_WORDS)
         self.kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.size = 0
         self.new = self.reused = 0
@@ -92,10 +96,46 @@ class Codec:
             out.append(bytes(back[c] for c in token) if all(c in back for c in token) else token.encode())
         return out
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, by the tokenizer at once."""
         done = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in done]
 
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, word by word where that can't change them, from words met before.
+
+        A token begins with a space or has none, so a text may be cut before every space behind which
+        stands no white space. Texts with others are encoded as a whole.
+        """
+        split = [t.decode().split(" ") for t in texts]
+        starts = [w[0] for w in split]
+        rest = self.spaced.numbers([w[1:] for w in split])
+        many = np.concatenate([np.empty(0, np.int32), *rest])
+        ids, last = self.spaced.ids(many)
+        ends = np.concatenate([[0], last])[np.cumsum([0, *[len(r) for r in rest]])].tolist()
+        out: list[np.ndarray | None] = []
+        odd = np.zeros(self.spaced.known, bool)
+        odd[list(self.spaced.odd)] = True
+        bad = np.concatenate([[0], np.cumsum(odd[many])])[np.cumsum([0, *[len(r) for r in rest]])].tolist()
+        own = {w: k for k, w in enumerate(dict.fromkeys(w for w in starts if w))}
+        head = self.first(list(own))
+        for k, w in enumerate(starts):
+            if bad[k + 1] > bad[k]:
+                out.append(None)
+            elif w:
+                out.append(np.concatenate([head[own[w]], ids[ends[k] : ends[k + 1]]]).astype(np.uint32))
+            else:
+                out.append(ids[ends[k] : ends[k + 1]].astype(np.uint32))
+        left = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(left, self.whole([texts[k] for k in left]), strict=True):
+            out[k] = x
+        return out
+
+    def first(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of words that start a text: each on its own, without a space before it."""
+        done = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, np.uint16) for e in done]
+
     def chunks(self, parts: list[bytes]) -> list[np.ndarray]:
         """The ids of each chunk: one that was met before isn't encoded again."""
         have: dict[bytes, np.ndarray] = {}

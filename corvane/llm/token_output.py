@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import python_ready, text_or_empty, written
+from corvane.llm.pieces import Pieces
 
 #: The id that ends each document.
 END = 2
@@ -126,18 +127,6 @@ class Shard:
         return np.concatenate([np.empty(0, np.uint16), *[self.expand(self.symbols[i : i + step]) for i in range(0, len(self.symbols), step)]])
 
 
-class _Words(dict):
-    """A word's number, in order of first sight; `new` are those without ids as yet."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 class WordEncoder:
     """Ids of texts, word by word: the tokenizer's pattern takes no white space into a token.
 
@@ -155,44 +144,14 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words = _Words()
-        self.flat, self.used = np.empty(1 << 20, np.uint16), 0
-        self.offs, self.known = np.zeros(1 << 18, np.int64), 0
-
-    def _learn(self) -> None:
-        new, self.words.new = self.words.new, []
-        for i in range(0, len(new), 128):
-            some = new[i : i + 128]
-            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *[len(w) + 1 for w in some]])
-            first = np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
-            ids = np.array(done.ids, np.uint16)
-            at = np.searchsorted(first, starts[1:], "left")
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            if self.known + len(some) + 1 > len(self.offs):
-                self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
-            self.offs[self.known + 1 : self.known + 1 + len(some)] = self.used + at
-            self.used += len(ids)
-            self.known += len(some)
+        self.pieces = Pieces(self.tokenizer, most=KEPT_WORDS)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids, joined, each with END behind it, and the ends of the texts among them."""
-        if len(self.words) > KEPT_WORDS:
-            self._clear()
-        look = self.words.__getitem__
         # The tokenizer lower-cases; doing so here first makes fewer words, but might make a special token's name.
         texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
-        numbers = [np.fromiter(map(look, t.replace("\n", " ").split(" ")), np.int32) for t in texts]
-        self._learn()
-        words = np.concatenate(numbers)
-        size = (self.offs[1 : self.known + 1] - self.offs[: self.known])[words]
-        last = np.cumsum(size)
-        ids = self.flat[np.arange(last[-1]) + np.repeat(self.offs[words] - (last - size), size)]
+        numbers = self.pieces.numbers([t.replace("\n", " ").split(" ") for t in texts])
+        ids, last = self.pieces.ids(np.concatenate(numbers))
         ends = last[np.cumsum([len(n) for n in numbers]) - 1]
         return np.insert(ids, ends, END), ends + np.arange(1, len(ends) + 1)
 

@@ -88,7 +88,8 @@ def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, share: int =
         return big.join(small.drop(weight), key, "left").select(*big.columns, *values)
     is_hot = F.col(weight) * share > F.lit(size["t"])
     hot = small.where(is_hot).drop(weight).withColumnsRenamed({c: f"hot_{c}" for c in values}).withColumn("is_hot", F.lit(True))
-    rest = small.where(~is_hot).drop(weight).withColumn("spread", F.lit(0).cast("bigint"))
+    # 0, but no literal: the optimizer would turn an equality with one into a filter, and the key would be lost.
+    rest = small.where(~is_hot).withColumn("spread", F.pmod(F.col(weight).cast("bigint"), F.lit(1).cast("bigint"))).drop(weight)
     # A hot row needs no partner in the second join: a number of its own spreads it.
     first = big.join(F.broadcast(hot), key, "left").withColumn("spread", F.when(F.col("is_hot"), 1 + F.monotonically_increasing_id()).otherwise(F.lit(0).cast("bigint")))
     second = first.join(rest, [key, "spread"], "left")

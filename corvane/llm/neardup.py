@@ -108,10 +108,10 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 2)
+    edges = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 1)
     before = state(edges)
     while before[0]:
-        edges = written(star(kept(star(edges, True)), False), "edges", 2)
+        edges = written(star(kept(star(edges, True)), False), "edges", 1)
         after = state(edges)
         if after == before:
             break
@@ -194,12 +194,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     groups by all such pairs, large ones block by block, where a worker compares signatures, then full
     sets, and returns only links that join components. Every link is confirmed on full sets, and no
     candidate is dropped. Null, empty and blank texts
-    have no set and are linked with nothing. Other columns aren't read.
+    have no set and are linked with nothing. Other columns aren't read. Rows that repeat a key come back
+    each and count as one document; a row with a null key has its class's component, or null.
     """
     python_ready(docs.sparkSession)
     seen = written(sketches(docs, key, text), "sketches")
     classes = kept(seen.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n")))
-    nodes = kept(seen.join(classes.select("node"), seen["key"] == classes["node"]).select("node", "sketch", "bands"))
+    nodes = written(seen.join(classes.select("node"), seen["key"] == classes["node"]).select("node", "sketch", "bands"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
     met = lookup(rows, shared, "bucket", "n").where("first IS NOT NULL")
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     known = classes.join(parts, "node", "left").select("set_id", "n", F.coalesce("component", "node").alias("component"))
     out = lookup(seen.select("key", "n_shingles", "set_id"), kept(known), "set_id", "n")
     out = out.withColumn("component_id", F.coalesce("component", "key"))
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -85,15 +85,16 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
 def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: int = LEAST) -> DataFrame:
     """key, n_matches, licences (sorted, comma-joined), best and best_permille (its Dice coefficient, in thousandths, rounded down).
 
-    Every row comes back, without a match with 0, an empty string and nulls. The key is unique and not
-    null. Ties for the best go to the first name. Null and empty texts match nothing.
+    Every row comes back, without a match with 0, an empty string and nulls; so do rows with a null key.
+    Rows that repeat a key share their matches, those on the same line counted once. Ties for the best
+    go to the first name. Null and empty texts match nothing.
     """
     found = matches(docs, key, text, templates, least)
     dice = F.floor(2000 * F.col("common") / (F.col("size") + F.col("template_size"))).cast("bigint")
     best = F.min(F.struct((-dice).alias("d"), "licence"))
-    per = found.groupBy(key).agg(F.count(F.lit(1)).alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), best.alias("b"))
+    per = found.groupBy(key).agg(F.size(F.collect_set(F.struct("line", "licence"))).cast("bigint").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), best.alias("b"))
     out = docs.select(key).join(per, key, "left")
-    return out.select(key, F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"), F.col("b.licence").alias("best"), (-F.col("b.d")).alias("best_permille"))
+    return out.select(key, F.coalesce("n_matches", F.lit(0).cast("bigint")).alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"), F.col("b.licence").alias("best"), (-F.col("b.d")).alias("best_permille"))
 
 
 def oracle(least: int = LEAST) -> str:

@@ -90,13 +90,14 @@ def judged(docs: DataFrame, owner: Column, repository: Column, key: str = "doc_i
 def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, key: str = "doc_id") -> DataFrame:
     """One row per document: key, found (all spans, with `copied`: a widely copied example), and counts.
 
-    owner: by default the source; repository: the source and the language. The key must be unique and
-    not null; other columns may have any names. Documents without a candidate have an empty list.
+    owner: by default the source; repository: the source and the language. Other columns may have any
+    names. Documents without a candidate, with a null or empty text, or without a key have an empty list.
+    Every row comes back; rows that repeat a key share their spans, each counted once.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
     scanned, spans = judged(docs, owner, repository, key)
-    per = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", _order(F.col("kind")).alias("place"), "end", "kind", "hash", "copied"))).alias("spans"))
+    per = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", _order(F.col("kind")).alias("place"), "end", "kind", "hash", "copied"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,place:int,end:int,kind:string,hash:string,copied:boolean>>")
     return scanned.select(key).join(per, key, "left").select(key, F.coalesce("spans", empty).alias("spans"))
 
@@ -126,10 +127,11 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def masked(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by a mark that tells its kind and the verdict.
 
-    Overlapping spans become one mark, of the first. Rows and other columns stay as they are; a null text stays null.
+    Overlapping spans become one mark, of the first. Rows and other columns stay as they are; a null text
+    stays null. Rows that repeat a key are masked by the same spans.
     """
     python_ready(docs.sparkSession)
-    spans = found.where(F.size("spans") > 0).select(F.col(key).alias("span_key"), F.col("spans").alias("span_marks"))
+    spans = found.where(F.size("spans") > 0).select(F.col(key).alias("span_key"), F.col("spans").alias("span_marks")).dropDuplicates(["span_key"])
     columns = docs.columns
     joined = docs.join(spans, docs[key] == spans["span_key"], "left").select(*[docs[c] for c in columns], "span_marks")
 

@@ -12,6 +12,11 @@ LOOSE = r"[\-0-9,\.]+"
 STRICT = r"-?[0-9][0-9,]*\.?[0-9]*"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match's group, or null."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -38,23 +43,19 @@ def _number_text(s: Column, value: Column) -> Column:
 
 def normalize_bon(answer: Column) -> Column:
     """Without separators and signs of currency or percent: a canonical number, else lower case; empty is null."""
-    s = _plain(answer)
-    value = F.when(F.abs(numeric(s)) < 1e37, numeric(s))
-    return F.when(F.trim(answer) != "", _number_text(s, value))
+    text = lambda s: let(numeric(s), lambda v: _number_text(s, F.when(F.abs(v) < 1e37, v)))
+    return let(answer, lambda a: F.when(F.trim(a) != "", let(_plain(a), text)))
 
 
 def normalize_generator(answer: Column) -> Column:
     """As `normalize_bon`, but huge numbers stay text, an empty string stays, and null is "none"."""
-    s = _plain(F.coalesce(answer, F.lit("none")))
-    value = F.when(F.abs(numeric(s)) <= 1e15, numeric(s))
-    return _number_text(s, value)
+    return let(_plain(F.coalesce(answer, F.lit("none"))), lambda s: let(numeric(s), lambda v: _number_text(s, F.when(F.abs(v) <= 1e15, v))))
 
 
 def normalize_guided(answer: Column) -> Column:
     """Commas dropped; numbers cut to their whole part; other strings unchanged."""
-    s = F.regexp_replace(F.trim(answer), ",", "")
-    value = F.when(F.abs(numeric(s)) < 1e37, numeric(s))
-    return F.when(value.isNotNull(), (value - value % 1).cast("decimal(38,0)").cast("string")).otherwise(s)
+    cut = lambda s: let(numeric(s), lambda v: F.when(F.abs(v) < 1e37, (v - v % 1).cast("decimal(38,0)").cast("string")).otherwise(s))
+    return let(F.regexp_replace(F.trim(answer), ",", ""), cut)
 
 
 def extract_bon(filtered: Column, response: Column) -> Column:
@@ -72,7 +73,7 @@ def extract_generator(text: Column) -> Column:
         _found(text, rf"\\boxed\{{({LOOSE})\}}"),
         _last(text, f"({STRICT})", 1),
     )
-    return F.when(raw.isNotNull(), normalize_generator(raw))
+    return let(raw, lambda r: F.when(r.isNotNull(), normalize_generator(r)))
 
 
 def extract_guided(text: Column) -> Column:

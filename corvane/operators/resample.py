@@ -23,15 +23,17 @@ def derive_seed(base: str, problem: str, particle: str, stage: str) -> Column:
 def resampled_means(outcomes: DataFrame, values: list[str], times: int, key: str) -> DataFrame:
     """`resample` and the mean of each value over it: n draws with replacement, the same for all values.
 
-    Draws are rows (resample, place); they meet the outcomes by place in a shuffle join, and are added up.
+    Draws are rows (resample, place), four from one MD5; they meet the outcomes by place, broadcast or
+    shuffled as their size tells, and are added up on the map side first.
     """
     placed = numbered(outcomes, key).withColumnRenamed("ordinal", "place")
     total = F.col("total").cast("bigint")
-    draws = placed.select("total", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("resample"))
-    draws = draws.select("resample", draw(F.concat_ws("-", F.col("resample").cast("string"), F.col("i").cast("string")), total).alias("place"))
-    hit = draws.groupBy("resample", "place").agg(F.count(F.lit(1)).alias("times"))
-    joined = hit.join(placed.select("place", *values), "place")
-    return joined.groupBy("resample").agg(*[(F.sum(F.col(v).cast("bigint") * F.col("times")) / F.sum("times")).alias(v) for v in values])
+    groups = placed.select("total", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit((times - 1) // 4))).alias("g"))
+    hashed = groups.select("total", "g", F.md5(F.concat_ws("-", F.col("g").cast("string"), F.col("i").cast("string"))).alias("h"))
+    four = F.array(*[F.struct((F.col("g") * 4 + k).alias("resample"), (F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("bigint") % total).alias("place")) for k in range(4)])
+    draws = hashed.select(F.inline(four)).where(F.col("resample") < times)
+    joined = draws.join(placed.select("place", *values), "place")
+    return joined.groupBy("resample").agg(*[(F.sum(F.col(v).cast("bigint")) / F.count(F.lit(1))).alias(v) for v in values])
 
 
 def interval(means: DataFrame, value: str | Column, times: int, alpha: float = 0.05) -> list[Column]:

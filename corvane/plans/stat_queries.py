@@ -151,7 +151,7 @@ def mean_time_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUT = f"""{CANDIDATES}, o AS (SELECT problem_id, bool_or(correct) AS oracle, max_by(correct, (orm_score, -sample_id)) AS orm, max_by(correct, (prm_score, -sample_id)) AS prm, row_number() OVER (ORDER BY problem_id) - 1 AS place, count(*) OVER () AS n FROM c GROUP BY problem_id),
-dr AS (SELECT b, {_DRAW.format(key="b || '-' || place", n='n')} AS place FROM o, range(0, {TIMES}) r(b)),
+dr AS (SELECT b, CAST(CAST(('0x' || substr(md5((b // 4) || '-' || place), 8 * (b % 4) + 1, 8)) AS BIGINT) % n AS BIGINT) AS place FROM o, range(0, {TIMES}) r(b)),
 m AS (SELECT b, sum(CAST(oracle AS BIGINT)) / count(*) AS oracle, sum(CAST(orm AS BIGINT)) / count(*) AS orm, sum(CAST(prm AS BIGINT)) / count(*) AS prm FROM dr JOIN o USING (place) GROUP BY b)"""
 _LO, _HI = int(0.025 * TIMES), int(0.975 * TIMES)
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import python_ready, text_or_empty, written
-from corvane.llm.pieces import Pieces
+from corvane.llm import wordnum
+from corvane.llm.common import blocks, buffers, python_ready, text_or_empty, written
 
 #: The id that ends each document.
 END = 2
@@ -20,8 +20,11 @@ END = 2
 SHARD_IDS = 4 << 20
 #: Rounds of replacing, pairs in a round, the fewest occurrences worth a rule, and the share of symbols below which a round is the last.
 ROUNDS, PER_ROUND, LEAST, GAIN = 5, 4096, 8, 0.03
-#: Different words that a worker keeps with their ids.
-KEPT_WORDS = 1_200_000
+#: Different pieces that a worker keeps with their ids: about 80 MB.
+KEPT_WORDS = 3_000_000
+#: Bytes of pieces: all but spaces and line breaks.
+PIECE = np.ones(256, bool)
+PIECE[[0x20, 0x0A]] = False
 MAGIC = b"RPG1"
 
 
@@ -131,7 +134,9 @@ class WordEncoder:
     """Ids of texts, word by word: the tokenizer's pattern takes no white space into a token.
 
     So a text's ids are those of its pieces between spaces and line breaks, one after the other, and a
-    piece that was met before isn't encoded again.
+    piece that was met before isn't encoded again. Pieces are told apart by 64-bit hashes, kept sorted
+    with the places of their ids: 12 bytes a piece, and lookups by binary search over a block's different
+    pieces. Two of four million pieces share a hash once in two million such tables.
     """
 
     def __init__(self, path: str) -> None:
@@ -144,15 +149,66 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = Pieces(self.tokenizer, most=KEPT_WORDS)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.flat, self.used = np.empty(1 << 20, np.uint16), 0
+        self.offs, self.known = np.zeros(1 << 18, np.int64), 0
+
+    def _learn(self, words: list[str]) -> None:
+        while self.known + len(words) + 1 > len(self.offs):
+            self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
+        for i in range(0, len(words), 128):
+            some = words[i : i + 128]
+            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(done.ids, np.uint16)
+            first = np.fromiter((a for a, _ in done.offsets), np.int64, len(ids))
+            at = np.searchsorted(first, np.cumsum([len(w) + 1 for w in some]), "left")
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.offs[self.known + 1 : self.known + 1 + len(some)] = self.used + at
+            self.used += len(ids)
+            self.known += len(some)
+
+    def numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each piece; new ones are encoded."""
+        if self.known > KEPT_WORDS:
+            self._clear()
+        # The tokenizer lower-cases; doing so here first makes fewer pieces, but might make a special token's name.
+        fold = b"<|" not in raw.tobytes()
+        h = wordnum.word_hashes(raw, starts, ends, fold)
+        order = np.argsort(h)
+        ordered = h[order]
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        one = np.flatnonzero(fresh)
+        different = ordered[one]
+        at = np.searchsorted(self.hashes, different)
+        missing = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != different) if len(self.hashes) else np.arange(len(different))
+        if len(missing):
+            some = order[one[missing]]
+            data = (wordnum.LOWER[raw] if fold else raw).tobytes()
+            base = self.known
+            self._learn([data[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            self.hashes = np.insert(self.hashes, at[missing], different[missing])
+            self.number = np.insert(self.number, at[missing], np.arange(base, self.known, dtype=np.int32))
+            at = np.searchsorted(self.hashes, different)
+        out = np.empty(len(h), np.int32)
+        out[order] = np.repeat(self.number[at], np.diff(np.append(one, len(h))))
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids, joined, each with END behind it, and the ends of the texts among them."""
-        # The tokenizer lower-cases; doing so here first makes fewer words, but might make a special token's name.
-        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
-        numbers = self.pieces.numbers([t.replace("\n", " ").split(" ") for t in texts])
-        ids, last = self.pieces.ids(np.concatenate(numbers))
-        ends = last[np.cumsum([len(n) for n in numbers]) - 1]
+        raw, at = buffers(texts)
+        starts, stops, offs = wordnum.words(raw, at, PIECE)
+        if not len(starts):
+            return np.full(len(texts), END, np.uint16), np.arange(1, len(texts) + 1)
+        n = self.numbers(raw, starts, stops)
+        size = (self.offs[1 : self.known + 1] - self.offs[: self.known])[n]
+        last = np.cumsum(size)
+        ids = self.flat[np.arange(last[-1]) + np.repeat(self.offs[n] - (last - size), size)]
+        ends = np.concatenate([[0], last])[offs[1:]]
         return np.insert(ids, ends, END), ends + np.arange(1, len(ends) + 1)
 
 
@@ -199,10 +255,9 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             if not batch.num_rows:
                 continue
             place = batch.column("shard_place")[0].as_py() if place is None else place
-            texts, column = batch.column("text").to_pylist(), batch.column("key").to_numpy(zero_copy_only=False)
-            for i in range(0, len(texts), 256):
-                held.append(use.encode(texts[i : i + 256]))
-                keys.append(column[i : i + 256])
+            for block in blocks(iter([batch]), "text", 2 << 20):
+                held.append(use.encode(block.column("text")))
+                keys.append(block.column("key").to_numpy(zero_copy_only=False))
                 count += len(held[-1][0])
                 if count >= SHARD_IDS:
                     yield out()

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from corvane.llm import token_output as out
 from corvane.llm.queries import tokenizer_path
@@ -16,7 +17,7 @@ def test_words_give_the_ids_of_the_whole_text():
     r = random.Random(4)
     texts = [t or "" for t in ODD] + ["".join(r.choice("ab \n\t'sé1!İ́") for _ in range(r.choice([5, 400]))) for _ in range(200)]
     e = out.WordEncoder(PATH)
-    ids, ends = e.encode(texts)
+    ids, ends = e.encode(pa.array(texts))
     got = [x.tolist() for x in np.split(ids, ends)[:-1]]
     assert got == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, out.END] for t in texts]
 

@@ -142,6 +142,18 @@ def weighted_vote(pool: DataFrame, weight: str, *keys: str) -> DataFrame:
     )
 
 
+def outcomes(pool: DataFrame, scores: tuple[str, ...], *keys: str) -> DataFrame:
+    """keys, oracle, majority (invalid answers are a class) and one column per score: is the selected candidate correct?
+
+    All methods from one grouping by answer and one above it, so the pool is shuffled and read once.
+    """
+    keys = keys or (P,)
+    top = [F.max(F.when(F.col(s).isNotNull() & ~F.isnan(s), F.struct(F.col(s), -F.col("sample_id"), "correct"))).alias(s) for s in scores]
+    each = pool.groupBy(*keys, "answer").agg(F.count(F.lit(1)).alias("votes"), F.min("sample_id").alias("first"), F.bool_or("correct").alias("any_correct"), *top)
+    best = F.max_by("any_correct", F.struct("votes", -F.col("first")))
+    return each.groupBy(*keys).agg(F.bool_or("any_correct").alias("oracle"), best.alias("majority"), *[F.max(s)["correct"].alias(s) for s in scores])
+
+
 def clusters(pool: DataFrame) -> DataFrame:
     """Valid answers with their votes, members and rank by first appearance."""
     each = pool.where("answer IS NOT NULL").groupBy(P, "answer").agg(F.count(F.lit(1)).alias("votes"), F.min("sample_id").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list("sample_id")), lambda x: x.cast("string")), ",").alias("members"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +28,12 @@ u AS (SELECT 'oracle' AS method, * FROM o UNION ALL SELECT 'majority', * FROM m
 SELECT method, n, count(*) AS num_problems, count(*) FILTER (ok) AS num_correct, count(*) FILTER (ok) / count(*) AS accuracy FROM u GROUP BY method, n"""
 )
 def pool_accuracy_by_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oracle, majority and both rerankers for every budget: one shuffle by problem, one grouping per method."""
-    pool = sel.budgets(candidates(spark, sf_dir), NS)
-    keys = ("problem_id", "n")
-    parts = {"oracle": sel.oracle(pool, *keys), "majority": sel.majority_with_null_class(pool, *keys), "orm": sel.rerank(pool, "orm_score", *keys), "prm": sel.rerank(pool, "prm_score", *keys)}
-    rows = [df.select(F.lit(m).alias("method"), "n", "is_correct") for m, df in parts.items()]
-    return sel.accuracy(reduce(DataFrame.unionByName, rows), "method", "n")
+    """Oracle, majority and both rerankers for every budget: one shuffle by problem, one small one by budget."""
+    per = sel.outcomes(sel.budgets(candidates(spark, sf_dir), NS), ("orm_score", "prm_score"), "problem_id", "n")
+    names = {"oracle": "oracle", "majority": "majority", "orm": "orm_score", "prm": "prm_score"}
+    counted = per.groupBy("n").agg(F.count(F.lit(1)).alias("num_problems"), *[F.count_if(c).alias(m) for m, c in names.items()])
+    rows = counted.unpivot(["n", "num_problems"], list(names), "method", "num_correct")
+    return rows.select("method", "n", "num_problems", "num_correct", (F.col("num_correct") / F.greatest("num_problems", F.lit(1))).alias("accuracy"))
 
 
 @query(f"WITH {CANDIDATES}, {_WIN.format(where='WHERE answer IS NOT NULL')} SELECT problem_id, answer, votes, answer = gold AS is_correct FROM w WHERE rn = 1")

@@ -67,6 +67,8 @@ def test_properties(spark, random_pool):
     acc = {}
     for name, df in {"oracle": select.oracle(b, *keys), "majority": select.majority_with_null_class(b, *keys), "rerank": select.rerank(b, "s", *keys)}.items():
         acc[name] = {r.n: r.accuracy for r in select.accuracy(df, "n").collect()}
+    one = {r.n: r for r in select.outcomes(b, ("s",), *keys).groupBy("n").agg(*[F.avg(F.col(c).cast("int")).alias(c) for c in ("oracle", "majority", "s")]).collect()}
+    assert all((one[n].oracle, one[n].majority, one[n].s) == pytest.approx((acc["oracle"][n], acc["majority"][n], acc["rerank"][n])) for n in ns)
     assert acc["oracle"][1] == acc["majority"][1] == acc["rerank"][1]
     assert all(acc["oracle"][n] >= max(acc["majority"][n], acc["rerank"][n]) for n in ns)
     assert [acc["oracle"][n] for n in ns] == sorted(acc["oracle"].values())

@@ -15,15 +15,18 @@ TERMINAL = ("purchase", "signup")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per candidate answer of a problem: order lines, numbered from 0 inside their order."""
+    """One row per candidate answer of a problem: order lines, numbered from 0 inside their order.
+
+    The key gets its name before the window, so that later groupings by problem reuse the window's exchange.
+    """
     line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey")
-    joined = line.join(order, line["l_orderkey"] == order["o_orderkey"])
-    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     answer = F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), None).otherwise(F.col("l_returnflag"))
     gold = F.element_at(F.array(*map(F.lit, GOLDS)), (F.col("l_orderkey") % 3 + 1).cast("int"))
-    return joined.select(
+    rows = line.join(order, line["l_orderkey"] == order["o_orderkey"]).select(
         F.col("l_orderkey").alias("problem_id"),
-        (F.row_number().over(place) - 1).alias("sample_id"),
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
         answer.alias("answer"),
         gold.alias("gold"),
         F.col("l_extendedprice").alias("orm_score"),
@@ -32,6 +35,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(answer == gold, F.lit(False)).alias("correct"),
         F.col("l_quantity").alias("quantity"),
     )
+    place = Window.partitionBy("problem_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "orm_score")
+    return rows.withColumn("sample_id", F.row_number().over(place) - 1).select("problem_id", "sample_id", "answer", "gold", "orm_score", "prm_score", "base_seed", "correct", "quantity")
 
 
 CANDIDATES = """
@@ -46,18 +51,12 @@ c AS (SELECT problem_id, sample_id, answer, gold, orm_score, prm_score, base_see
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per step of a trajectory: a user's events in order; the mask ratio falls to 0 at the last."""
-    own = Window.partitionBy("user_id")
+    own = Window.partitionBy("trajectory_id")
     order = own.orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("trajectory_id"),
-        (F.row_number().over(order) - 1).alias("step"),
-        F.count(F.lit(1)).over(own).alias("n"),
-        F.col("value").alias("score"),
-        F.last(F.col("event_type").isin(*TERMINAL)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("final_correct"),
-        "event_type",
-        "event_id",
-    )
-    return rows.withColumn("mask_ratio", 1 - (F.col("step") + 1) / F.col("n"))
+    terminal = F.last(F.col("event_type").isin(*TERMINAL)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("trajectory_id"), "ts", F.col("value").alias("score"), "event_type", "event_id")
+    rows = rows.withColumns({"step": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(own), "final_correct": terminal})
+    return rows.select("trajectory_id", "step", "n", "score", "final_correct", "event_type", "event_id", (1 - (F.col("step") + 1) / F.col("n")).alias("mask_ratio"))
 
 
 SNAPSHOTS = """

@@ -43,8 +43,9 @@ def written(df: DataFrame, name: str, per_core: int = 16) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A small step's rows, kept for their second reader; what is lost with an executor is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A small step's rows, kept for their second reader on the executors' disks, so that they take no memory from
+    joins and sorts; what is lost with an executor is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def text_or_empty(name: str = "text") -> Column:

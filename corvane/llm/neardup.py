@@ -95,12 +95,18 @@ def components(edges: DataFrame) -> DataFrame:
     by `lookup`, so no task holds all of them. Edges: (a, b) in any order; self loops and repeats do no harm.
     """
 
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(kept(df))
+        return held[-1]
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         # Small: each node with its smaller neighbours; large: with all of them, but only larger ones are moved.
         from_to = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if large:
             from_to = from_to.unionByName(from_to.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = kept(from_to.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        least = hold(from_to.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
         moved = lookup(from_to, least, "u", "n")
         moved = moved.where(F.col("v") > F.col("u")).select("v", "m") if large else moved.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
         return moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -111,7 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 1)
     before = state(edges)
     while before[0]:
-        edges = written(star(kept(star(edges, True)), False), "edges", 1)
+        edges = written(star(hold(star(edges, True)), False), "edges", 1)
+        while held:  # what the round needed is written
+            held.pop().unpersist()
         after = state(edges)
         if after == before:
             break

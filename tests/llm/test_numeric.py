@@ -10,7 +10,7 @@ from corvane.llm import bpe, media, wordnum
 from corvane.llm.common import buffers
 from corvane.llm.queries import tokenizer_path
 
-ODD = ["a\n \nb", "w \n x  y   z \t q", "a\u00a0 b \u00a0c \u2003 d", " x", "x ", "a <|endoftext|> b  <|endoftext|>", "", None, "a", "x" * 30000, "word " * 5000, "é" * 9000, "a b  c\n\n d", "don't you'll <|endoftext|> it's", "日本語テキスト" * 3000, "\n" * 100, "  lead", "tail  ", "1234567890" * 2000, "a b" * 7000 + "\t\t" * 5000]
+ODD = ["one, two. three; x: y! z? w,. v.", "a\n \nb", "w \n x  y   z \t q", "a\u00a0 b \u00a0c \u2003 d", " x", "x ", "a <|endoftext|> b  <|endoftext|>", "", None, "a", "x" * 30000, "word " * 5000, "é" * 9000, "a b  c\n\n d", "don't you'll <|endoftext|> it's", "日本語テキスト" * 3000, "\n" * 100, "  lead", "tail  ", "1234567890" * 2000, "a b" * 7000 + "\t\t" * 5000]
 
 
 @pytest.fixture(scope="module")

@@ -22,7 +22,7 @@ def with_scores(pool: DataFrame, scores: DataFrame, keys: Sequence[str]) -> Data
 def aligned(left: DataFrame, right: DataFrame, order: Column | str) -> DataFrame:
     """Rows of two lists by their position inside a problem: (problem_id, pos, a, b), null where one list ends."""
     place = Window.partitionBy("problem_id").orderBy(order)
-    number = lambda df, name: df.select("problem_id", (F.row_number().over(place) - 1).alias("pos"), F.col("value").alias(name))
+    number = lambda df, name: df.select("problem_id", (F.row_number().over(place) - 1).cast("bigint").alias("pos"), F.col("value").alias(name))
     return number(left, "a").join(number(right, "b"), ["problem_id", "pos"], "full")
 
 
@@ -49,7 +49,7 @@ def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def prefix_extended(pool: DataFrame, n: int) -> DataFrame:
     """(problem_id, sample_id, reused): candidates 0 to n - 1, those that the pool has already marked."""
-    wanted = pool.select("problem_id").distinct().select("problem_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_id"))
+    wanted = pool.select("problem_id").distinct().select("problem_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("sample_id"))
     have = pool.select("problem_id", "sample_id", F.lit(True).alias("reused"))
     return wanted.join(have, ["problem_id", "sample_id"], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
 

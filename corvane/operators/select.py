@@ -157,7 +157,7 @@ def outcomes(pool: DataFrame, scores: tuple[str, ...], *keys: str) -> DataFrame:
 def clusters(pool: DataFrame) -> DataFrame:
     """Valid answers with their votes, members and rank by first appearance."""
     each = pool.where("answer IS NOT NULL").groupBy(P, "answer").agg(F.count(F.lit(1)).alias("votes"), F.min("sample_id").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list("sample_id")), lambda x: x.cast("string")), ",").alias("members"))
-    return each.withColumn("cluster_id", F.row_number().over(Window.partitionBy(P).orderBy("first")) - 1)
+    return each.withColumn("cluster_id", (F.row_number().over(Window.partitionBy(P).orderBy("first")) - 1).cast("bigint"))
 
 
 def accuracy(outcomes: DataFrame, *keys: str) -> DataFrame:

@@ -86,7 +86,7 @@ def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SNAPSHOTS} SELECT trajectory_id, -1 AS step FROM s GROUP BY 1 UNION ALL SELECT trajectory_id, step FROM s WHERE step % 6 = 0 OR step = n - 1")
 def capture_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = snapshots(spark, sf_dir)
-    start = rows.select("trajectory_id").distinct().withColumn("step", F.lit(-1))
+    start = rows.select("trajectory_id").distinct().withColumn("step", F.lit(-1).cast("bigint"))
     return start.unionByName(rows.where((F.col("step") % 6 == 0) | (F.col("step") == F.col("n") - 1)).select("trajectory_id", "step"))
 
 

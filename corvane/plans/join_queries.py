@@ -123,5 +123,5 @@ def ancestor_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate with the state of its parent, candidate id // 2: one shuffle by problem serves both sides."""
     pool = candidates(spark, sf_dir).select("problem_id", "sample_id", "orm_score")
     parent = pool.select("problem_id", F.col("sample_id").alias("ancestor"), F.col("orm_score").alias("ancestor_score"))
-    child = pool.select("problem_id", "sample_id", F.floor(F.col("sample_id") / 2).cast("int").alias("ancestor"))
+    child = pool.select("problem_id", "sample_id", F.floor(F.col("sample_id") / 2).cast("bigint").alias("ancestor"))
     return child.join(parent, ["problem_id", "ancestor"])

@@ -189,7 +189,7 @@ def random_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CANDIDATES} SELECT problem_id, sample_id, CAST(('0x' || substr(sha256('[' || base_seed || ',' || problem_id || ',' || sample_id || ',"gen"]'), 1, 16)) AS UBIGINT) & 9223372036854775807::UBIGINT AS seed FROM c"""
+    f"""WITH {CANDIDATES} SELECT problem_id, sample_id, CAST(CAST(('0x' || substr(sha256('[' || base_seed || ',' || problem_id || ',' || sample_id || ',"gen"]'), 1, 16)) AS UBIGINT) & 9223372036854775807::UBIGINT AS BIGINT) AS seed FROM c"""
 )
 def seed_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).withColumn("stage", F.lit("gen")).select("problem_id", "sample_id", resample.derive_seed("base_seed", "problem_id", "sample_id", "stage").alias("seed"))

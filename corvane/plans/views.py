@@ -36,7 +36,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"),
     )
     place = Window.partitionBy("problem_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "orm_score")
-    return rows.withColumn("sample_id", F.row_number().over(place) - 1).select("problem_id", "sample_id", "answer", "gold", "orm_score", "prm_score", "base_seed", "correct", "quantity")
+    return rows.withColumn("sample_id", (F.row_number().over(place) - 1).cast("bigint")).select("problem_id", "sample_id", "answer", "gold", "orm_score", "prm_score", "base_seed", "correct", "quantity")
 
 
 CANDIDATES = """
@@ -55,7 +55,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = own.orderBy("ts", "event_id")
     terminal = F.last(F.col("event_type").isin(*TERMINAL)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("trajectory_id"), "ts", F.col("value").alias("score"), "event_type", "event_id")
-    rows = rows.withColumns({"step": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(own), "final_correct": terminal})
+    rows = rows.withColumns({"step": (F.row_number().over(order) - 1).cast("bigint"), "n": F.count(F.lit(1)).over(own), "final_correct": terminal})
     return rows.select("trajectory_id", "step", "n", "score", "final_correct", "event_type", "event_id", (1 - (F.col("step") + 1) / F.col("n")).alias("mask_ratio"))
 
 

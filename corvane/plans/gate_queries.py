@@ -59,14 +59,15 @@ def dq_pool_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SNAPSHOTS}, t AS (SELECT trajectory_id, list(step ORDER BY step) AS steps, list(mask_ratio ORDER BY step) AS ratios, count(*) AS n FROM s WHERE step < 8 GROUP BY trajectory_id)
-SELECT 'steps' AS "check", trajectory_id || '/0' AS key, '7' AS expected, CAST(n AS VARCHAR) AS actual FROM t WHERE steps <> [0, 1, 2, 3, 4, 5, 6] UNION ALL SELECT 'ratios', trajectory_id || '/0', '7', CAST(n AS VARCHAR) FROM t WHERE n <> 7
+    f"""WITH {SNAPSHOTS}, t AS (SELECT trajectory_id, list(step ORDER BY step) AS steps, list(mask_ratio ORDER BY step) AS ratios, count(*) AS n FROM s GROUP BY trajectory_id)
+SELECT 'steps' AS "check", trajectory_id || '/0' AS key, '64' AS expected, CAST(n AS VARCHAR) AS actual FROM t WHERE steps <> range(0, 64) UNION ALL SELECT 'ratios', trajectory_id || '/0', '64', CAST(n AS VARCHAR) FROM t WHERE n <> 64
 UNION ALL SELECT 'label', trajectory_id || '/0', 'true', 'false' FROM t WHERE trajectory_id % 10 = 3"""
 )
 def dq_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = snapshots(spark, sf_dir).where("step < 8").groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("step", "mask_ratio"))).alias("s"))
+    """Whole trajectories against a schedule of 64 steps, which few of them have."""
+    rows = snapshots(spark, sf_dir).groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("step", "mask_ratio"))).alias("s"))
     rows = rows.select(F.col("trajectory_id").alias("problem_id"), F.lit(0).alias("trajectory_id"), F.transform("s", lambda x: x["step"]).alias("snapshot_steps"), F.transform("s", lambda x: x["mask_ratio"]).alias("mask_ratios"), F.array_repeat(F.lit(1), 4).alias("generated_token_ids"), F.lit(True).alias("graded"))
-    return gates.trajectory(rows.withColumn("is_correct", F.col("problem_id") % 10 != 3), list(range(7)), 4)
+    return gates.trajectory(rows.withColumn("is_correct", F.col("problem_id") % 10 != 3), list(range(64)), 4)
 
 
 @query(f"WITH {CANDIDATES} SELECT 'weight' AS \"check\", CAST(problem_id AS VARCHAR) AS key, 'finite, >= 0' AS expected, CAST(quantity - 2 AS VARCHAR) AS actual FROM c WHERE quantity < 2 UNION ALL SELECT 'sum', CAST(problem_id AS VARCHAR), '> 0', CAST(sum(quantity - 2) AS VARCHAR) FROM c GROUP BY problem_id HAVING sum(quantity - 2) <= 0")

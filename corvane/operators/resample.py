@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ def resampled_means(outcomes: DataFrame, values: list[str], times: int, key: str
     Draws are rows (resample, place), four from one MD5; they meet the outcomes by place, broadcast or
     shuffled as their size tells, and are added up on the map side first.
     """
-    placed = numbered(outcomes, key).withColumnRenamed("ordinal", "place")
+    # A row per problem, read by the bounds, the counts, the draws and the join: computed once.
+    placed = numbered(outcomes.persist(StorageLevel.MEMORY_AND_DISK), key).withColumnRenamed("ordinal", "place")
     total = F.col("total").cast("bigint")
     groups = placed.select("total", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit((times - 1) // 4))).alias("g"))
     hashed = groups.select("total", "g", F.md5(F.concat_ws("-", F.col("g").cast("string"), F.col("i").cast("string"))).alias("h"))

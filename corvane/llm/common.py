@@ -34,14 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SHARED).rstrip("/")
 
 
-def written(df: DataFrame, name: str, per_core: int = 16) -> DataFrame:
+def written(df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again; `per_core` files a core at most."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    compact(df, per_core).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """df in `per_core` partitions a core at most: fewer and larger files, without a shuffle."""
+    return df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A small step's rows, kept for their second reader on the executors' disks, so that they take no memory from
     joins and sorts; what is lost with an executor is computed again."""

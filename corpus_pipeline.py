@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, decontaminate, neardup, quality, secret_scan
-from corvane.llm.common import written
+from corvane.llm.common import compact, written
 from corvane.llm.queries import tokenizer_path
 from corvane.session import table
 
@@ -19,29 +19,29 @@ from corvane.session import table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives a probability of 0.3 or more of being good."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, name="quality_score").where(F.col("quality_score") >= 0.3).select(*docs.columns)
+    return compact(quality.scored(docs, model, name="quality_score").where(F.col("quality_score") >= 0.3).select(*docs.columns))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id."""
-    return neardup.deduplicated(docs)
+    return compact(neardup.deduplicated(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item; those with one go whole."""
-    return decontaminate.without_documents(docs, table(spark, sf_dir, "benchmark"))
+    return compact(decontaminate.without_documents(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by a mark that tells an owner's live one from a copied example."""
     found = written(secret_scan.secrets(docs), "found")
     out = secret_scan.masked(docs, found)
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out
+    return compact(out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    return bpe.encode_digest(docs, tokenizer_path("byte_bpe_50k.json"))
+    return compact(bpe.encode_digest(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
 STAGES = [

@@ -10,8 +10,8 @@ from corvane.operators.select import accuracy, rerank
 from corvane.plans.registry import query
 from corvane.plans.views import CANDIDATES, SCORED, SNAPSHOTS, candidates, scored_documents, snapshots
 
-#: Resamples of the registered bootstraps.
-TIMES = 100
+#: Resamples of the registered bootstraps: N_BOOT of the reference, so the bounds are those at places 25 and 975.
+TIMES = 1000
 _DRAW = "CAST(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) % {n} AS BIGINT)"
 _AUC = """p AS (SELECT {group} v, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM l GROUP BY ALL),
 q AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {part} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM p)

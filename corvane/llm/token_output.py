@@ -18,8 +18,8 @@ from corvane.llm.common import blocks, buffers, python_ready, text_or_empty, wri
 END = 2
 #: A shard's most ids before compression: bounds what a worker holds; a partition writes as many shards as it needs.
 SHARD_IDS = 4 << 20
-#: Rounds of replacing, pairs in a round, the fewest occurrences worth a rule, and the share of symbols below which a round is the last.
-ROUNDS, PER_ROUND, LEAST, GAIN = 5, 4096, 8, 0.03
+#: Pairs in a round, and the fewest occurrences worth a rule.
+PER_ROUND, LEAST = 4096, 8
 #: Different pieces that a worker keeps with their ids: about 80 MB.
 KEPT_WORDS = 3_000_000
 #: Bytes of pieces: all but spaces and line breaks.
@@ -33,14 +33,13 @@ def repair(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarr
 
     Each round counts all neighbouring pairs, takes the most frequent ones of which none can overlap
     another (no symbol is the left of one and the right of another), and replaces their occurrences.
-    No pair goes over a document's end.
+    Rounds end when no pair is left that occurs LEAST times, or no number for a symbol. No pair goes
+    over a document's end.
     """
     seq = ids.astype(np.uint16)
     rules: list[tuple[int, int]] = []
     room = 65536 - vocabulary
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or len(rules) >= room:
-            break
+    while len(seq) > 1 and len(rules) < room:
         codes = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
         inner = ends[:-1] - 1
         codes[inner] = 0xFFFFFFFF
@@ -49,23 +48,26 @@ def repair(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarr
         counts, values = np.diff(np.append(first, len(ordered))), ordered[first]
         good = np.flatnonzero((counts >= LEAST) & (values != 0xFFFFFFFF))
         good = good[np.argsort(-counts[good], kind="stable")][:PER_ROUND]
-        lefts, rights, slots, chosen = set(), set(), {}, []
+        lefts, rights, slots, clashing, chosen = set(), set(), {}, [], []
         for code in values[good].tolist():
             a, b = code >> 16, code & 0xFFFF
             slot = (code * 2654435761 & 0xFFFFFFFF) >> 12
-            if a in rights or b in lefts or (a == b and (a in lefts or b in rights)) or slot in slots or len(rules) + len(chosen) >= room:
+            if a in rights or b in lefts or (a == b and (a in lefts or b in rights)) or len(rules) + len(chosen) >= room:
                 continue
             lefts.add(a)
             rights.add(b)
-            slots[slot] = len(chosen)
+            if slots.setdefault(slot, len(chosen)) != len(chosen):
+                clashing.append(len(chosen))
             chosen.append(code)
         if not chosen:
             break
-        # A table by a hash of the pair, then a look whether it is that pair.
+        # A table by a hash of the pair, then a look whether it is that pair; the few whose slot is taken are sought one by one.
         table = np.zeros(1 << 20, np.uint16)
         table[list(slots)] = list(slots.values())
         own = np.array(chosen, np.uint32)
         which = table[(codes * np.uint32(2654435761)) >> np.uint32(12)]
+        for k in clashing:
+            which[codes == own[k]] = k
         at = np.flatnonzero(own[which] == codes)
         # Only a pair of equal symbols can overlap itself: of its places in a row, every other one counts.
         row = np.flatnonzero(np.diff(at, prepend=-2) != 1)
@@ -76,8 +78,6 @@ def repair(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarr
         ends = ends - np.searchsorted(at + 1, ends)
         seq = seq[keep]
         rules += [(c >> 16, c & 0xFFFF) for c in chosen]
-        if len(at) < GAIN * len(keep):
-            break
     return seq, ends, np.array(rules, np.uint16).reshape(-1, 2)
 
 

@@ -25,12 +25,16 @@ TEMPLATES = {
 }
 
 
-def bigrams(text: str) -> list[str]:
-    """A template's word bigrams, repeated ones too; of one word, that word."""
+def _split(text: str) -> list[str]:
     import re
 
-    w = [x for x in re.split(f"[{NOT_WORD}]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if x]
-    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] if len(w) > 1 else w
+    return [x for x in re.split(f"[{NOT_WORD}]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if x]
+
+
+def bigrams(text: str) -> list[str]:
+    """A template's distinct word bigrams; of one word, that word."""
+    w = _split(text)
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))) if len(w) > 1 else w
 
 
 def bounds(m: int, least: int = LEAST) -> tuple[int, int]:
@@ -38,47 +42,64 @@ def bounds(m: int, least: int = LEAST) -> tuple[int, int]:
     return -(-least * m // (2000 - least)), (2000 - least) * m // least
 
 
-def _pairs(w: Column) -> Column:
-    """The bigrams of an array of words."""
-    return F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))).otherwise(w)
+def fewest_words(grams: list[str], common: int) -> int:
+    """How many of a template's words a part at least has that has `common` of its bigrams.
+
+    A word that is missing takes along all bigrams with it, and a bigram has two words at most.
+    """
+    own: dict[str, int] = {}
+    for g in grams:
+        for w in set(g.split(" ")):
+            own[w] = own.get(w, 0) + 1
+    missing, lost = 0, 0
+    for n in sorted(own.values()):
+        lost += n
+        if lost > 2 * (len(grams) - common):
+            break
+        missing += 1
+    return len(own) - missing
 
 
-def _common(g: Column, template: list[str]) -> Column:
-    """How many bigrams of the template the array g has too, each as often as both have it."""
-    times = {x: template.count(x) for x in template}
-    once = [x for x, n in times.items() if n == 1]
-    out = F.size(F.array_intersect(g, F.array(*map(F.lit, once)))) if once else F.lit(0)
-    for x, n in times.items():
-        if n > 1:
-            out = out + F.least(F.lit(n), F.size(F.filter(g, lambda y: y == x)))  # noqa: B023
-    return out
+def _pairs(w: Column) -> Column:
+    """The bigrams of an array of words; of one word, that word."""
+    return F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))).otherwise(w)
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: int = LEAST) -> DataFrame:
     """key, line (0 for the whole text), licence, common, size, template_size: every part similar enough to a template.
 
-    Parts are the text's lines and, if it has several, the whole text. Sizes count bigrams with
-    repetition, so the number of a part's words tells which templates it can reach; parts that can reach
-    none are never cut into bigrams. The words are found once, by line. No shuffle; templates are part of the plan.
+    Parts are the text's lines and, if it has several, the whole text; sizes count distinct bigrams. A part
+    that matches has so many of the template's bigrams that its text has them too, and the words they are
+    made of: texts are compared with a template only if they do. No shuffle; templates are part of the plan.
     """
-    known = {k: bigrams(t) for k, t in (templates or TEMPLATES).items()}
-    ranges = [bounds(len(g), least) for g in known.values()]
-    fits = lambda n: F.array_max(F.array(*[(n >= lo) & (n <= hi) for lo, hi in sorted(set(ranges))]))
-    size = lambda w: F.greatest(F.size(w) - 1, F.least(F.size(w), F.lit(1)))
-
-    def parts(lines: Column) -> Column:
-        total = F.aggregate(lines, F.lit(0), lambda n, w: n + F.size(w))
-        whole = F.when((F.size(lines) > 1) & (total <= max(hi for _, hi in ranges) + 1), F.array(F.struct(F.lit(0).alias("line"), F.flatten(lines).alias("w")))).otherwise(F.array().cast("array<struct<line:int,w:array<string>>>"))
-        return F.filter(F.concat(whole, F.transform(lines, lambda w, i: F.struct((i + 1).alias("line"), w.alias("w")))), lambda p: fits(size(p["w"])))
-
-    few = docs.select(F.col(key).alias("key"), F.inline(let(F.transform(F.split(folded(F.col(text)), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"[^{NOT_WORD}]+"), F.lit(0))), parts)))
-    grams = few.select("key", "line", size(F.col("w")).alias("size"), _pairs(F.col("w")).alias("g"))
-    found = []
-    for name, g in sorted(known.items()):
-        lo, hi = bounds(len(g), least)
-        common = F.when((F.col("size") >= lo) & (F.col("size") <= hi), _common(F.col("g"), g))
-        found.append(F.struct(F.lit(name).alias("licence"), common.alias("common"), F.lit(len(g)).alias("template_size")))
-    rows = grams.select("key", "line", "size", F.inline(F.array(*found)))
+    known = {k: bigrams(t) for k, t in sorted((templates or TEMPLATES).items())}
+    low = {k: bounds(len(g), least)[0] for k, g in known.items()}
+    vocabulary = {k: sorted({w for x in g for w in x.split(" ")}) for k, g in known.items()}
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    lines = F.transform(F.split(folded(F.col(text)), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"[^{NOT_WORD}]+"), F.lit(0)))
+    every = strings(sorted({w for v in vocabulary.values() for w in v}))
+
+    def by_words(a: Column) -> Column:
+        """The text's lines as words, and the templates whose words it has enough of; null without any."""
+        met = lambda v: F.array_compact(F.array(*[F.when(F.size(F.array_intersect(v, strings(w))) >= fewest_words(known[k], low[k]), F.lit(k)) for k, w in vocabulary.items()]))
+        return let(let(F.array_intersect(F.flatten(a), every), met), lambda m: F.when(F.size(m) > 0, F.struct(a.alias("lines"), m.alias("met"))))
+
+    some = docs.select(F.col(key).alias("key"), let(lines, by_words).alias("t")).where("t IS NOT NULL").select("key", "t.lines", "t.met")
+
+    def by_bigrams(g: Column) -> Column:
+        one = [F.when(F.array_contains("met", k) & (F.size(F.array_intersect(g, strings(x))) >= low[k]), F.struct(F.lit(k).alias("licence"), strings(x).alias("template"))) for k, x in known.items()]
+        return F.array_compact(F.array(*one))
+
+    # A text of several words has no part's single word as a bigram: words are added to its bigrams.
+    met = some.select("key", "lines", F.inline(let(let(F.flatten("lines"), lambda w: F.concat(_pairs(w), w)), by_bigrams)))
+
+    def parts(a: Column) -> Column:
+        part = lambda first, w: F.struct(first.alias("line"), F.array_distinct(_pairs(w)).alias("g"))
+        whole = F.when(F.size(a) > 1, F.array(part(F.lit(0), F.flatten(a))))
+        return F.concat(F.coalesce(whole, F.array().cast("array<struct<line:int,g:array<string>>>")), F.transform(a, lambda w, i: part(i + 1, w)))
+
+    rows = met.select("key", "licence", "template", F.inline(parts(F.col("lines"))))
+    rows = rows.select("key", "line", "licence", F.size(F.array_intersect("g", "template")).alias("common"), F.size("g").alias("size"), F.size("template").alias("template_size"))
     return rows.where(2000 * F.col("common") >= least * (F.col("size") + F.col("template_size"))).withColumnRenamed("key", key)
 
 
@@ -109,8 +130,8 @@ def oracle(least: int = LEAST) -> str:
     p AS (SELECT doc_id, i AS line, string_split(coalesce(text, ''), chr(10))[i] AS part FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS r(i)
           UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
     w AS (SELECT doc_id, line, {split} AS w FROM p),
-    b AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END AS g FROM w),
-    m AS (SELECT doc_id, line, licence, list_sum(list_transform(list_distinct(t.g), lambda x: least(len(list_filter(b.g, lambda y: y = x)), len(list_filter(t.g, lambda y: y = x))))) AS common, len(b.g) AS size, len(t.g) AS template_size FROM b, t WHERE len(b.g) > 0 AND (2000 - {least}) * len(b.g) >= {least} * len(t.g) AND {least} * len(b.g) <= (2000 - {least}) * len(t.g)),
+    b AS (SELECT doc_id, line, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w),
+    m AS (SELECT doc_id, line, licence, len(list_intersect(b.g, t.g)) AS common, len(b.g) AS size, len(t.g) AS template_size FROM b, t WHERE len(b.g) > 0 AND len(b.g) <= 2 * len(t.g)),
     f AS (SELECT doc_id, licence, CAST(floor(2000 * common / (size + template_size)) AS BIGINT) AS d FROM m WHERE 2000 * common >= {least} * (size + template_size)),
     a AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(d) AS d FROM f GROUP BY doc_id)
     SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licences, '') AS licences,

@@ -17,6 +17,10 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "BSD-2-Clause-full": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "GPL-3.0-notice-full": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "ISC-full": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
@@ -66,9 +70,12 @@ def _pairs(w: Column) -> Column:
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: int = LEAST) -> DataFrame:
-    """key, line (0 for the whole text), licence, common, size, template_size: every part similar enough to a template.
+    """key, line, last, licence, common, size, template_size: every part similar enough to a template.
 
-    Parts are the text's lines and, if it has several, the whole text; sizes count distinct bigrams. A part
+    Parts are the text's lines (line and last are the same), if it has several the whole text (0, 0), and
+    spans of lines, from `line` to `last`, whose words fit the template's bounds. Spans begin and end with a
+    line that has a word of the template: others add nothing. A span counts unless a matching part of the same licence that
+    overlaps it is more alike, or as alike and a line, the whole text or earlier. Sizes count distinct bigrams. A part
     that matches has so many of the template's bigrams that its text has them too, and the words they are
     made of: texts are compared with a template only if they do. No shuffle; templates are part of the plan.
     """
@@ -93,13 +100,39 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     # A text of several words has no part's single word as a bigram: words are added to its bigrams.
     met = some.select("key", "lines", F.inline(let(let(F.flatten("lines"), lambda w: F.concat(_pairs(w), w)), by_bigrams)))
 
-    def parts(a: Column) -> Column:
-        part = lambda first, w: F.struct(first.alias("line"), F.array_distinct(_pairs(w)).alias("g"))
-        whole = F.when(F.size(a) > 1, F.array(part(F.lit(0), F.flatten(a))))
-        return F.concat(F.coalesce(whole, F.array().cast("array<struct<line:int,g:array<string>>>")), F.transform(a, lambda w, i: part(i + 1, w)))
-
-    rows = met.select("key", "licence", "template", F.inline(parts(F.col("lines"))))
-    rows = rows.select("key", "line", "licence", F.size(F.array_intersect("g", "template")).alias("common"), F.size("g").alias("size"), F.size("template").alias("template_size"))
+    share = lambda p: 2000 * p["common"] / (p["size"] + F.size("template"))
+
+    def part(first: Column, last: Column, w: Column) -> Column:
+        g = F.array_distinct(_pairs(w))
+        return F.struct(first.cast("int").alias("line"), last.cast("int").alias("last"), F.size(F.array_intersect(g, F.col("template"))).alias("common"), F.size(g).alias("size"))
+
+    empty = F.array().cast("array<struct<line:int,last:int,common:int,size:int>>")
+    alike = lambda parts: F.filter(parts, lambda p: 2000 * p["common"] >= least * (p["size"] + F.size("template")))
+    own = F.split(F.array_join("template", " "), " ")
+    a = F.col("lines")
+    # Lines that a span can begin and end with, and the words of the text up to each line's end.
+    ends = F.aggregate(a, F.array().cast("array<int>"), lambda n, w: F.concat(n, F.array(F.coalesce(F.try_element_at(n, F.lit(-1)), F.lit(0)) + F.size(w))))
+    touched = lambda t: F.filter(F.transform(a, lambda w, i: F.when(F.arrays_overlap(w, t), i + 1)), lambda i: i.isNotNull())
+    whole = F.when(F.size(a) > 1, F.array(part(F.lit(0), F.lit(0), F.flatten(a)))).otherwise(empty)
+    met = met.select("key", "licence", "template", "lines", ends.alias("ends"), let(own, touched).alias("touched"), alike(F.concat(whole, F.transform(a, lambda w, i: part(i + 1, i + 1, w)))).alias("single"))
+    most = (2000 - least) * F.size("template") / least + 1
+
+    def spans_from(i: Column, at: Column) -> Column:
+        """Spans of two lines or more from line i, the at-th of those touched: each has a word of its own, so few can fit."""
+        before = F.element_at("ends", i) - F.size(F.element_at("lines", i))
+        later = F.slice(F.col("touched"), at + 2, F.ceil(most).cast("int"))
+        return F.transform(F.filter(later, lambda j: F.element_at("ends", j) - before <= most), lambda j: part(i, j, F.flatten(F.slice(F.col("lines"), i, j - i + 1))))
+
+    spans = F.flatten(F.transform("touched", lambda i, at: alike(spans_from(i, at))))
+    met = met.select("key", "licence", "template", "single", spans.alias("spans"))
+
+    def best(p: Column) -> Column:
+        over = lambda q: (q["line"] == 0) | ((q["line"] <= p["last"]) & (q["last"] >= p["line"]))
+        first = lambda q: (q["line"] < p["line"]) | ((q["line"] == p["line"]) & (q["last"] < p["last"]))
+        return ~F.exists("single", lambda q: over(q) & (share(q) >= share(p))) & ~F.exists("spans", lambda q: over(q) & ((share(q) > share(p)) | ((share(q) == share(p)) & first(q))))
+
+    rows = met.select("key", "licence", F.size("template").alias("template_size"), F.inline(F.concat("single", F.filter("spans", best))))
+    rows = rows.select("key", "line", "last", "licence", "common", "size", "template_size")
     return rows.where(2000 * F.col("common") >= least * (F.col("size") + F.col("template_size"))).withColumnRenamed("key", key)
 
 
@@ -107,19 +140,19 @@ def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", templates
     """key, n_matches, licences (sorted, comma-joined), best and best_permille (its Dice coefficient, in thousandths, rounded down).
 
     Every row comes back, without a match with 0, an empty string and nulls; so do rows with a null key.
-    Rows that repeat a key share their matches, those on the same line counted once. Ties for the best
+    Rows that repeat a key share their matches, those on the same lines counted once. Ties for the best
     go to the first name. Null and empty texts match nothing.
     """
     found = matches(docs, key, text, templates, least)
     dice = F.floor(2000 * F.col("common") / (F.col("size") + F.col("template_size"))).cast("bigint")
     best = F.min(F.struct((-dice).alias("d"), "licence"))
-    per = found.groupBy(key).agg(F.size(F.collect_set(F.struct("line", "licence"))).cast("bigint").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), best.alias("b"))
+    per = found.groupBy(key).agg(F.size(F.collect_set(F.struct("line", "last", "licence"))).cast("bigint").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), best.alias("b"))
     out = docs.select(key).join(per, key, "left")
     return out.select(key, F.coalesce("n_matches", F.lit(0).cast("bigint")).alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"), F.col("b.licence").alias("best"), (-F.col("b.d")).alias("best_permille"))
 
 
 def oracle(least: int = LEAST) -> str:
-    """DuckDB SQL of `licences` over documents."""
+    """DuckDB SQL of `licences` over documents whose notices stand on one line or are the whole text: it has no spans of lines."""
     import string
 
     fold = f"translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"

@@ -36,3 +36,21 @@ def test_a_matching_part_has_the_fewest_words():
                 c = len(set(bigrams(" ".join(w[a:b]))))
                 if c >= bounds(m)[0]:
                     assert len(set(w[a:b])) >= fewest_words(bigrams(t), bounds(m)[0])
+
+
+def test_notices_over_several_lines(spark):
+    import textwrap
+
+    wrap = lambda k, n: "\n".join("# " + x for x in textwrap.wrap(TEMPLATES[k], n))
+    code = "\n".join(f"def f{i}(x):\n    return the_{i} + x" for i in range(60))
+    cut = TEMPLATES["MIT-full"].replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    header = wrap("Apache-2.0-header", 75)
+    texts = [f"{code}\n{header}\n{code}", f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{cut}", f"Copyright 2020\n\n{TEMPLATES['BSD-2-Clause-full']}", f"{code}\n{header}\n{code}\n{header}\n{code}", f"{code}\nThis work is licensed under a Creative\nCommons Attribution 4.0 International License.\n{code}", code, f"{code}\nReleased under the MIT License.\nSee the file."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.line, r["last"], r.licence): 2000 * r.common // (r["size"] + r.template_size) for r in license_scan.matches(docs).collect()}
+    n = len(header.split("\n"))
+    assert got[0, 121, 120 + n, "Apache-2.0-header"] == 1000
+    assert {k for k in got if k[0] == 3 and k[3] == "Apache-2.0-header"} == {(3, 121, 120 + n, "Apache-2.0-header"), (3, 241 + n, 240 + 2 * n, "Apache-2.0-header")}
+    assert got[1, 0, 0, "MIT-full"] > 900 and got[2, 0, 0, "BSD-2-Clause-full"] > 900
+    assert got[1, 5, 7, "MIT-text"] == 1000 and got[4, 121, 122, "CC-BY-4.0"] == 1000
+    assert {k for k in got if k[0] in (5, 6)} == {(6, 121, 121, "MIT")}

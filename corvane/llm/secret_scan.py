@@ -20,10 +20,34 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _BEARER = re.compile(r"[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})")
 _VENDOR = re.compile(r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]{16,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+#: A key's header; its footer, sought before any further header; and lines of a body without one: headers of the key, then base64.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_GAP = re.compile(r"(?:\s|\\r|\\n)*")
+_PEM_HEADERS = re.compile(r"(?:[A-Za-z][A-Za-z0-9-]*:[ \t][^\n]*(?:\n|$))+\s*")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}(?:(?:\s|\\r|\\n)+[A-Za-z0-9+/=]{16,})*(?:(?:\s|\\r|\\n)+[A-Za-z0-9+/]{1,15}={1,2}(?![A-Za-z0-9+/=]))?")
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 
 
+def keys(text: str) -> list[tuple[int, int, int, str]]:
+    """Private keys, each from its header to its footer, or to the end of its base64 if no footer comes before the next
+    header; the secret is the body between them without white space, or the header of a key without a body."""
+    out, at = [], 0
+    while m := _PEM.search(text, at):
+        end = _PEM_END.search(text, m.end())
+        if end and end[1] == "END":
+            stop, body = end.end(), text[m.end() : end.start()]
+        else:
+            begin = _PEM_GAP.match(text, m.end()).end()
+            if head := _PEM_HEADERS.match(text, begin):
+                begin = head.end()
+            run = _PEM_BODY.match(text, begin)
+            stop, body = (run.end(), text[m.end() : run.end()]) if run else (m.end(), "")
+        out.append((m.start(), stop, 5, re.sub(r"\s|\\r|\\n", "", body) or m[0]))
+        at = stop
+    return out
+
+
 def found(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, kind's place, secret) of a text, by start, then kind; offsets in code points."""
     out = []
@@ -35,8 +59,8 @@ def found(text: str) -> list[tuple[int, int, int, str]]:
     if "earer " in text:
         out += [(*m.span(), 3, m[1]) for m in _BEARER.finditer(text)]
     out += [(*m.span(), 4, m[0]) for m in _VENDOR.finditer(text)] if "_" in text or "-" in text or "AIza" in text else []
-    if "PRIVATE KEY-----" in text:
-        out += [(*m.span(), 5, text[m.start() : m.start() + 200]) for m in _PEM.finditer(text)]
+    if "PRIVATE KEY" in text:
+        out += keys(text)
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 

@@ -143,7 +143,7 @@ def identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
     table = trained(docs, "text", "lang")
     known = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"), F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("path_lang"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("source", F.lit("")).alias("domain"), F.lit("").alias("suffix"), F.coalesce("text", F.lit("")).alias("text"))
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
-    declared = F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 4096), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
     web = pages.select(F.lit("page").alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), declared.alias("declared"), F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[^:]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1).alias("path_lang"), host.alias("host"), F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host).alias("domain"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"), F.coalesce("html", F.lit("")).alias("text"))
     keep = ["kind", "doc_id", "page_id", "declared", "path_lang", "host", "domain", "suffix"]
     seen = likelihoods(known, table, keep, False).unionByName(likelihoods(web, table, keep, True))

@@ -9,7 +9,7 @@ from corvane.llm.common import lookup, written
 
 #: A line's marks of quotation, before its text.
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-#: Normalised passages of fewer characters link nothing: "ok" stands in every other message.
+#: Normalised passages of fewer characters link nothing in other conversations: "ok" stands in every other message.
 LEAST = 12
 
 
@@ -54,31 +54,36 @@ def passages(rows: DataFrame) -> DataFrame:
     """(row_id, conv_id, turn, hash) of every passage a message can be quoted by: its own text whole, and each line of it."""
     parts = F.array_distinct(F.concat(F.array("own"), F.split("own", "\n")))
     flat = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("row_id", "conv_id", "turn", F.explode(F.transform(parts, normalised)).alias("passage"))
-    return flat.where(F.length("passage") >= LEAST).select("row_id", "conv_id", "turn", F.xxhash64("passage").alias("hash"), F.sha2("passage", 256).alias("digest"))
+    return flat.where(F.length("passage") > 0).select("row_id", "conv_id", "turn", F.xxhash64("passage").alias("hash"), F.sha2("passage", 256).alias("digest"))
 
 
 def linked(rows: DataFrame) -> DataFrame:
     """(row_id, source_conv, source_turn, level): the message each quoting row answers, by its shallowest linked quote.
 
-    A quote is looked for whole and, if it has several lines, by its first; in its own conversation
-    first, in the earliest turn that has the passage and precedes the quoting one, else in all
-    conversations, in the earliest message. Both sides are grouped by passage before they meet, so a
+    A quote is looked for whole, then by each of its lines in order; each in its own conversation
+    first, in the earliest turn that has the passage and precedes the quoting one, else, if it has LEAST
+    characters, in the other conversations, in the earliest message. Both sides are grouped by passage before they meet, so a
     passage that stands in a third of all messages is one row.
     """
     quotes = rows.where((F.size("runs") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("row_id", "conv_id", "turn", F.posexplode("runs").alias("place", "run"))
-    tried = F.array_distinct(F.array(normalised(F.col("run.text")), normalised(F.get(F.split(F.col("run.text"), "\n"), F.lit(0)))))
-    quotes = quotes.select("row_id", "conv_id", "turn", F.col("run.level").alias("level"), "place", F.posexplode(tried).alias("part", "passage")).where(F.length("passage") >= LEAST)
-    quotes = written(quotes.withColumns({"hash": F.xxhash64("passage"), "digest": F.sha2("passage", 256)}).drop("passage"), "quotes")
-    wanted = quotes.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    text = F.col("run.text")
+    tried = F.array_distinct(F.concat(F.array(normalised(text)), F.transform(F.split(text, "\n"), normalised)))
+    quotes = quotes.select("row_id", "conv_id", "turn", F.col("run.level").alias("level"), "place", F.posexplode(tried).alias("part", "passage")).where(F.length("passage") > 0)
+    quotes = written(quotes.withColumns({"long": F.length("passage") >= LEAST, "digest": F.sha2("passage", 256)}).drop("passage"), "quotes")
+    wanted = quotes.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("long").alias("long"))
     found = passages(rows).join(wanted.select("digest"), "digest", "left_semi")
-    here = found.groupBy("digest", "conv_id").agg(F.min("turn").alias("here_turn"))
-    first = found.groupBy("digest").agg(F.min(F.struct("conv_id", "turn")).alias("f"))
-    there = written(wanted.join(first, "digest").select("digest", "n", F.col("f.conv_id").alias("there_conv"), F.col("f.turn").alias("there_turn")), "sources")
+    here = written(found.groupBy("digest", "conv_id").agg(F.min("turn").alias("here_turn")), "here")
+    # The earliest messages of the two smallest conversations: one of them isn't the quoting one.
+    first = written(here.groupBy("digest").agg(F.min(F.struct("conv_id", "here_turn")).alias("f"), F.count(F.lit(1)).alias("n_convs")), "first")
+    second = lookup(here, first, "digest", "n_convs").where(F.col("conv_id") > F.col("f.conv_id")).groupBy("digest").agg(F.min(F.struct("conv_id", "here_turn")).alias("g"))
+    there = wanted.where("long").join(first.drop("n_convs"), "digest").join(second, "digest", "left")
+    there = written(there.select("digest", "n", F.col("f.conv_id").alias("there_conv"), F.col("f.here_turn").alias("there_turn"), F.col("g.conv_id").alias("next_conv"), F.col("g.here_turn").alias("next_turn")), "sources")
     both = quotes.join(here, ["digest", "conv_id"], "left")
     both = lookup(both.select("row_id", "conv_id", "turn", "level", "place", "part", "digest", "here_turn"), there, "digest", "n")
-    inside = F.col("here_turn") < F.col("turn")
-    outside = F.col("there_conv") != F.col("conv_id")
-    ok = both.where(inside | outside).withColumns({"source_conv": F.when(inside, F.col("conv_id")).otherwise(F.col("there_conv")), "source_turn": F.when(inside, F.col("here_turn")).otherwise(F.col("there_turn"))})
+    inside = F.coalesce(F.col("here_turn") < F.col("turn"), F.lit(False))
+    other = F.col("there_conv") != F.col("conv_id")
+    out_conv, out_turn = F.when(other, F.col("there_conv")).otherwise(F.col("next_conv")), F.when(other, F.col("there_turn")).otherwise(F.col("next_turn"))
+    ok = both.where(inside | out_conv.isNotNull()).withColumns({"source_conv": F.when(inside, F.col("conv_id")).otherwise(out_conv), "source_turn": F.when(inside, F.col("here_turn")).otherwise(out_turn)})
     best = ok.groupBy("row_id").agg(F.min(F.struct("level", "place", "part", (~inside).alias("outside"), "source_conv", "source_turn")).alias("b"), F.countDistinct("place").alias("n_linked"))
     return best.select("row_id", "b.source_conv", "b.source_turn", "n_linked")
 

@@ -136,10 +136,10 @@ def fitted(x: np.ndarray, y: np.ndarray, tune: np.ndarray, vectors: np.ndarray)
     """A network learned by Adam on the rows outside `tune`, its temperature by the loss on those inside."""
     rng = np.random.Generator(np.random.PCG64(5))
     fit = np.flatnonzero(~tune) if (~tune).any() else np.arange(len(y))
-    mean, scale = (x[fit].mean(0), x[fit].std(0) + 1e-3) if len(fit) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    mean, scale = (x[fit].mean(0, dtype=np.float64), x[fit].std(0, dtype=np.float64) + 1e-3) if len(fit) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     layers = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(())]
     m, v, t = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers], 0
-    z = (x - mean) / scale
+    z = (x - mean.astype(x.dtype)) / scale.astype(x.dtype)
     for epoch in range(EPOCHS if len(fit) else 0):
         order = rng.permutation(fit)
         rate = RATE * (1 - epoch / EPOCHS)
@@ -177,14 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            x = pooled(block.column("text"), shared.value)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([block.column("h"), block.column("y"), flat], ["h", "y", "x"])
+            x = pooled(block.column("text"), shared.value).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([block.column("h"), block.column("y"), pa.array([row.tobytes() for row in x], pa.binary())], ["h", "y", "x"])
 
     rows = docs.select(docs[key].alias("labelled"), text_or_empty(text).alias("text")).join(F.broadcast(known), "labelled")
-    got = rows.select("h", "y", "text").mapInArrow(run, "h bigint, y int, x array<double>").toPandas().sort_values("h", kind="stable")
-    x = np.stack(got["x"]) if len(got) else np.zeros((0, FEATURES))
-    return fitted(x, got["y"].to_numpy(np.float64), got["h"].to_numpy(np.int64) % 5 == 1, vectors)
+    got = rows.select("h", "y", "text").mapInArrow(run, "h bigint, y int, x binary").toArrow().combine_chunks()
+    shared.destroy()
+    h, y = got["h"].to_numpy(), got["y"].to_numpy()
+    order = np.lexsort((y, h))
+    x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in got["x"]])[order] if len(h) else np.zeros((0, FEATURES), np.float32)
+    return fitted(x, y[order].astype(np.float64), h[order] % 5 == 1, vectors)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

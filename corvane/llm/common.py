@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from corvane.session import ship
 
 #: Rows and bytes of one Arrow batch: bounds a Python worker's memory whatever the partition's size.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
-#: Used where the session names no shared folder (tests on one machine).
+#: Used where a session on one machine (local[...]) names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
@@ -27,9 +27,11 @@ def python_ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
     return (named or LOCAL_SHARED).rstrip("/")
 
@@ -42,17 +44,19 @@ def written(df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `written` returned, once everything that reads them is written itself."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def compact(df: DataFrame, per_core: int = 4) -> DataFrame:
     """df in `per_core` partitions a core at most: fewer and larger files, without a shuffle."""
     return df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A small step's rows, kept for their second reader on the executors' disks, so that they take no memory from
-    joins and sorts; what is lost with an executor is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

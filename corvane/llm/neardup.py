@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, kept, lookup, python_ready, text_or_empty, written
+from corvane.llm.common import blocks, buffers, dropped, lookup, python_ready, text_or_empty, written
 
 #: Words in a shingle; minima of a signature and its bands: a pair at 0.75 shares no band once in 200,000 times.
 K, PERMS, BANDS = 5, 128, 32
 #: Linked from so many hundredths on; a pair isn't verified if its signatures agree in less than LEAST (4.5 standard errors below).
 PERCENT, LEAST = 75, 0.58
-#: Members of a group up to which all its pairs between components are listed; rows of a block beyond it.
-SMALL, BLOCK = 6, 512
-#: Up to so many ids (16 MB) are sent to every task; more are joined by a shuffle.
+#: Members of a group up to which all its pairs between components are listed; rows and shingles of a block beyond it.
+SMALL, BLOCK, BLOCK_SHINGLES = 6, 512, 2 << 20
+#: Up to so many ids (about 100 MB as a hash table) are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """(node, values): the whole shingle sets of the wanted keys."""
     few = wanted.count() <= BROADCAST_IDS
-    kept = docs.select(docs[key].cast("bigint").alias("node"), text_or_empty(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    own = docs.select(docs[key].cast("bigint").alias("node"), text_or_empty(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -78,58 +78,59 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
             offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([block.column("node"), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "values"])
 
-    return kept.mapInArrow(run, "node bigint, values array<bigint>")
+    return own.mapInArrow(run, "node bigint, values array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("values").alias("va")), sets.select(F.col("node").alias("b"), F.col("values").alias("vb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("va", "vb")))
-    return both.where(F.col("common") * 100 >= (F.size("va") + F.size("vb") - F.col("common")) * PERCENT).select("a", "b")
+    """The rows of pairs (a, b, ...) whose full sets are similar enough.
+
+    A set that meets more than BLOCK others is sent to several partitions, each with a share of its pairs.
+    """
+    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hot, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts)).drop("parts")
+    left = sets.withColumnRenamed("node", "a").join(hot, "a", "left").select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.col("values").alias("va"))
+    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("values").alias("vb")), "b").join(left, ["a", "part"])
+    both = both.where(F.least(F.size("va"), F.size("vb")) * 100 >= F.greatest(F.size("va"), F.size("vb")) * PERCENT)
+    both = both.withColumn("common", F.size(F.array_intersect("va", "vb")))
+    return both.where(F.col("common") * 100 >= (F.size("va") + F.size("vb") - F.col("common")) * PERCENT).select(*pairs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, by alternating large-star and small-star.
+    """(node, component): the smallest node reachable, by alternating large-star and small-star; written.
 
-    Both steps join each edge with its node's smallest neighbour; a node with very many edges is handled
-    by `lookup`, so no task holds all of them. Edges: (a, b) in any order; self loops and repeats do no harm.
+    Edges: (a, b) in any order; self loops and repeats do no harm. They are held once, from the larger node a
+    to the smaller one b. Large star: an edge moves on to the smallest neighbour of its smaller end; small
+    star: a node's smaller neighbours, and itself, move to the smallest of them. Both take the smallest neighbour from
+    one grouped aggregation, which has a row per node, and join it to the edges: a node with very many of
+    them is one row in the former, and its edges in the latter are split by adaptive execution.
     """
 
-    held: list[DataFrame] = []
-
-    def hold(df: DataFrame) -> DataFrame:
-        held.append(kept(df))
-        return held[-1]
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        # Small: each node with its smaller neighbours; large: with all of them, but only larger ones are moved.
-        from_to = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        if large:
-            from_to = from_to.unionByName(from_to.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = hold(from_to.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-        moved = lookup(from_to, least, "u", "n")
-        moved = moved.where(F.col("v") > F.col("u")).select("v", "m") if large else moved.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
-        return moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    def smallest(e: DataFrame, name: str) -> DataFrame:
+        return e.groupBy(F.col("a").alias(name)).agg(F.min("b").alias("m"))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 1)
-    before = state(edges)
+    now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 1)
+    before = state(now)
     while before[0]:
-        edges = written(star(hold(star(edges, True)), False), "edges", 1)
-        while held:  # what the round needed is written
-            held.pop().unpersist()
-        after = state(edges)
+        large = written(now.join(smallest(now, "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")), "edges", 1)
+        least = smallest(large, "a")
+        small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = written(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges", 1)
+        after = state(new)
+        dropped(now, large)
+        now = new
         if after == before:
             break
         before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def _joined(rows: pa.Table) -> pa.Table:
     """Links between the components of one block, or of two: enough of them to join all that full sets confirm."""
-    node, part = np.asarray(rows["node"]), np.asarray(rows["component"])
+    node, own = np.asarray(rows["node"]), np.asarray(rows["component"])
     sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(node), PERMS)
     lists = rows["values"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -138,7 +139,7 @@ def _joined(rows: pa.Table) -> pa.Table:
     one = rows["bi"][0].as_py() == rows["bj"][0].as_py()
     side = np.asarray(rows["side"])
     left, right = (np.arange(len(node)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    part = part.copy()
+    part = own.copy()
     found = []
     for i in left.tolist():
         others = right[(right > i) & (part[right] != part[i])] if one else right[part[right] != part[i]]
@@ -146,43 +147,46 @@ def _joined(rows: pa.Table) -> pa.Table:
         others = others[(sketch[others] == sketch[i]).sum(1) >= LEAST * PERMS]
         if not len(others):
             continue
-        own = flat[offs[i] : offs[i + 1]]
-        own = np.sort(own)
+        mine = flat[offs[i] : offs[i + 1]]
         many = np.concatenate([flat[offs[j] : offs[j + 1]] for j in others.tolist()])
-        hit = own[np.minimum(np.searchsorted(own, many), len(own) - 1)] == many
+        # Sets are held as unsigned numbers in order, and read as signed ones.
+        mine = np.sort(mine)
+        hit = mine[np.minimum(np.searchsorted(mine, many), len(mine) - 1)] == many
         common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[others])[:-1]]), dtype=np.int64)
         for j in others[common * 100 >= (size[others] + size[i] - common) * PERCENT].tolist():
             if part[j] != part[i]:
-                found.append((min(node[i], node[j]), max(node[i], node[j])))
+                found.append((own[i], own[j]))
                 part[part == part[j]] = part[i]
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """rows (lead, node, component) of the groups that hold several components, with the group's figures."""
-    each = rows.groupBy("lead", "component").agg(F.count(F.lit(1)).alias("m"))
-    stats = each.groupBy("lead").agg(F.sum("m").alias("n"), F.max("m").alias("n_main"), F.max_by("component", F.struct("m", "component")).alias("main"))
-    stats = kept(stats.withColumns({"members": F.col("n")}))
-    return kept(lookup(rows, stats, "lead", "n").where(F.col("n_main") < F.col("members")))
+    """rows (lead, node, component, size) of the groups that hold several components, with the group's figures."""
+    each = rows.groupBy("lead", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    stats = each.groupBy("lead").agg(F.sum("m").alias("members"), F.sum("s").alias("shingles"), F.max(F.struct("m", "component", "s")).alias("main")).where("main.m < members")
+    return rows.join(stats, "lead")
 
 
 def _listed(live: DataFrame) -> DataFrame:
-    """All pairs between components in groups of SMALL members at most."""
-    few = live.where(F.col("members") <= SMALL).groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))
-    pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, SMALL), lambda y: y["component"] != x["component"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    """(a, b, ca, cb): all pairs between components in groups of SMALL members at most, but those looked at before."""
+    few = live.where(F.col("members") <= SMALL).groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("node", "component", "tried"))).alias("m"))
+    new = lambda x, y: (y["component"] != x["component"]) & ~((x["node"] == F.col("lead")) & y["tried"])
+    pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, SMALL), lambda y: new(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["component"].alias("ca"), y["component"].alias("cb")))))
     return few.select(F.inline(pair)).distinct()
 
 
 def _in_blocks(live: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components in larger groups.
+    """(a, b): links between components in larger groups.
 
     The members outside a group's largest component are dealt into blocks; each block meets itself, every
     other such block, and every block of the largest component. So a row of that component, which may
-    have most of all rows, is sent as often as there are blocks of others: mostly once.
+    have most of all rows, is sent as often as there are blocks of others: mostly once. Blocks are made for about
+    BLOCK rows and BLOCK_SHINGLES shingles at most.
     """
     many = live.where(F.col("members") > SMALL)
-    many = many.withColumn("p", F.ceil((F.col("members") - F.col("n_main")) / BLOCK).cast("int")).withColumn("q", F.ceil(F.col("n_main") / BLOCK).cast("int"))
-    is_main = F.col("component") == F.col("main")
+    blocks_of = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    many = many.withColumn("p", blocks_of(F.col("members") - F.col("main.m"), F.col("shingles") - F.col("main.s"))).withColumn("q", blocks_of(F.col("main.m"), F.col("main.s")))
+    is_main = F.col("component") == F.col("main.component")
     own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("q")).otherwise(F.col("p"))).cast("int")
     many = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1))))
     low = F.when(is_main, F.col("other")).otherwise(F.least("own", "other"))
@@ -204,28 +208,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     candidate is dropped. Null, empty and blank texts
     have no set and are linked with nothing. Other columns aren't read. Rows that repeat a key come back
     each and count as one document; a row with a null key has its class's component, or null.
+
+    Steps with two readers are tables in the shared folder, deleted once their last reader is written.
     """
     python_ready(docs.sparkSession)
     seen = written(sketches(docs, key, text), "sketches")
-    classes = kept(seen.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n")))
-    nodes = written(seen.join(classes.select("node"), seen["key"] == classes["node"]).select("node", "sketch", "bands"), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
-    met = lookup(rows, shared, "bucket", "n").where("first IS NOT NULL")
-    met = written(met, "met")
-    sets = written(full_sets(docs, key, text, met.select("node").distinct()), "sets")
-    pairs = met.groupBy("node").agg(F.min("first").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
-    pairs = kept(pairs)
-    links = kept(verified(pairs, sets))
-    parts = kept(components(links))
+    classes = written(seen.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
+    nodes = written(seen.join(classes.select("node"), seen["key"] == classes["node"]).select("node", F.col("n_shingles").alias("size"), "sketch", "bands"), "nodes")
+    rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
     # Members of a bucket share its smallest one; buckets with the same one are one group, so bands repeat little.
-    rows = met.select(F.col("first").alias("lead"), "node").distinct().join(parts, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("component"))
-    live = _open(kept(rows))
-    fresh = _listed(live).join(pairs, ["a", "b"], "left_anti")
-    new = kept(verified(fresh, sets).unionByName(_in_blocks(live, nodes, sets)))
-    parts = kept(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
-    known = classes.join(parts, "node", "left").select("set_id", "n", F.coalesce("component", "node").alias("component"))
-    out = lookup(seen.select("key", "n_shingles", "set_id"), kept(known), "set_id", "n")
+    met = written(rows.join(shared, "bucket").groupBy("node").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("first")).alias("leads")), "met")
+    sets = written(full_sets(docs, key, text, met.select("node")), "sets")
+    pairs = met.select(F.get("leads", F.lit(0)).alias("a"), F.col("node").alias("b")).where("a < b")
+    parts = components(verified(pairs, sets))
+    groups = met.join(parts, "node", "left").select(F.posexplode("leads").alias("place", "lead"), "node", F.coalesce("component", "node").alias("component"), "size")
+    live = written(_open(groups.withColumn("tried", F.col("place") == 0).drop("place")), "live")
+    new = verified(_listed(live), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(_in_blocks(live, nodes, sets))
+    above = components(new).select(F.col("node").alias("component"), F.col("component").alias("above"))
+    known = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(above, "component", "left")
+    known = written(known.select("set_id", "n", F.coalesce("above", "component").alias("component")), "known")
+    dropped(classes, nodes, met, sets, parts, live, above)
+    out = lookup(seen.select("key", "n_shingles", "set_id"), known, "set_id", "n")
     out = out.withColumn("component_id", F.coalesce("component", "key"))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 

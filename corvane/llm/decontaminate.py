@@ -7,13 +7,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import without_keys, written
 
 #: Fixed values of the contract: what is no word, after lower-casing A-Z, and a window's words.
 NOT_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 N = 10
-#: Up to so many windows go to every task as a set (about 16 MB); more are joined by a shuffle.
-BROADCAST_WINDOWS = 100_000
+#: Up to so many windows' signatures are broadcast (about 50 MB as a hash table); more are joined by a shuffle.
+BROADCAST_WINDOWS = 1_000_000
 
 
 def folded(text: Column) -> Column:
@@ -32,63 +32,65 @@ def let(value: Column, f) -> Column:
 
 
 def _signature(w: Column, i: Column, n: int) -> Column:
-    """A hash of a few words of a window: equal windows have equal ones, so it can only let too much through."""
-    return F.xxhash64(*[F.get(w, i + k) for k in sorted({0, n // 3, 2 * n // 3, n - 1})])
+    """A hash of a window's size and a few of its words: equal windows have equal ones, so it can only let too much through."""
+    return F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in sorted({0, n // 3, 2 * n // 3, n - 1})])
 
 
-def _window(w: Column, i: Column, n: int) -> Column:
-    return F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+def _window(w: Column, i: Column, n: Column) -> Column:
+    return F.array_join(F.slice(w, i + 1, n), " ")
 
 
-def _places(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-
-
-def _cut(w: Column, n: int) -> Column:
-    return F.transform(_places(w, n), lambda i: F.struct(_window(w, i, n).alias("window"), _signature(w, i, n).alias("signature")))
-
-
-def _candidates(w: Column, n: int, signatures: list[int] | None) -> Column:
-    """Places and windows of n words whose signature is in the set; None: all of them."""
-    at = _places(w, n)
-    if signatures is not None:
-        at = F.filter(at, lambda i: _signature(w, i, n).isin(signatures))  # a hash set, sent with the plan
-    return F.transform(at, lambda i: F.struct(i.alias("place"), F.lit(n).alias("size"), _window(w, i, n).alias("window")))
+def _sized(w: Column, i: Column, sizes: list[int]) -> Column:
+    """(size, signature) of the windows that begin at place i; no signature where the text ends before."""
+    one = lambda k: F.struct(F.lit(k).alias("size"), F.when((i >= 0) & (i + k <= F.size(w)), _signature(w, i, k)).alias("signature"))
+    return F.array(*[one(k) for k in sizes])
 
 
 def windows(bench: DataFrame, n: int = N, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(size, window, signature, items): the benchmark's distinct windows; an item of fewer words is one window."""
+    """(size, signature, window, item): the benchmark's distinct windows by item; an item of fewer words is one window."""
     w = bench.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    rows = [
-        w.where(F.size("w") >= k if k == n else F.size("w") == k).select("item", F.lit(k).alias("size"), F.inline(_cut(F.col("w"), k)))
-        for k in range(1, n + 1)
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("size", "window", "signature").agg(F.array_sort(F.collect_set("item")).alias("items"))
-
-
-def hits(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """docs with `hit_row` and n_words, and per row with hits: its places [(place, size)] and items."""
-    known = written(windows(bench, n), "windows")
-    sizes = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    few = sum(sizes.values()) <= broadcast_windows
-    sets = {k: [r["signature"] for r in known.where(F.col("size") == k).select("signature").distinct().collect()] for k in sizes} if few else {}
+    w = w.select("item", "w", F.least(F.size("w"), F.lit(n)).alias("size"))
+    rows = w.select("item", "w", "size", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("i"))
+    own = F.coalesce(*[F.when(F.col("size") == k, _signature(F.col("w"), F.col("i"), k)) for k in range(1, n + 1)])
+    return rows.select("size", own.alias("signature"), _window(F.col("w"), F.col("i"), F.col("size")).alias("window"), "item").distinct()
 
-    def candidates(w: Column) -> Column:
-        found = [F.array().cast("array<struct<place:int,size:int,window:string>>")]
-        for k in sorted(sizes):
-            found.append(_candidates(w, k, sets.get(k)))
-        return F.struct(F.size(w).cast("bigint").alias("n_words"), F.concat(*found).alias("candidates"))
 
-    seen = docs.withColumn("hit_row", F.monotonically_increasing_id()).withColumn("hit_scan", let(words(F.col(text)), candidates))
-    seen = written(seen.select(*[c for c in docs.columns if c != text], "hit_row", F.col("hit_scan.n_words").alias("n_words"), F.col("hit_scan.candidates").alias("hit_candidates")), "scanned")
-    flat = seen.where(F.size("hit_candidates") > 0).select("hit_row", F.inline("hit_candidates"))
-    side = known.select("size", "window", "items")
-    side = F.broadcast(side) if few else side
-    per = flat.join(side, ["size", "window"]).groupBy("hit_row").agg(F.array_sort(F.collect_set(F.struct("place", "size"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return seen.drop("hit_candidates"), per
+def _scanned(base: DataFrame, known: DataFrame, sizes: list[int], few: bool) -> DataFrame:
+    """Of each row of base (hit_row, own, w) one row with place -1, n_words and own, and one for each place whose signature is known, with the window.
+
+    `few`: the set of signatures is broadcast, and one pass over the texts does it all. Otherwise
+    (hit_row, place, size, signature) are shuffled, windows only of what meets a signature.
+    """
+    signatures = known.select("signature").distinct()
+    rows = base.select("hit_row", "own", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("place"))
+    rows = rows.select("hit_row", "own", "w", "place", F.inline(_sized(F.col("w"), F.col("place"), sizes)))
+    is_own, n_words = (F.col("place") < 0) & (F.col("size") == sizes[0]), F.size("w").cast("bigint").alias("n_words")
+    if few:
+        met = rows.join(F.broadcast(signatures.withColumn("met", F.lit(True))), "signature", "left").where(is_own | F.col("met"))
+        return met.select("hit_row", "place", "size", F.when(is_own, n_words).alias("n_words"), F.when(is_own, F.col("own")).alias("own"), F.when(~is_own, _window(F.col("w"), F.col("place"), F.col("size"))).alias("window"))
+    met = rows.where("signature IS NOT NULL").select("hit_row", "place", "size", "signature").join(signatures, "signature", "left_semi").select("hit_row", "place", "size")
+    met = met.join(base.select("hit_row", "w"), "hit_row").select("hit_row", "place", "size", F.lit(None).cast("bigint").alias("n_words"), _window(F.col("w"), F.col("place"), F.col("size")).alias("window"))
+    own = base.select("hit_row", F.lit(-1).alias("place"), F.lit(sizes[0]).alias("size"), n_words, "own")
+    return own.unionByName(met, allowMissingColumns=True)
+
+
+def hits(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, keep: list[str] | None = None) -> DataFrame:
+    """own (a struct of the columns `keep`), n_words, places [(place, size)] and items of each row of docs."""
+    known = written(windows(bench, n), "windows")
+    figures = known.groupBy("size").agg(F.count_distinct("signature").alias("n"), F.count(F.lit(1)).alias("rows")).orderBy("size").collect()
+    sizes, few, few_items = [r["size"] for r in figures] or [n], sum(r["n"] for r in figures) <= broadcast_windows, sum(r["rows"] for r in figures) <= broadcast_windows
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    base = docs.select(F.monotonically_increasing_id().alias("hit_row"), F.struct(F.lit(0).alias("_"), *[docs[c].alias(f"c{k}") for k, c in enumerate(keep)]).alias("own"), words(docs[text]).alias("w"))
+    found = written(_scanned(base if few else written(base, "words"), known, sizes, few), "scanned")
+    side = lambda df: F.broadcast(df) if few_items else df
+    met = found.where("place >= 0").select("hit_row", "place", "size", "window").join(side(known.select("size", "window").distinct()), ["size", "window"], "left_semi")
+    places = met.groupBy("hit_row").agg(F.array_sort(F.collect_set(F.struct("place", "size"))).alias("places"))
+    # A window of many items meets each of a document's windows once, and never a list of them.
+    items = met.select("hit_row", "size", "window").distinct().join(side(known.select("size", "window", "item")), ["size", "window"])
+    items = items.groupBy("hit_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = found.where("place < 0").select("hit_row", "own", "n_words").join(places, "hit_row", "left").join(items, "hit_row", "left")
+    none = F.array().cast("array<struct<place:int,size:int>>")
+    return out.select("own", "n_words", F.coalesce("places", none).alias("places"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def covered(places: Column) -> Column:
@@ -102,12 +104,13 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "te
 
     Null texts have no words; empty texts, an empty benchmark and items without words give no hits; an
     item shorter than a window is one window. Every row of docs comes back, repeated ones too. Words and
-    windows are compared as texts: the hashed set only picks candidates. docs must not have columns named
-    hit_row, hit_scan, hit_candidates, n_words, n_hit, items or places.
+    windows are compared as texts: the hashed set only picks candidates. Columns of docs that are named
+    n_words, n_hit, items or places are replaced; other names can't clash.
     """
-    seen, per = hits(docs, bench, n, text, broadcast_windows)
-    none = F.array().cast("array<struct<place:int,size:int>>")
-    return seen.join(per, "hit_row", "left").withColumns({"places": F.coalesce("places", none), "items": F.coalesce("items", F.array().cast("array<string>"))}).withColumn("n_hit", covered(F.col("places"))).drop("hit_row")
+    new = ("n_words", "n_hit", "items", "places")
+    keep = [c for c in docs.columns if c != text and c not in new]
+    out = hits(docs, bench, n, text, broadcast_windows, keep)
+    return out.select(*[F.col(f"own.c{k}").alias(c) for k, c in enumerate(keep)], "n_words", covered(F.col("places")).alias("n_hit"), "items", "places")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -115,21 +118,22 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def without_documents(docs: DataFrame, bench: DataFrame, key: str = "doc_id", most: int = 0, n: int = N) -> DataFrame:
-    """The rows of docs whose windows cover `most` words at most; key must be unique and not null."""
-    bad = contamination(docs.select(key, "text"), bench, n).where(F.col("n_hit") > most).select(key)
-    return docs.join(bad, key, "left_anti").select(*docs.columns)
+def without_documents(docs: DataFrame, bench: DataFrame, key: str = "doc_id", most: int = 0, n: int = N, text: str = "text") -> DataFrame:
+    """The rows of docs whose windows cover `most` words at most. Rows of the same key, null included, go or stay together."""
+    bad = contamination(docs.select(docs[key].alias("bad_key"), docs[text].alias("text")), bench, n).where(F.col("n_hit") > most).select("bad_key")
+    return without_keys(docs, key, bad, "bad_key")
 
 
-def without_spans(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
+def without_spans(docs: DataFrame, bench: DataFrame, text: str = "text", n: int = N) -> DataFrame:
     """docs with the covered words cut out of the text, each with what stands before it since the last word."""
-    found = contamination(docs.select(key, text), bench, n, text).where(F.col("n_hit") > 0).select(F.col(key).alias("cut_key"), F.col("places").alias("cut_places"))
+    found = hits(docs, bench, n, text, keep=docs.columns)
+    columns = {c: F.col(f"own.c{k}") for k, c in enumerate(docs.columns)}
     upper = NOT_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # the same words, before lower-casing
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"[{upper}]*[^{upper}]+|[{upper}]+$"), F.lit(0))
-    inside = lambda i: F.exists("cut_places", lambda p: (i >= p["place"]) & (i < p["place"] + p["size"]))
+    pieces = F.regexp_extract_all(columns[text], F.lit(f"[{upper}]*[^{upper}]+|[{upper}]+$"), F.lit(0))
+    inside = lambda i: F.exists("places", lambda p: (i >= p["place"]) & (i < p["place"] + p["size"]))
     kept = F.array_join(F.filter(pieces, lambda x, i: ~inside(i)), "")
-    joined = docs.join(found, docs[key] == found["cut_key"], "left")
-    return joined.select(*[F.when(F.col("cut_places").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else docs[c] for c in docs.columns])
+    columns[text] = F.when(F.size("places") == 0, columns[text]).otherwise(kept)
+    return found.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def oracle(n: int = N) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, dropped, lookup, python_ready, text_or_empty, written
+from corvane.llm.common import blocks, buffers, dropped, lookup, python_ready, text_or_empty, without_keys, written
 
 #: Words in a shingle; minima of a signature and its bands: a pair at 0.75 shares no band once in 200,000 times.
 K, PERMS, BANDS = 5, 128, 32
@@ -235,6 +235,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest key."""
-    gone = near_duplicates(docs, key, text).where(~F.col("kept")).select(key)
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """docs with one row of each component: that of the smallest key. Rows that repeat it stay, as do rows with a null key."""
+    gone = near_duplicates(docs, key, text).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("gone"))
+    return without_keys(docs, key, gone, "gone")

@@ -57,14 +57,23 @@ def compact(df: DataFrame, per_core: int = 4) -> DataFrame:
     return df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or with so many underscores that no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_keys(docs: DataFrame, key: str, gone: DataFrame, name: str, most: int = 2_000_000) -> DataFrame:
     """The rows of docs whose key isn't among gone's column `name`; a null one there removes null keys.
 
     Up to `most` keys (about 100 MB as a hash table) are broadcast, so that docs aren't shuffled; more are joined by a shuffle.
     """
-    gone = written(gone.select(F.col(name).alias("gone_key")).distinct(), "gone")
+    own = fresh(docs.columns, "gone_key")
+    gone = written(gone.select(F.col(name).alias(own)).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= most else gone
-    return docs.join(side, docs[key].eqNullSafe(side["gone_key"]), "left_anti").select(*docs.columns)
+    return docs.join(side, F.col(key).eqNullSafe(F.col(own)), "left_anti").select(*docs.columns)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lookup, python_ready, text_or_empty, written
+from corvane.llm.common import fresh, lookup, python_ready, text_or_empty, written
 
 #: The base kinds in their order, then the kinds that the method adds.
 BASE = ("assign", "access", "hex")
@@ -104,7 +104,7 @@ def ownership(candidates: DataFrame, owners: int = 3, repositories: int = 5) ->
 
 def judged(docs: DataFrame, owner: Column, repository: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The scan of every document, and its candidates with their hash's ownership: key, start, end, kind, hash, copied."""
-    marked = docs.withColumn("secret_owner", owner).withColumn("secret_repo", repository)
+    marked = docs.select(key, "text", owner.alias("secret_owner"), repository.alias("secret_repo"))
     scanned = written(scan(marked, [key, "secret_owner", "secret_repo"]), "secrets")
     flat = scanned.where(F.size("found") > 0).select(key, F.col("secret_owner").alias("owner"), F.col("secret_repo").alias("repository"), F.inline("found"))
     known = written(ownership(flat), "owners").select("hash", "n_owners", "n_repositories", "copied", "n_rows")
@@ -155,13 +155,14 @@ def masked(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
     stays null. Rows that repeat a key are masked by the same spans.
     """
     python_ready(docs.sparkSession)
-    spans = found.where(F.size("spans") > 0).select(F.col(key).alias("span_key"), F.col("spans").alias("span_marks")).dropDuplicates(["span_key"])
     columns = docs.columns
-    joined = docs.join(spans, docs[key] == spans["span_key"], "left").select(*[docs[c] for c in columns], "span_marks")
+    own, marks = fresh(columns, "span_key"), fresh(columns, "span_marks")
+    spans = found.where(F.size("spans") > 0).select(F.col(key).alias(own), F.col("spans").alias(marks)).dropDuplicates([own])
+    joined = docs.join(spans, F.col(key) == F.col(own), "left").select(*columns, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(text).to_pylist(), batch.column("span_marks").to_pylist(), strict=True)
+            rows = zip(batch.column(text).to_pylist(), batch.column(marks).to_pylist(), strict=True)
             new = pa.array([_masked(t, m) if t is not None and m else t for t, m in rows], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == text else batch.column(c) for c in columns], columns)
 

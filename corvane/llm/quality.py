@@ -190,10 +190,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with the model's probability of label 1 for each whole text; null and empty texts have one too. No shuffle."""
+    """docs with the model's probability of label 1 for each whole text; null and empty texts have one too.
+
+    A column of docs that is named `name` is replaced. No shuffle.
+    """
     python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
+    columns = [c for c in docs.columns if c.lower() != name.lower() or c == text]
+    if name.lower() == text.lower():
+        raise ValueError("the score can't take the text's name")
+    docs = docs.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):

@@ -124,19 +124,27 @@ def host_priors(rows: DataFrame) -> DataFrame:
     level = {x: F.lit(((total[f"c_{x}"] or 0) + START) / (n + START * len(LANGS))) for x in LANGS}
     size = lambda: sum((F.col(f"c_{x}") for x in LANGS[1:]), F.col(f"c_{LANGS[0]}"))
     smooth = lambda df, above, name: df.select(*[c for c in df.columns if c[:2] not in ("c_", "a_")], *[((F.col(f"c_{x}") + WEIGHT * above[x]) / (size() + WEIGHT)).alias(f"{name}{x}") for x in LANGS])
-    suffix = smooth(up(host, "suffix"), level, "a_")
-    domain = smooth(up(host, "suffix", "domain").join(suffix, "suffix"), {x: F.col(f"a_{x}") for x in LANGS}, "a_")
-    return smooth(host.join(domain, ["suffix", "domain"]), {x: F.col(f"a_{x}") for x in LANGS}, "prior_").drop("domain", "suffix")
+    above = {x: F.col(f"a_{x}") for x in LANGS}
+    # A suffix may have most of all domains, a domain most of all hosts: both are looked up with hot keys apart.
+    host = host.withColumn("place", F.concat_ws("\n", "suffix", "domain"))
+    domain = host.groupBy("suffix", "place").agg(F.count(F.lit(1)).alias("n_hosts"), *[F.sum(f"c_{x}").alias(f"c_{x}") for x in LANGS])
+    suffix = domain.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_domains"), *[F.sum(f"c_{x}").alias(f"c_{x}") for x in LANGS])
+    suffix = written(smooth(suffix, level, "a_"), "suffixes", 1)
+    domain = written(smooth(lookup(domain, suffix, "suffix", "n_domains"), above, "b_").drop("suffix"), "domains", 1)
+    domain = domain.withColumnsRenamed({f"b_{x}": f"a_{x}" for x in LANGS})
+    return smooth(lookup(host, domain, "place", "n_hosts"), above, "prior_").drop("domain", "suffix", "place")
 
 
 def identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """kind, doc_id, page_id, lang, probability, text_lang and declared of every document and page.
 
     docs: (doc_id, text, lang, source): the declared language is lang, the host is the source, which is
-    its own domain and has no suffix. pages: (page_id, url, html): the declared language is html's lang
+    its own domain and has no suffix. For documents lang is so both the label that the text model learns
+    and the declaration: a document's text and its declaration are no independent evidence. pages: (page_id, url, html): the declared language is html's lang
     attribute, the address's suffix is the host's last part and its path may name a language. The text
     model is learned from all documents of the languages LANGS. A null or empty text has the evidence
-    of the rest only; a page without host shares one host "". Ties go to the first of LANGS.
+    of the rest only; a page without host shares one host "". Ties go to the first of LANGS. Every row
+    comes back, repeated ones and those without a key too; other columns aren't read, so names can't clash.
     """
     spark = docs.sparkSession
     python_ready(spark)

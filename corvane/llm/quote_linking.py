@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import lookup, written
+from corvane.llm.decontaminate import let
 
 #: A line's marks of quotation, before its text.
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
@@ -24,16 +25,15 @@ def normalised(text: Column) -> Column:
 
 
 def _runs(lines: Column) -> Column:
-    """Maximal runs of lines of one level: an array of (level, text), the text without marks."""
-    marked = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("text")))
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    """Maximal runs of lines of one level: an array of (level, text), the text without marks; each line is copied once."""
+    marked = F.struct(F.transform(lines, level).alias("levels"), F.transform(lines, lambda x: F.regexp_replace(x, MARKS, "")).alias("texts"))
+    begins = lambda m: F.filter(F.sequence(F.lit(0), F.size(m["levels"]) - 1), lambda i: (i == 0) | (F.get(m["levels"], i) != F.get(m["levels"], i - 1)))
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(x["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))
-        return F.when(F.size(done) == 0, F.array(x)).when(last["level"] == x["level"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+    def cut(m: Column) -> Column:
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(m["levels"]))
+        return let(begins(m), lambda at: F.transform(at, lambda i, k: F.struct(F.get(m["levels"], i).alias("level"), F.array_join(F.slice(m["texts"], i + 1, end(at, k) - i), "\n").alias("text"))))
 
-    return F.aggregate(marked, start, step)
+    return let(marked, cut)
 
 
 def messages(chats: DataFrame, text: str = "text") -> DataFrame:

@@ -264,7 +264,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     Ids are those of the tokenizers library for the whole text. A null or empty text has no ids. Texts
     are cut into chunks by a rolling hash of their own bytes, so that a passage is cut alike wherever it
-    stands; a worker encodes a chunk once and reuses it for every document that it meets (64 MB are kept,
+    stands; a worker encodes a chunk once and reuses it for every document that it meets (KEPT_BYTES of chunks are kept,
     the least recently used go). Cuts lie at places that can't change an id; where a long run has none,
     the join is mended by encoding its surroundings anew. No shuffle.
     """

@@ -134,9 +134,10 @@ class WordEncoder:
     """Ids of texts, word by word: the tokenizer's pattern takes no white space into a token.
 
     So a text's ids are those of its pieces between spaces and line breaks, one after the other, and a
-    piece that was met before isn't encoded again. Pieces are told apart by 64-bit hashes, kept sorted
-    with the places of their ids: 12 bytes a piece, and lookups by binary search over a block's different
-    pieces. Two of four million pieces share a hash once in two million such tables.
+    piece that was met before isn't encoded again. Pieces are looked up by 64-bit hashes, kept sorted
+    with the places of their ids, by binary search over a block's different pieces; each is then compared by its length and a
+    second hash, of its own byte values. A piece that differs in them from the one kept under its hash is
+    encoded on its own, whenever it comes.
     """
 
     def __init__(self, path: str) -> None:
@@ -155,6 +156,9 @@ class WordEncoder:
         self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.flat, self.used = np.empty(1 << 20, np.uint16), 0
         self.offs, self.known = np.zeros(1 << 18, np.int64), 0
+        self.second = np.empty(0, np.uint64)
+        self.size = np.empty(0, np.int32)
+        self.clashing: dict[bytes, int] = {}
 
     def _learn(self, words: list[str]) -> None:
         while self.known + len(words) + 1 > len(self.offs):
@@ -178,7 +182,8 @@ class WordEncoder:
             self._clear()
         # The tokenizer lower-cases; doing so here first makes fewer pieces, but might make a special token's name.
         fold = b"<|" not in raw.tobytes()
-        h = wordnum.word_hashes(raw, starts, ends, fold)
+        h, second = (wordnum.word_hashes(raw, starts, ends, fold, v) for v in (wordnum.BYTE, wordnum.BYTE_2))
+        size = (ends - starts).astype(np.int32)
         order = np.argsort(h)
         ordered = h[order]
         fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -191,13 +196,25 @@ class WordEncoder:
             data = (wordnum.LOWER[raw] if fold else raw).tobytes()
             base = self.known
             self._learn([data[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            self._remember(second[some], size[some])
             self.hashes = np.insert(self.hashes, at[missing], different[missing])
             self.number = np.insert(self.number, at[missing], np.arange(base, self.known, dtype=np.int32))
             at = np.searchsorted(self.hashes, different)
         out = np.empty(len(h), np.int32)
         out[order] = np.repeat(self.number[at], np.diff(np.append(one, len(h))))
+        for k in np.flatnonzero((self.second[out] != second) | (self.size[out] != size)).tolist():
+            piece = (wordnum.LOWER[raw[starts[k] : ends[k]]] if fold else raw[starts[k] : ends[k]]).tobytes()
+            if piece not in self.clashing:
+                self.clashing[piece] = self.known
+                self._learn([piece.decode()])
+                self._remember(second[k : k + 1], size[k : k + 1])
+            out[k] = self.clashing[piece]
         return out
 
+    def _remember(self, second: np.ndarray, size: np.ndarray) -> None:
+        """Second hashes and lengths of the pieces learned last, by their numbers."""
+        self.second, self.size = np.concatenate([self.second, second]), np.concatenate([self.size, size])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids, joined, each with END behind it, and the ends of the texts among them."""
         raw, at = buffers(texts)
@@ -222,12 +239,12 @@ def encoder(path: str) -> WordEncoder:
 
 
 def in_key_order(docs: DataFrame, key: str) -> DataFrame:
-    """docs dealt into shuffle partitions by ranges of the key, each sorted; only the key is read for the bounds."""
+    """docs dealt into shuffle partitions by ranges of the key, each sorted, rows of equal keys by their texts' hashes; only the key is read for the bounds."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / n for i in range(1, n)] or [0.5]
     bounds = docs.agg(F.percentile_approx(key, shares, 10 * max(n, 1000)).alias("b")).first()["b"] or [0]
     place = F.size(F.filter(F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]), lambda b: F.coalesce(F.col(key), F.lit(-(1 << 63))) > b))
-    return docs.withColumn("shard_place", place).repartitionById(max(n, len(set(bounds)) + 1), F.col("shard_place")).sortWithinPartitions(key)
+    return docs.withColumn("shard_place", place).repartitionById(max(n, len(set(bounds)) + 1), F.col("shard_place")).sortWithinPartitions(key, F.xxhash64("text"))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,7 +252,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     Shards are written as rows of Parquet files in the shared folder; `shard` holds the binary form of
     `pack`. A null or empty text is the end id alone; a null key counts as the smallest and is stored as
-    -2^63. Repeated keys are kept, in any order among themselves. An empty table gives no shard.
+    -2^63. Rows that repeat a key are all kept, in the order of their texts' hashes. An empty table gives no shard.
     """
     python_ready(docs.sparkSession)
 

@@ -9,6 +9,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value for each byte, and odd factors for the places in a shingle.
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+#: Others, for a second hash that is independent of the first.
+BYTE_2 = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**63, 256, dtype=np.uint64)
 PLACE = _rng.integers(1, 2**62, 64, dtype=np.uint64) * _U(2) + _U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -60,13 +62,13 @@ def words(raw: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarr
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; fold: A-Z count as a-z."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, values: np.ndarray = BYTE) -> np.ndarray:
+    """A 64-bit hash of each word by its bytes' values; fold: A-Z count as a-z."""
     if not len(starts):
         return np.empty(0, _U)
     power, inverse = _tables(len(raw))
     sums = np.zeros(len(raw) + 1, _U)
-    table = BYTE[LOWER] if fold else BYTE
+    table = values[LOWER] if fold else values
     np.cumsum(table[raw] * power[: len(raw)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
 

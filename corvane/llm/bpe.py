@@ -17,9 +17,9 @@ from corvane.llm.pieces import Pieces
 #: A cut follows where the hash of the WINDOW bytes before it has MASK's bits clear; LONGEST bytes without one are cut too.
 WINDOW, MASK, LONGEST = 24, (1 << 9) - 1, 1 << 13
 #: Bytes of chunks and ids that a worker keeps for reuse.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 16 << 20
 #: Different words behind a space that it keeps with their ids.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 400_000
 
 
 def safe_places(raw: np.ndarray) -> np.ndarray:

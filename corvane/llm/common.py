@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corvane.session import ship
 
 #: Rows and bytes of one Arrow batch: bounds a Python worker's memory whatever the partition's size.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 #: Used where a session on one machine (local[...]) names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again; `per_core` files a core at most."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    compact(df, per_core).write.parquet(path)
+    compact(df, per_core).write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

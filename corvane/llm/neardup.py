@@ -19,8 +19,8 @@ K, PERMS, BANDS = 5, 128, 32
 PERCENT, LEAST = 75, 0.58
 #: Members of a group up to which all its pairs between components are listed; rows and shingles of a block beyond it.
 SMALL, BLOCK, BLOCK_SHINGLES = 6, 512, 2 << 20
-#: Up to so many ids (about 100 MB as a hash table) are sent to every task; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Up to so many small rows (about 100 MB as a hash table) are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -67,33 +67,50 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("bigint").alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, "key bigint, n_shingles bigint, set_id binary, sketch binary, bands array<bigint>")
 
 
+def small(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a few numbers as a written table, to be broadcast in a join if there are no more than BROADCAST_ROWS."""
+    rows = written(rows, name, 1)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(node, values): the whole shingle sets of the wanted keys."""
-    few = wanted.count() <= BROADCAST_IDS
-    own = docs.select(docs[key].cast("bigint").alias("node"), text_or_empty(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    """wanted's columns, of which `node` is a key, and values: the whole shingle sets of the wanted keys."""
+    own = docs.select(docs[key].cast("bigint").alias("node"), text_or_empty(text).alias("text")).join(wanted, "node")
+    names = wanted.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             sets = shingle_sets(block.column("text"))
             offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([block.column("node"), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "values"])
-
-    return own.mapInArrow(run, "node bigint, values array<bigint>")
+            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in names], pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))], [*names, "values"])
 
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
+    return own.mapInArrow(run, f"{kinds}, values array<bigint>")
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b, ...) whose full sets are similar enough.
 
-    A set that meets more than BLOCK others is sent to several partitions, each with a share of its pairs.
-    """
-    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = pairs.join(hot, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts)).drop("parts")
-    left = sets.withColumnRenamed("node", "a").join(hot, "a", "left").select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.col("values").alias("va"))
-    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("values").alias("vb")), "b").join(left, ["a", "part"])
+def _alike(both: DataFrame) -> DataFrame:
+    """The rows whose sets va and vb are similar enough."""
     both = both.where(F.least(F.size("va"), F.size("vb")) * 100 >= F.greatest(F.size("va"), F.size("vb")) * PERCENT)
     both = both.withColumn("common", F.size(F.array_intersect("va", "vb")))
-    return both.where(F.col("common") * 100 >= (F.size("va") + F.size("vb") - F.col("common")) * PERCENT).select(*pairs.columns)
+    return both.where(F.col("common") * 100 >= (F.size("va") + F.size("vb") - F.col("common")) * PERCENT)
+
+
+def _first_links(sets: DataFrame) -> DataFrame:
+    """(a, b): the nodes b that are similar to the first node they meet.
+
+    A node that is the first of more than BLOCK others is sent to several partitions, each with a share of them.
+    """
+    right = sets.where("first < node").select(F.col("first").alias("a"), "part", F.col("node").alias("b"), F.col("values").alias("vb"))
+    left = sets.where("leads").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("values").alias("va"))
+    return _alike(right.join(left, ["a", "part"])).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose full sets are similar enough; sets that aren't in a pair stay where they are."""
+    right = sets.select(F.col("node").alias("b"), F.col("values").alias("vb")).join(pairs, "b")
+    ids = small(pairs.select("a").distinct(), "ids")
+    left = sets.select(F.col("node").alias("a"), F.col("values").alias("va")).join(ids, "a", "left_semi")
+    return _alike(right.join(left, "a")).select(*pairs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,8 +209,10 @@ def _in_blocks(live: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     low = F.when(is_main, F.col("other")).otherwise(F.least("own", "other"))
     high = F.when(is_main, F.col("p") + F.col("own")).otherwise(F.greatest("own", "other"))
     side = (is_main | (F.col("own") > F.col("other"))).cast("int")
+    ids = small(many.select("node").distinct(), "ids")
     many = many.select("lead", "node", "component", low.alias("bi"), high.alias("bj"), side.alias("side"))
-    many = many.join(nodes.select("node", "sketch").join(sets, "node"), "node")
+    content = nodes.select("node", "sketch").join(ids, "node", "left_semi").join(sets.select("node", "values").join(ids, "node", "left_semi"), "node")
+    many = many.join(content, "node")
     return many.groupBy("lead", "bi", "bj").applyInArrow(_joined, "a bigint, b bigint")
 
 
@@ -214,17 +233,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     python_ready(docs.sparkSession)
     seen = written(sketches(docs, key, text), "sketches")
     classes = written(seen.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
-    nodes = written(seen.join(classes.select("node"), seen["key"] == classes["node"]).select("node", F.col("n_shingles").alias("size"), "sketch", "bands"), "nodes")
+    nodes = written(seen.join(classes.select("node").hint("merge"), seen["key"] == classes["node"]).select("node", F.col("n_shingles").alias("size"), "sketch", "bands"), "nodes")
     rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
     # Members of a bucket share its smallest one; buckets with the same one are one group, so bands repeat little.
     met = written(rows.join(shared, "bucket").groupBy("node").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("first")).alias("leads")), "met")
-    sets = written(full_sets(docs, key, text, met.select("node")), "sets")
-    pairs = met.select(F.get("leads", F.lit(0)).alias("a"), F.col("node").alias("b")).where("a < b")
-    parts = components(verified(pairs, sets))
+    firsts = met.select("node", F.get("leads", F.lit(0)).alias("first"), F.array_contains("leads", F.col("node")).alias("leads"))
+    hot = small(firsts.where("first < node").groupBy("first").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1"), "hot")
+    one = F.lit(1).cast("bigint")
+    firsts = firsts.join(hot, "first", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", one))).drop("parts")
+    firsts = firsts.join(hot.withColumnRenamed("first", "node"), "node", "left").withColumn("parts", F.coalesce("parts", one))
+    sets = written(full_sets(docs, key, text, small(firsts, "firsts")), "sets")
+    parts = components(_first_links(sets))
     groups = met.join(parts, "node", "left").select(F.posexplode("leads").alias("place", "lead"), "node", F.coalesce("component", "node").alias("component"), "size")
     live = written(_open(groups.withColumn("tried", F.col("place") == 0).drop("place")), "live")
-    new = verified(_listed(live), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(_in_blocks(live, nodes, sets))
+    new = verified(small(_listed(live), "listed"), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(_in_blocks(live, nodes, sets))
     above = components(new).select(F.col("node").alias("component"), F.col("component").alias("above"))
     known = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(above, "component", "left")
     known = written(known.select("set_id", "n", F.coalesce("above", "component").alias("component")), "known")

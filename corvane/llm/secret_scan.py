@@ -20,6 +20,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _BEARER = re.compile(r"[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})")
 _VENDOR = re.compile(r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]{16,}")
+#: Up to so many spans (about 80 MB as a hash table) are sent to every task when texts are masked; more are joined by a shuffle.
+BROADCAST_SPANS = 500_000
 #: A key's header; its footer, sought before any further header; and lines of a body without one: headers of the key, then base64.
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
@@ -157,7 +159,10 @@ def masked(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
     python_ready(docs.sparkSession)
     columns = docs.columns
     own, marks = fresh(columns, "span_key"), fresh(columns, "span_marks")
-    spans = found.where(F.size("spans") > 0).select(F.col(key).alias(own), F.col("spans").alias(marks)).dropDuplicates([own])
+    only = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["copied"].alias("copied")))
+    spans = found.where(F.size("spans") > 0).select(F.col(key).alias(own), only.alias(marks)).dropDuplicates([own])
+    if found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
     joined = docs.join(spans, F.col(key) == F.col(own), "left").select(*columns, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.resample import derive_seed
+from corvane.operators.select import majority_readout
 
 
 class GateError(ValueError):
@@ -37,52 +38,191 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def candidate_set(pool: DataFrame, n: int, base_seed: int | None = None) -> DataFrame:
-    """Of each problem: n candidates, ids 0 to n - 1, grades that equal a comparison with gold, and derived seeds."""
-    per = pool.groupBy("problem_id").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("sample_id").alias("d"), F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi"))
-    key = F.col("problem_id")
-    parts = [
-        _rows(per, "count", key, F.lit(n), F.col("c"), F.col("c") != n),
-        _rows(per, "ids", key, F.lit(f"0..{n - 1}"), F.concat_ws("..", F.col("lo").cast("string"), F.col("hi").cast("string")), (F.col("d") != F.col("c")) | (F.col("lo") != 0) | (F.col("hi") != F.col("c") - 1)),
-    ]
-    should = F.coalesce(F.col("answer") == F.col("gold"), F.lit(False))
-    one = F.concat_ws("/", key.cast("string"), F.col("sample_id").cast("string"))
-    parts.append(_rows(pool, "correct", one, should, F.col("correct"), ~F.col("correct").eqNullSafe(should)))
-    if base_seed is not None:
-        seeded = pool.withColumns({"_b": F.lit(base_seed), "_s": F.lit("gen")}).withColumn("_want", derive_seed("_b", "problem_id", "sample_id", "_s"))
-        parts.append(_rows(seeded, "seed", one, F.col("_want"), F.col("seed"), F.col("seed") != F.col("_want")))
-    return union(parts)
+def _found(*checks: tuple[str, Column, Column, Column, Column]) -> Column:
+    """Generator of the violations of one row: each check is (name, key, expected, actual, bad); an unknown bad is bad."""
+    one = [F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(name).alias("check"), key.cast("string").alias("key"), want.cast("string").alias("expected"), got.cast("string").alias("actual"))) for name, key, want, got, bad in checks]
+    return F.inline(F.array_compact(F.array(*one)))
+
 
+_ONE = ("problem_id", "sample_id")
 
-def score_vector(pool: DataFrame, scores: DataFrame) -> DataFrame:
-    """Every candidate has one finite score, and every score a candidate."""
-    keys = ["problem_id", "sample_id"]
-    one = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    per = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.first("score").alias("score"))
+
+def _key(*columns: str) -> Column:
+    return F.concat_ws("/", *[F.col(c).cast("string") for c in columns])
+
+
+def candidate_set(pool: DataFrame, n: int, base_seed: int | None = None, tokens: tuple[str, int] | None = None) -> DataFrame:
+    """Of each problem: n candidates, ids 0 to n - 1, grades that equal a comparison with gold, derived seeds, and token lists of the given length.
+
+    One pass: counts of a problem are windows over its candidates, and stand at its first row.
+    """
+    own = Window.partitionBy("problem_id")
+    first = F.row_number().over(own.orderBy("sample_id")) == 1
+    rows = pool.withColumns({"_c": F.count(F.lit(1)).over(own), "_d": F.size(F.collect_set("sample_id").over(own)), "_lo": F.min("sample_id").over(own), "_hi": F.max("sample_id").over(own), "_first": first})
+    key, one = F.col("problem_id"), _key(*_ONE)
+    at = lambda bad: F.col("_first") & F.coalesce(bad, F.lit(True))
+    should = F.coalesce(F.col("answer") == F.col("gold"), F.lit(False))
+    checks = [
+        ("count", key, F.lit(n), F.col("_c"), at(F.col("_c") != n)),
+        ("ids", key, F.lit(f"0..{n - 1}"), F.concat_ws("..", F.col("_lo").cast("string"), F.col("_hi").cast("string")), at((F.col("_d") != F.col("_c")) | (F.col("_lo") != 0) | (F.col("_hi") != F.col("_c") - 1))),
+        ("correct", one, should, F.col("correct"), ~F.col("correct").eqNullSafe(should)),
+    ]
+    if base_seed is not None:
+        rows = rows.withColumns({"_b": F.lit(base_seed), "_s": F.lit("gen")}).withColumn("_want", derive_seed("_b", "problem_id", "sample_id", "_s"))
+        checks.append(("seed", one, F.col("_want"), F.col("seed"), F.col("seed") != F.col("_want")))
+    if tokens is not None:
+        checks.append(("tokens", one, F.lit(tokens[1]), F.size(tokens[0]), F.size(tokens[0]) != tokens[1]))
+    return rows.select(_found(*checks))
+
+
+#: How grading and extraction may end.
+GRADES, EXTRACTIONS = ("ok", "timeout", "error"), ("ok", "invalid", "timeout", "error")
+
+
+def candidate_records(pool: DataFrame) -> DataFrame:
+    """Each candidate's grade_status and extraction_status are known ones, correct is grade_correct, answer is extraction_answer."""
+    one = _key(*_ONE)
+    graded = F.coalesce("grade_correct", F.lit(False))
+    return pool.select(_found(
+        ("grade status", one, F.lit("/".join(GRADES)), F.col("grade_status"), ~F.col("grade_status").isin(*GRADES)),
+        ("extraction status", one, F.lit("/".join(EXTRACTIONS)), F.col("extraction_status"), ~F.col("extraction_status").isin(*EXTRACTIONS)),
+        ("correct", one, graded, F.col("correct"), ~F.coalesce("correct", F.lit(False)).eqNullSafe(graded)),
+        ("answer", one, F.col("extraction_answer"), F.col("answer"), ~F.col("answer").eqNullSafe(F.col("extraction_answer"))),
+    ))
+
+
+def whole_pool(problems: DataFrame, pool: DataFrame, base_seed: int, n: int, formal: int | None = None) -> DataFrame:
+    """What a pool says of its problems against its candidates.
+
+    problems: problem_id, base_seed, num_candidates, prompt_ids, prompt_length, selected_answer, selected_sample_id and
+    oracle. Ids are unique, seed and count are the pool's, the prompt is there and of its length, majority and oracle are
+    those that the candidates give again. formal: the ids are 0 to formal - 1. For the candidates themselves see
+    `candidate_set`, for the envelope `config`.
+    """
+    again = majority_readout(pool).select("problem_id", F.col("selected_answer").alias("_answer"), F.col("selected_sample_id").alias("_sample"))
+    again = again.join(pool.groupBy("problem_id").agg(F.bool_or("correct").alias("_oracle")), "problem_id")
+    own = Window.partitionBy("problem_id")
+    rows = problems.withColumns({"_n": F.count(F.lit(1)).over(own), "_first": F.row_number().over(own.orderBy("num_candidates")) == 1}).join(again, "problem_id", "left")
+    key = F.col("problem_id")
+    checks = [
+        ("unique", key, F.lit(1), F.col("_n"), F.col("_first") & (F.col("_n") > 1)),
+        ("base seed", key, F.lit(base_seed), F.col("base_seed"), F.col("base_seed") != base_seed),
+        ("count", key, F.lit(n), F.col("num_candidates"), F.col("num_candidates") != n),
+        ("prompt", key, F.size("prompt_ids"), F.col("prompt_length"), (F.size("prompt_ids") <= 0) | (F.size("prompt_ids") != F.col("prompt_length"))),
+        ("majority", key, _key("_answer", "_sample"), _key("selected_answer", "selected_sample_id"), ~(F.col("_answer").eqNullSafe(F.col("selected_answer")) & F.col("_sample").eqNullSafe(F.col("selected_sample_id")))),
+        ("oracle", key, F.col("_oracle"), F.col("oracle"), F.col("_oracle") != F.col("oracle")),
+    ]
+    if formal is not None:
+        checks.append(("range", key, F.lit(f"0..{formal - 1}"), key, (key < 0) | (key >= formal)))
+    out = rows.select(_found(*checks))
+    if formal is None:
+        return out
+    count = problems.agg(F.count_distinct("problem_id").alias("d"))
+    return out.unionByName(count.select(_found(("problems", F.lit("all"), F.lit(formal), F.col("d"), F.col("d") != formal))))
+
+
+def score_vector(pool: DataFrame, scores: DataFrame, calls: str | None = None) -> DataFrame:
+    """Every candidate has one finite score, and every score a candidate; `calls`: a column that must be 1 in each score."""
+    keys = list(_ONE)
+    one = _key(*keys)
+    more = [] if calls is None else [F.min(calls).alias("_calls")]
+    per = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.first("score").alias("score"), *more)
     both = pool.select(*keys, F.lit(1).alias("c")).join(per, keys, "full")
-    return union([
-        _rows(both, "missing", one, F.lit(1), F.coalesce("m", F.lit(0)), F.col("m").isNull()),
-        _rows(both, "unknown", one, F.lit(0), F.col("m"), F.col("c").isNull()),
-        _rows(both.where("m IS NOT NULL"), "repeated", one, F.lit(1), F.col("m"), F.col("m") > 1),
-        _rows(both.where("m IS NOT NULL"), "finite", one, F.lit("finite"), F.col("score"), F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))),
-    ])
+    there = F.col("m").isNotNull()
+    checks = [
+        ("missing", one, F.lit(1), F.coalesce("m", F.lit(0)), F.col("m").isNull()),
+        ("unknown", one, F.lit(0), F.col("m"), F.col("c").isNull()),
+        ("repeated", one, F.lit(1), F.col("m"), there & (F.col("m") > 1)),
+        ("finite", one, F.lit("finite"), F.col("score"), there & F.coalesce(F.isnan("score") | (F.abs("score") == float("inf")), F.lit(True))),
+    ]
+    if calls is not None:
+        checks.append(("calls", one, F.lit(1), F.col("_calls"), there & F.coalesce(F.col("_calls") != 1, F.lit(True))))
+    return both.select(_found(*[(n, k, e, a, F.coalesce(bad, F.lit(False))) for n, k, e, a, bad in checks]))
 
 
-def states(rows: DataFrame, per_problem: int = 10) -> DataFrame:
-    """State ids unique, 0 < ratio < 1, bucket = floor(ratio * 10), fraction = mean of binary outcomes, one state per bucket and problem."""
+def states(rows: DataFrame, per_problem: int = 10, outcomes: int | None = None, label: str | None = None) -> DataFrame:
+    """State ids unique, 0 < ratio < 1, bucket = floor(ratio * 10), fraction = mean of binary outcomes, one state per bucket and problem.
+
+    outcomes: how many a state has; label: a column that is 0 or 1 and the same in all states of a problem. Checks of a row in
+    one pass, of a problem in another.
+    """
     key = F.col("state_id")
+    own = Window.partitionBy("state_id")
+    seen = rows.withColumns({"_c": F.count(F.lit(1)).over(own), "_first": F.row_number().over(own.orderBy("mask_ratio")) == 1})
     mean = F.aggregate("outcomes", F.lit(0.0), lambda a, x: a + x) / F.size("outcomes")
-    parts = [
-        _rows(rows.groupBy("state_id").agg(F.count(F.lit(1)).alias("c")), "unique", key, F.lit(1), F.col("c"), F.col("c") > 1),
-        _rows(rows, "ratio", key, F.lit("0 < r < 1"), F.col("mask_ratio"), (F.col("mask_ratio") <= 0) | (F.col("mask_ratio") >= 1)),
-        _rows(rows, "bucket", key, F.floor(F.col("mask_ratio") * 10), F.col("mask_bucket"), F.floor(F.col("mask_ratio") * 10) != F.col("mask_bucket")),
-        _rows(rows, "binary", key, F.lit("0 or 1"), F.lit("other"), F.exists("outcomes", lambda x: ~x.isin(0.0, 1.0))),
-        _rows(rows, "fraction", key, F.lit("mean"), F.col("fraction"), F.abs(F.col("fraction") - mean) > 1e-12),
+    bucket = F.floor(F.col("mask_ratio") * 10)
+    checks = [
+        ("unique", key, F.lit(1), F.col("_c"), F.col("_first") & (F.col("_c") > 1)),
+        ("ratio", key, F.lit("0 < r < 1"), F.col("mask_ratio"), (F.col("mask_ratio") <= 0) | (F.col("mask_ratio") >= 1)),
+        ("bucket", key, bucket, F.col("mask_bucket"), bucket != F.col("mask_bucket")),
+        ("binary", key, F.lit("0 or 1"), F.lit("other"), F.exists("outcomes", lambda x: ~x.isin(0.0, 1.0))),
+        ("fraction", key, F.lit("mean"), F.col("fraction"), F.abs(F.col("fraction") - mean) > 1e-12),
     ]
-    each = rows.groupBy("problem_id", "mask_bucket").agg(F.count(F.lit(1)).alias("c"))
-    per = each.groupBy("problem_id").agg(F.count(F.lit(1)).alias("b"), F.max("c").alias("m"))
-    parts.append(_rows(per, "buckets", F.col("problem_id"), F.lit(per_problem), F.col("b"), (F.col("b") != per_problem) | (F.col("m") > 1)))
-    return union(parts)
+    if outcomes is not None:
+        checks.append(("outcomes", key, F.lit(outcomes), F.size("outcomes"), F.size("outcomes") != outcomes))
+    if label is not None:
+        checks.append(("label", key, F.lit("0 or 1"), F.col(label), ~F.col(label).isin(0, 1)))
+    more = [] if label is None else [(F.max(label) != F.min(label)).alias("_label")]
+    each = rows.groupBy("problem_id", "mask_bucket").agg(F.count(F.lit(1)).alias("c"), *([] if label is None else [F.min(label).alias("lo"), F.max(label).alias("hi")]))
+    per = each.groupBy("problem_id").agg(F.count(F.lit(1)).alias("b"), F.max("c").alias("m"), *([] if not more else [(F.min("lo") != F.max("hi")).alias("_label")]))
+    problem = F.col("problem_id")
+    of_problem = [("buckets", problem, F.lit(per_problem), F.col("b"), (F.col("b") != per_problem) | (F.col("m") > 1))]
+    if label is not None:
+        of_problem.append(("constant label", problem, F.lit("one"), F.lit("several"), F.col("_label")))
+    return seen.select(_found(*checks)).unionByName(per.select(_found(*of_problem)))
+
+
+def resumable(assigned: DataFrame, done: DataFrame, fields: Sequence[str], current: dict, key: str = "problem_id") -> DataFrame:
+    """May an interrupted shard go on? Done ids are among the assigned ones, each once, and every row's identity fields are the current run's."""
+    per = done.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.min(F.col(f).eqNullSafe(F.lit(current[f]))).alias(f"_same_{k}") for k, f in enumerate(fields)])
+    known = assigned.select(F.col(key), F.lit(True).alias("_known")).distinct()
+    rows = per.join(known, key, "left")
+    checks = [("assigned", F.col(key), F.lit("assigned"), F.lit("other"), F.col("_known").isNull()), ("repeated", F.col(key), F.lit(1), F.col("_n"), F.col("_n") > 1)]
+    checks += [(f"identity {f}", F.col(key), F.lit(str(current[f])), F.lit("other"), ~F.col(f"_same_{k}")) for k, f in enumerate(fields)]
+    return rows.select(_found(*checks))
+
+
+def formal_set(rows: DataFrame, problems: int, samples: int) -> DataFrame:
+    """Trajectories of a formal set: ordinals 0 to problems - 1, one per problem and one problem per ordinal, and samples 0 to samples - 1 of each, once."""
+    pairs = rows.groupBy("problem_id", "ordinal").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("sample_id").alias("d"), F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi"))
+    marked = pairs.withColumns({"_p": F.count(F.lit(1)).over(Window.partitionBy("problem_id")), "_o": F.count(F.lit(1)).over(Window.partitionBy("ordinal"))})
+    key = F.col("problem_id")
+    out = marked.select(_found(
+        ("ordinal", key, F.lit(f"0..{problems - 1}"), F.col("ordinal"), (F.col("ordinal") < 0) | (F.col("ordinal") >= problems)),
+        ("one ordinal", key, F.lit(1), F.col("_p"), F.col("_p") > 1),
+        ("one problem", key, F.lit(1), F.col("_o"), F.col("_o") > 1),
+        ("samples", key, F.lit(samples), F.col("c"), (F.col("c") != samples) | (F.col("d") != samples) | (F.col("lo") != 0) | (F.col("hi") != samples - 1)),
+    ))
+    total = pairs.agg(F.count_distinct("problem_id").alias("n"))
+    return out.unionByName(total.select(_found(("problems", F.lit("all"), F.lit(problems), F.col("n"), F.col("n") != problems))))
+
+
+def reproduced(declared: DataFrame, again: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """A declared summary, one row, against the one computed again from its records: a violation per column that differs, or is in only one of them."""
+    names = sorted({*declared.columns, *again.columns})
+    left = declared.select(*[F.col(c).alias(f"_d{k}") if c in declared.columns else F.lit(None).alias(f"_d{k}") for k, c in enumerate(names)])
+    right = again.select(*[F.col(c).alias(f"_a{k}") if c in again.columns else F.lit(None).alias(f"_a{k}") for k, c in enumerate(names)])
+    kinds = dict(again.dtypes)
+
+    def differs(k: int, c: str) -> Column:
+        d, a = F.col(f"_d{k}"), F.col(f"_a{k}")
+        if c not in declared.columns or c not in again.columns:
+            return F.lit(True)
+        near = F.abs(d - a) <= tolerance if tolerance and kinds[c] in ("double", "float") else d == a
+        return ~(F.coalesce(near, F.lit(False)) | (d.isNull() & a.isNull()))
+
+    both = left.join(F.broadcast(right))  # a row each
+    return both.select(_found(*[("summary", F.lit(c), F.col(f"_a{k}"), F.col(f"_d{k}"), differs(k, c)) for k, c in enumerate(names)]))
+
+
+def output_contract(spark: SparkSession, folder: str, expected: Sequence[str], resume: bool) -> list[tuple[str, str]]:
+    """(violation, name): a new run's folder holds none of its files and nothing else; one that goes on holds all that it resumes from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+    if resume:
+        return [("missing", n) for n in sorted(set(expected) - there)]
+    return [("stale", n) for n in sorted(there)]
 
 
 def same_identity(rows: DataFrame, fields: Sequence[str], shard: str) -> DataFrame:

@@ -49,7 +49,7 @@ def majority_bon(pool: DataFrame, *keys: str) -> DataFrame:
     """Most frequent valid answer; correct if it equals the gold answer."""
     keys = keys or (P,)
     won = _winner(votes(pool, *keys).where("answer IS NOT NULL"), keys, "votes")
-    return won.select(*keys, "answer", "votes", (F.col("answer") == F.col("gold")).alias("is_correct"))
+    return won.select(*keys, "answer", "votes", F.coalesce(F.col("answer") == F.col("gold"), F.lit(False)).alias("is_correct"))
 
 
 def majority_with_null_class(pool: DataFrame, *keys: str) -> DataFrame:
@@ -111,11 +111,13 @@ def equivalence_classes(pool: DataFrame, tolerance: float) -> DataFrame:
     """Candidates with the lowest sample_id of their class: the closure of |a - b| <= tolerance over numeric answers.
 
     On a line the closure needs no pairs: sorted values break where a gap is wider than the tolerance.
+    Null values are in no class. For any other comparison see `equivalence`.
     """
-    order = Window.partitionBy(P).orderBy("value", "sample_id")
+    valid = pool.withColumn("valid", F.col("value").isNotNull())
+    order = Window.partitionBy(P, "valid").orderBy("value", "sample_id")
     broken = F.coalesce((F.col("value") - F.lag("value").over(order) > tolerance).cast("int"), F.lit(0))
-    run = pool.withColumn("broken", broken).withColumn("run", F.sum("broken").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.withColumn("class_id", F.min("sample_id").over(Window.partitionBy(P, "run"))).drop("broken", "run")
+    run = valid.withColumn("broken", broken).withColumn("run", F.sum("broken").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.withColumn("class_id", F.when(F.col("valid"), F.min("sample_id").over(Window.partitionBy(P, "valid", "run")))).drop("broken", "run", "valid")
 
 
 def rerank(pool: DataFrame, score: str, *keys: str) -> DataFrame:
@@ -127,21 +129,38 @@ def rerank(pool: DataFrame, score: str, *keys: str) -> DataFrame:
 
 
 def weighted_vote(pool: DataFrame, weight: str, *keys: str) -> DataFrame:
-    """The answer of the greatest weight, its share of all and of the valid weight; without one, the heaviest candidate, wrong."""
+    """The answer of the greatest weight, its share of all and of the valid weight, and the invalid answers' share.
+
+    Without a valid answer the heaviest candidate, ties to the lowest, is the fallback: it has no answer and counts as wrong.
+    """
     keys = keys or (P,)
-    each = votes(pool, *keys, weight=F.col(weight))
+    heaviest = F.max(F.struct(F.col(weight).alias("w"), (-F.col("sample_id")).alias("s")))
+    each = pool.groupBy(*keys, "answer").agg(F.sum(weight).alias("weight"), F.min("sample_id").alias("first"), F.first("gold").alias("gold"), heaviest.alias("top"))
     valid = F.col("answer").isNotNull()
-    best = F.max_by(F.struct("answer", "weight", "first"), F.when(valid, F.struct(F.round("weight", 9), -F.col("first"))))
-    out = each.groupBy(*keys).agg(best.alias("b"), F.sum("weight").alias("total"), F.sum(F.when(valid, F.col("weight"))).alias("valid"), F.first("gold").alias("gold"))
+    best = F.max_by(F.struct("answer", "weight"), F.when(valid, F.struct(F.round("weight", 9), -F.col("first"))))
+    out = each.groupBy(*keys).agg(best.alias("b"), F.sum("weight").alias("total"), F.sum(F.when(valid, F.col("weight"))).alias("valid"), F.first("gold").alias("gold"), F.max("top").alias("top"))
+    none = F.col("b").isNull()
     return out.select(
         *keys,
         F.col("b.answer").alias("answer"),
-        F.round(F.col("b.weight") / F.col("total"), 6).alias("share"),
+        F.round(F.coalesce("b.weight", "top.w") / F.col("total"), 6).alias("share"),
         F.round(F.col("b.weight") / F.col("valid"), 6).alias("valid_share"),
+        F.round(1 - F.coalesce("valid", F.lit(0.0)) / F.col("total"), 6).alias("invalid_mass"),
         F.coalesce(F.col("b.answer") == F.col("gold"), F.lit(False)).alias("is_correct"),
+        none.alias("fallback_used"),
+        F.when(none, -F.col("top.s")).alias("fallback_sample_id"),
     )
 
 
+def weighted_outcomes(pool: DataFrame, weights: dict[str, Column], *keys: str) -> DataFrame:
+    """keys and one column per weight: is the answer of the greatest weight correct? All from one grouping by answer."""
+    keys = keys or (P,)
+    sums = [F.round(F.sum(w), 9).alias(name) for name, w in weights.items()]
+    each = pool.groupBy(*keys, "answer").agg(F.min("sample_id").alias("first"), F.first("gold").alias("gold"), *sums)
+    top = lambda name: F.max_by(F.col("answer") == F.col("gold"), F.when(F.col("answer").isNotNull(), F.struct(F.col(name), -F.col("first"))))
+    return each.groupBy(*keys).agg(*[F.coalesce(top(name), F.lit(False)).alias(name) for name in weights])
+
+
 def outcomes(pool: DataFrame, scores: tuple[str, ...], *keys: str) -> DataFrame:
     """keys, oracle, majority (invalid answers are a class) and one column per score: is the selected candidate correct?
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import gates, lineage
+from corvane.operators import gates, lineage, select, summary
 from corvane.plans.registry import query
 from corvane.plans.views import CANDIDATES, SNAPSHOTS, candidates, snapshots
 from corvane.session import table
@@ -49,6 +49,91 @@ def dq_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.states(rows.withColumn("fraction", F.when(F.col("state_id") % 100 == 0, 0.5).otherwise(0.25)))
 
 
+@query(
+    f"""WITH {CANDIDATES}, r AS (SELECT problem_id || '/' || sample_id AS key, coalesce(answer, 'none') AS answer, CASE WHEN quantity = 7 THEN 'late' ELSE 'ok' END AS g, CASE WHEN answer IS NULL THEN 'invalid' WHEN quantity = 8 THEN 'odd' ELSE 'ok' END AS e, correct, correct <> (quantity = 9) AS graded, CASE WHEN quantity = 10 THEN 'Z' ELSE coalesce(answer, 'none') END AS ea FROM c)
+SELECT 'grade status' AS "check", key, 'ok/timeout/error' AS expected, g AS actual FROM r WHERE g = 'late' UNION ALL SELECT 'extraction status', key, 'ok/invalid/timeout/error', e FROM r WHERE e = 'odd'
+UNION ALL SELECT 'correct', key, CAST(graded AS VARCHAR), CAST(correct AS VARCHAR) FROM r WHERE graded <> correct UNION ALL SELECT 'answer', key, ea, answer FROM r WHERE ea <> answer"""
+)
+def dq_candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses, grades and answers are forged by quantity."""
+    pool = candidates(spark, sf_dir)
+    answer = F.coalesce("answer", F.lit("none"))
+    extraction = F.when(F.col("answer").isNull(), "invalid").when(F.col("quantity") == 8, "odd").otherwise("ok")
+    rows = pool.select("problem_id", "sample_id", answer.alias("answer"), "correct", F.when(F.col("quantity") == 7, "late").otherwise("ok").alias("grade_status"), extraction.alias("extraction_status"), (F.col("correct") != (F.col("quantity") == 9)).alias("grade_correct"), F.when(F.col("quantity") == 10, "Z").otherwise(answer).alias("extraction_answer"))
+    return gates.candidate_records(rows)
+
+
+@query(
+    f"""WITH {CANDIDATES}, v AS (SELECT problem_id, answer, count(*) AS k, min(sample_id) AS f FROM c WHERE answer IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY k DESC, f) = 1),
+p AS (SELECT problem_id, count(*) AS n, min(sample_id) AS lowest, bool_or(correct) AS oracle FROM c GROUP BY 1),
+m AS (SELECT p.*, answer, coalesce(f, lowest) AS sample FROM p LEFT JOIN b USING (problem_id))
+SELECT 'count' AS "check", CAST(problem_id AS VARCHAR) AS key, '4' AS expected, CAST(n AS VARCHAR) AS actual FROM m WHERE n <> 4 UNION ALL SELECT 'base seed', CAST(problem_id AS VARCHAR), '42', '43' FROM m WHERE problem_id % 50 = 1
+UNION ALL SELECT 'prompt', CAST(problem_id AS VARCHAR), '3', '4' FROM m WHERE problem_id % 50 = 2 UNION ALL SELECT 'majority', CAST(problem_id AS VARCHAR), concat_ws('/', answer, sample), concat_ws('/', answer, sample + 1) FROM m WHERE problem_id % 50 = 3
+UNION ALL SELECT 'oracle', CAST(problem_id AS VARCHAR), CAST(oracle AS VARCHAR), CAST(NOT oracle AS VARCHAR) FROM m WHERE problem_id % 50 = 4
+UNION ALL SELECT 'range', CAST(problem_id AS VARCHAR), '0..999', CAST(problem_id AS VARCHAR) FROM m WHERE problem_id >= 1000 UNION ALL SELECT 'problems', 'all', '1000', CAST(count(*) AS VARCHAR) FROM m HAVING count(*) <> 1000"""
+)
+def dq_whole_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of some problems is forged."""
+    pool = candidates(spark, sf_dir)
+    said = select.majority_readout(pool).join(pool.groupBy("problem_id").agg(F.count(F.lit(1)).alias("num_candidates"), F.bool_or("correct").alias("oracle")), "problem_id")
+    forged = lambda k: F.col("problem_id") % 50 == k
+    problems = said.select(
+        "problem_id",
+        F.when(forged(1), 43).otherwise(42).alias("base_seed"),
+        "num_candidates",
+        F.array(F.lit(1), F.lit(2), F.lit(3)).alias("prompt_ids"),
+        F.when(forged(2), 4).otherwise(3).alias("prompt_length"),
+        "selected_answer",
+        (F.col("selected_sample_id") + forged(3).cast("int")).alias("selected_sample_id"),
+        (F.col("oracle") != forged(4)).alias("oracle"),
+    )
+    return gates.whole_pool(problems, pool, 42, 4, 1000)
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey + CASE WHEN o_orderkey % 100 = 3 THEN 100000000 ELSE 0 END AS k, CASE WHEN o_orderkey % 100 = 4 THEN 43 ELSE 42 END AS seed, CASE WHEN o_orderkey % 100 = 5 THEN 2 ELSE 1 END AS times FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 100 IN (3, 5))
+SELECT 'assigned' AS "check", CAST(k AS VARCHAR) AS key, 'assigned' AS expected, 'other' AS actual FROM d WHERE k >= 100000000 UNION ALL SELECT 'repeated', CAST(k AS VARCHAR), '1', '2' FROM d WHERE times = 2 UNION ALL SELECT 'identity seed', CAST(k AS VARCHAR), '42', 'other' FROM d WHERE seed = 43"""
+)
+def dq_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard that is half done, with ids of another shard, repeated rows and rows of another seed."""
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem_id"))
+    hundred = F.col("problem_id") % 100
+    done = ids.where((F.col("problem_id") % 2 == 0) | hundred.isin(3, 5)).withColumn("times", F.when(hundred == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    done = done.select((F.col("problem_id") + F.when(hundred == 3, 100000000).otherwise(0)).alias("problem_id"), F.when(hundred == 4, 43).otherwise(42).alias("seed"), F.lit("t").alias("task"), F.explode("times").alias("time"))
+    return gates.resumable(ids, done, ["seed", "task"], {"seed": 42, "task": "t"})
+
+
+@query(
+    f"""WITH {CANDIDATES}, r AS (SELECT problem_id, CASE WHEN problem_id % 100 = 1 AND sample_id = 0 THEN -1 WHEN problem_id % 100 = 2 THEN problem_id + 1 ELSE problem_id END AS ordinal, sample_id FROM c),
+p AS (SELECT problem_id, ordinal, count(*) AS c, count(DISTINCT sample_id) AS d, min(sample_id) AS lo, max(sample_id) AS hi FROM r GROUP BY 1, 2),
+m AS (SELECT *, count(*) OVER (PARTITION BY problem_id) AS p, count(*) OVER (PARTITION BY ordinal) AS o FROM p)
+SELECT 'ordinal' AS "check", CAST(problem_id AS VARCHAR) AS key, '0..999' AS expected, CAST(ordinal AS VARCHAR) AS actual FROM m WHERE ordinal < 0 OR ordinal >= 1000 UNION ALL SELECT 'one ordinal', CAST(problem_id AS VARCHAR), '1', CAST(p AS VARCHAR) FROM m WHERE p > 1
+UNION ALL SELECT 'one problem', CAST(problem_id AS VARCHAR), '1', CAST(o AS VARCHAR) FROM m WHERE o > 1 UNION ALL SELECT 'samples', CAST(problem_id AS VARCHAR), '4', CAST(c AS VARCHAR) FROM m WHERE c <> 4 OR d <> 4 OR lo <> 0 OR hi <> 3
+UNION ALL SELECT 'problems', 'all', '1000', CAST(count(DISTINCT problem_id) AS VARCHAR) FROM m HAVING count(DISTINCT problem_id) <> 1000"""
+)
+def dq_formal_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinals that are negative, out of range, shared or several of a problem."""
+    id_, hundred = F.col("problem_id"), F.col("problem_id") % 100
+    ordinal = F.when((hundred == 1) & (F.col("sample_id") == 0), -1).when(hundred == 2, id_ + 1).otherwise(id_)
+    return gates.formal_set(candidates(spark, sf_dir).select("problem_id", ordinal.alias("ordinal"), "sample_id"), 1000, 4)
+
+
+@query(f"WITH {CANDIDATES} SELECT 'summary' AS \"check\", 'num_correct' AS key, CAST(count(*) FILTER (correct) AS VARCHAR) AS expected, CAST(count(*) FILTER (correct) + 1 AS VARCHAR) AS actual FROM c")
+def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared summary with one number forged."""
+    again = summary.merge_stats(candidates(spark, sf_dir))
+    return gates.reproduced(again.withColumn("num_correct", F.col("num_correct") + 1), again)
+
+
+@query(
+    f"""WITH {CANDIDATES}, d AS (SELECT problem_id || '/' || sample_id AS key, CASE WHEN quantity = 3 THEN 2 ELSE 1 END AS calls FROM c) SELECT 'calls' AS "check", key, '1' AS expected, '2' AS actual FROM d WHERE calls = 2"""
+)
+def dq_score_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = candidates(spark, sf_dir)
+    return gates.score_vector(pool, pool.select("problem_id", "sample_id", F.col("prm_score").alias("score"), F.when(F.col("quantity") == 3, 2).otherwise(1).alias("calls")), "calls")
+
+
 @query(
     """WITH i AS (SELECT DISTINCT l_suppkey % 16 AS shard, '{"seed":' || CASE WHEN l_suppkey % 16 = 5 THEN 43 ELSE 42 END || ',"task":"t"}' AS identity FROM lineitem)
 SELECT 'identity' AS "check", CAST(shard AS VARCHAR) AS key, '{"seed":42,"task":"t"}' AS expected, identity AS actual FROM i WHERE identity <> '{"seed":42,"task":"t"}'"""

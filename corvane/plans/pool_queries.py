@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators import equivalence
 from corvane.operators import select as sel
 from corvane.operators import summary
 from corvane.plans.registry import query
 from corvane.plans.views import CANDIDATES, candidates
+from corvane.session import ship
 
 NS = (1, 2, 4, 8)
 _N = "ns(n) AS (VALUES (1), (2), (4), (8)), b AS (SELECT * FROM c, ns WHERE sample_id < n)"
@@ -93,8 +95,10 @@ def rerank_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {CANDIDATES}, v AS (SELECT problem_id, answer, sum(quantity) AS weight, min(sample_id) AS first, min(gold) AS gold FROM c GROUP BY problem_id, answer),
 t AS (SELECT problem_id, sum(weight) AS total, sum(weight) FILTER (answer IS NOT NULL) AS valid FROM v GROUP BY problem_id),
+h AS (SELECT problem_id, max_by(sample_id, (quantity, -sample_id)) AS heaviest, max(quantity) AS most FROM c GROUP BY problem_id),
 w AS (SELECT * FROM v WHERE answer IS NOT NULL QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY weight DESC, first) = 1)
-SELECT problem_id, answer, round(weight / total, 6) AS share, round(weight / valid, 6) AS valid_share, coalesce(answer = gold, false) AS is_correct FROM t LEFT JOIN w USING (problem_id)"""
+SELECT problem_id, answer, round(coalesce(weight, most) / total, 6) AS share, round(weight / valid, 6) AS valid_share, round(1 - coalesce(valid, 0) / total, 6) AS invalid_mass, coalesce(answer = gold, false) AS is_correct,
+answer IS NULL AS fallback_used, CASE WHEN answer IS NULL THEN heaviest END AS fallback_sample_id FROM t JOIN h USING (problem_id) LEFT JOIN w USING (problem_id)"""
 )
 def weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.weighted_vote(candidates(spark, sf_dir), "quantity")
@@ -119,18 +123,52 @@ def majority_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.majority_canonical(candidates(spark, sf_dir), form)
 
 
+#: Classes of values within 2 of each other: {own} says which stay alone.
+_CLASSES = """x AS (SELECT *, CASE WHEN answer IS NOT NULL THEN quantity END AS value FROM c),
+g AS (SELECT *, coalesce(CAST(value - lag(value) OVER w > 2 AS INT), 0) AS broken FROM x WHERE value IS NOT NULL AND NOT ({own}) WINDOW w AS (PARTITION BY problem_id ORDER BY value, sample_id)),
+r AS (SELECT problem_id, sample_id, value, correct, sum(broken) OVER (PARTITION BY problem_id ORDER BY value, sample_id ROWS UNBOUNDED PRECEDING) AS run FROM g
+      UNION ALL SELECT problem_id, sample_id, value, correct, -1 - sample_id FROM x WHERE {own}),
+k AS (SELECT problem_id, run, count(*) AS votes, min(sample_id) AS class_id, min_by(correct, sample_id) AS ok, min_by(value, sample_id) AS value FROM r GROUP BY 1, 2),
+w AS (SELECT *, count(*) OVER (PARTITION BY problem_id) AS n_classes FROM k QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY votes DESC, class_id) = 1),
+p AS (SELECT problem_id, count(answer) AS n, count(*) FILTER (answer IS NULL) AS num_invalid, min(sample_id) AS lowest, count(*) FILTER (answer IS NOT NULL AND quantity = 50) AS n50 FROM c GROUP BY 1)"""
+
+
 @query(
-    f"""WITH {CANDIDATES}, g AS (SELECT *, coalesce(CAST(quantity - lag(quantity) OVER w > 2 AS INT), 0) AS broken FROM c WINDOW w AS (PARTITION BY problem_id ORDER BY quantity, sample_id)),
-r AS (SELECT *, sum(broken) OVER (PARTITION BY problem_id ORDER BY quantity, sample_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
-k AS (SELECT problem_id, run, count(*) AS votes, min(sample_id) AS class_id, min_by(correct, sample_id) AS is_correct, max(n_classes) AS n_classes FROM (SELECT *, max(run) OVER (PARTITION BY problem_id) + 1 AS n_classes FROM r) GROUP BY problem_id, run)
-SELECT problem_id, class_id, votes, CAST(n_classes AS BIGINT) AS n_classes, is_correct FROM k QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY votes DESC, class_id) = 1"""
+    f"""WITH {CANDIDATES}, {_CLASSES.format(own='false')}
+SELECT problem_id, class_id, coalesce(votes, 0) AS votes, coalesce(n_classes, 0) AS n_classes, num_invalid, coalesce(ok, false) AS is_correct FROM p LEFT JOIN w USING (problem_id)"""
 )
 def equivalence_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of answers within 2 of each other, closed transitively; the largest one, ties to the lowest id, graded by its first member."""
-    classes = sel.equivalence_classes(candidates(spark, sf_dir).withColumn("value", F.col("quantity")), 2.0)
+    value = F.when(F.col("answer").isNotNull(), F.col("quantity"))
+    classes = sel.equivalence_classes(candidates(spark, sf_dir).withColumn("value", value), 2.0)
     each = classes.groupBy("problem_id", "class_id").agg(F.count(F.lit(1)).alias("votes"), F.min_by("correct", "sample_id").alias("ok"))
-    best = F.max_by(F.struct("class_id", "votes", "ok"), F.struct("votes", -F.col("class_id")))
-    return each.groupBy("problem_id").agg(best.alias("b"), F.count(F.lit(1)).alias("n_classes")).select("problem_id", "b.class_id", "b.votes", "n_classes", F.col("b.ok").alias("is_correct"))
+    valid = F.col("class_id").isNotNull()
+    best = F.max_by(F.struct("class_id", "votes", "ok"), F.when(valid, F.struct("votes", -F.col("class_id"))))
+    per = each.groupBy("problem_id").agg(best.alias("b"), F.count("class_id").alias("n_classes"), F.coalesce(F.sum(F.when(~valid, F.col("votes"))), F.lit(0)).alias("num_invalid"))
+    return per.select("problem_id", "b.class_id", F.coalesce("b.votes", F.lit(0)).alias("votes"), "n_classes", "num_invalid", F.coalesce("b.ok", F.lit(False)).alias("is_correct"))
+
+
+def _near(a: str, b: str) -> bool:
+    """Numbers within 2 of each other; 50 can't be compared with anything."""
+    if "50" in (a, b):
+        raise ValueError("no number: 50")
+    return abs(int(a) - int(b)) <= 2
+
+
+@query(
+    f"""WITH {CANDIDATES}, {_CLASSES.format(own='answer IS NOT NULL AND quantity = 50').replace("FROM x WHERE answer", "FROM x WHERE answer")},
+e AS (SELECT problem_id, -sum(votes / n * log2(votes / n)) AS entropy FROM k JOIN p USING (problem_id) GROUP BY 1)
+SELECT problem_id, CAST(CAST(value AS BIGINT) AS VARCHAR) AS selected_answer, coalesce(votes, 0) AS selected_count, coalesce(class_id, lowest) AS selected_sample_id, coalesce(ok, false) AS correct, class_id IS NULL AS fallback_used,
+n AS num_valid, num_invalid, coalesce(n_classes, 0) AS unique_classes, round(coalesce(entropy, 0), 6) + 0.0 AS entropy_bits, CAST(n * (n - 1) / 2 AS BIGINT) AS comparison_count, CAST(n50 * (n - n50) + n50 * (n50 - 1) / 2 AS BIGINT) AS error_count
+FROM p LEFT JOIN w USING (problem_id) LEFT JOIN e USING (problem_id)"""
+)
+def equivalence_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a comparison that the caller supplies and that fails for some answers."""
+    ship(spark)
+    pool = candidates(spark, sf_dir).withColumn("text", F.when(F.col("answer").isNotNull(), F.col("quantity").cast("bigint").cast("string")))
+    out = equivalence.equivalence_readout(pool, _near, answer="text")
+    columns = ["problem_id", "selected_answer", "selected_count", "selected_sample_id", "correct", "fallback_used", "num_valid", "num_invalid", "unique_classes", "comparison_count", "error_count"]
+    return out.select(*columns, (F.round("entropy_bits", 6) + 0.0).alias("entropy_bits"))
 
 
 @query(
@@ -143,24 +181,55 @@ def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CANDIDATES}, p AS (SELECT problem_id, bool_or(correct) AS oracle, max_by(correct, (orm_score, -sample_id)) AS orm, max_by(correct, (prm_score, -sample_id)) AS prm FROM c GROUP BY problem_id)
-SELECT method, count(*) AS num_problems, count(*) FILTER (ok) AS num_correct, count(*) FILTER (ok) / count(*) AS accuracy FROM (UNPIVOT p ON oracle, orm, prm INTO NAME method VALUE ok) GROUP BY method"""
+    f"""WITH {CANDIDATES}, {_WIN.format(where='WHERE answer IS NOT NULL')},
+p AS (SELECT problem_id, count(*) AS n, count(*) FILTER (answer IS NULL) AS inv, sum(quantity) AS s, bool_or(correct) AS oracle, max_by(correct, (orm_score, -sample_id)) AS orm, max_by(correct, (prm_score, -sample_id)) AS prm FROM c GROUP BY problem_id),
+m AS (SELECT p.*, coalesce(w.answer = w.gold, false) AS majority FROM p LEFT JOIN (SELECT * FROM w WHERE rn = 1) w USING (problem_id)),
+u AS (SELECT * FROM (UNPIVOT m ON majority, oracle, orm, prm INTO NAME method VALUE ok))
+SELECT method, count(*) AS num_problems, count(*) FILTER (ok) AS num_correct, count(*) FILTER (ok) / count(*) AS accuracy, CAST(sum(n) * 128 AS BIGINT) AS logical_denoising, CAST(CASE WHEN method IN ('orm', 'prm') THEN sum(n) ELSE 0 END AS BIGINT) AS logical_scorer,
+CAST(sum(n) * 128 + CASE WHEN method IN ('orm', 'prm') THEN sum(n) ELSE 0 END AS BIGINT) AS logical_total, CAST(CASE WHEN method IN ('orm', 'prm') THEN sum(ceil(n / 4)) ELSE 0 END AS BIGINT) AS physical_scorer_forwards,
+CASE WHEN method IN ('orm', 'prm') THEN sum(s) ELSE 0.0 END AS scorer_seconds, CAST(sum(inv) AS BIGINT) AS total_invalid, round(avg(inv / n), 6) AS mean_invalid_rate FROM u GROUP BY method"""
 )
 def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All methods in one grouping by problem, then unpivoted."""
-    pool = candidates(spark, sf_dir)
-    top = lambda s: F.max_by("correct", F.struct(F.col(s), -F.col("sample_id")))
-    per = pool.groupBy("problem_id").agg(F.bool_or("correct").alias("oracle"), top("orm_score").alias("orm"), top("prm_score").alias("prm"))
-    return sel.accuracy(per.unpivot("problem_id", ["oracle", "orm", "prm"], "method", "is_correct"), "method")
+    """All methods in one grouping by problem."""
+    rows = summary.method_rows(candidates(spark, sf_dir), {"orm": "orm_score", "prm": "prm_score"}, 128, 4, "quantity")
+    return summary.method_summary(rows).withColumn("mean_invalid_rate", F.round("mean_invalid_rate", 6))
+
+
+_PARTICLES = f"""{CANDIDATES}, v AS (SELECT problem_id, answer, count(*) AS k, sum(quantity) AS w, min(sample_id) AS first, min(gold) AS gold FROM c GROUP BY 1, 2),
+t AS (SELECT problem_id, sum(k) FILTER (answer IS NOT NULL) AS n, sum(w) FILTER (answer IS NOT NULL) AS ws, sum(k) AS rn, sum(w) AS rw, count(answer) AS unique_answers, coalesce(max_by(answer = gold, (round(w, 9), -first)) FILTER (answer IS NOT NULL), false) AS weighted FROM v GROUP BY 1),
+e AS (SELECT problem_id, coalesce(-sum(k / n * log2(k / n)) FILTER (answer IS NOT NULL), 0) AS e1, coalesce(-sum(w / ws * log2(w / ws)) FILTER (answer IS NOT NULL), 0) AS e2, -sum(k / rn * log2(k / rn)) AS e3, -sum(w / rw * log2(w / rw)) AS e4 FROM v JOIN t USING (problem_id) GROUP BY 1)"""
+
+
+@query(f"WITH {_PARTICLES} SELECT problem_id, round(e1, 6) + 0.0 AS entropy_bits, round(e2, 6) + 0.0 AS weighted_entropy_bits, round(e3, 6) + 0.0 AS raw_entropy_bits, round(e4, 6) + 0.0 AS raw_weighted_entropy_bits FROM e")
+def entropy_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = summary.entropy(candidates(spark, sf_dir), "quantity")
+    return out.select("problem_id", *[(F.round(c, 6) + 0.0).alias(c) for c in out.columns[1:]])
+
+
+_RECORDS = f"""{_PARTICLES}, q AS (SELECT problem_id, max_by(correct, (orm_score, -sample_id)) AS top, bool_or(correct) AS oracle, count(*) AS m, count(*) FILTER (answer IS NULL) AS inv, coalesce(sum(quantity) FILTER (answer IS NULL), 0) / sum(quantity) AS mass,
+sum(quantity) * sum(quantity) / sum(quantity * quantity) AS ess, count(DISTINCT base_seed) AS anc, count(DISTINCT base_seed) FILTER (answer IS NOT NULL) AS lin, sum(quantity) AS s FROM c GROUP BY 1),
+z AS (SELECT * FROM q JOIN t USING (problem_id) JOIN e USING (problem_id))"""
+_TOTALS = "CAST(sum(m) * 128 AS BIGINT) AS total_logical_denoising, CAST(sum(m) * 2 AS BIGINT) AS total_logical_scoring, CAST(sum(m) * 130 AS BIGINT) AS total_logical_total, 128 * count(*) AS total_physical_denoising, 2 * count(*) AS total_physical_scoring"
 
 
 @query(
-    f"""WITH {CANDIDATES}, v AS (SELECT problem_id, answer, count(*) AS k, sum(quantity) AS w FROM c WHERE answer IS NOT NULL GROUP BY problem_id, answer),
-t AS (SELECT problem_id, sum(k) AS n, sum(w) AS ws FROM v GROUP BY problem_id)
-SELECT problem_id, round(-sum(k / n * log2(k / n)), 6) + 0.0 AS entropy_bits, round(-sum(w / ws * log2(w / ws)), 6) + 0.0 AS weighted_entropy_bits FROM v JOIN t USING (problem_id) GROUP BY problem_id"""
+    f"""WITH {_RECORDS} SELECT count(*) AS num_problems, round(avg(CAST(weighted AS INT)), 6) AS weighted_accuracy, round(avg(CAST(top AS INT)), 6) AS top_accuracy, round(avg(CAST(oracle AS INT)), 6) AS oracle_accuracy, round(avg(CAST(inv = m AS INT)), 6) AS fallback_rate,
+round(avg(CAST(ess < 0.5 * m AS INT)), 6) AS trigger_rate, round(avg(unique_answers), 6) AS mean_unique_answers, round(avg(e1), 6) AS mean_entropy_bits, round(avg(e2), 6) AS mean_weighted_entropy_bits, round(avg(e3), 6) AS mean_raw_entropy_bits, round(avg(e4), 6) AS mean_raw_weighted_entropy_bits,
+round(avg(inv), 6) AS mean_num_invalid, round(avg(mass), 6) AS mean_invalid_mass, round(avg(ess), 6) AS mean_ess, round(avg(anc), 6) AS mean_unique_ancestors, round(avg(lin), 6) AS mean_final_lineages, round(avg(s), 6) AS mean_seconds, {_TOTALS} FROM z"""
 )
-def entropy_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.entropy(candidates(spark, sf_dir), "quantity")
+def smc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of weighted particles; a candidate's seed stands for its ancestor."""
+    return summary.particle_summary(summary.particle_records(candidates(spark, sf_dir), "quantity", "orm_score", "base_seed", "quantity", 128))
+
+
+@query(f"WITH {_RECORDS} SELECT count(*) AS num_problems, round(avg(CAST(top AS INT)), 6) AS accuracy, round(avg(CAST(oracle AS INT)), 6) AS oracle_accuracy, round(avg(unique_answers), 6) AS mean_unique_answers, round(avg(inv), 6) AS mean_num_invalid, round(avg(s), 6) AS mean_seconds, {_TOTALS} FROM z")
+def topm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.top_m_summary(summary.particle_records(candidates(spark, sf_dir), "quantity", "orm_score", "base_seed", "quantity", 128))
+
+
+@query(f"WITH {CANDIDATES} SELECT problem_id FROM c GROUP BY problem_id HAVING count(*) >= 3")
+def at_least_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.at_least(candidates(spark, sf_dir), 3)
 
 
 @query(

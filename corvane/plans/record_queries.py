@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +32,10 @@ t AS (SELECT kind, problem_id, answer = gold AS ok FROM v QUALIFY row_number() O
 SELECT kind, (SELECT count(DISTINCT problem_id) FROM c) AS num_problems, count(*) FILTER (ok) AS num_correct FROM t GROUP BY kind"""
 )
 def weighted_vote_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score-weighted majority with raw, sigmoid and exponential weights, each its own operator."""
-    pool = candidates(spark, sf_dir)
-    parts = [select.weighted_vote(pool.withColumn("w", particles.weights_of(F.col("prm_score"), k)), "w").select(F.lit(k).alias("kind"), "is_correct") for k in _W]
-    return select.accuracy(reduce(DataFrame.unionByName, parts), "kind").drop("accuracy")
+    """Score-weighted majority with raw, sigmoid and exponential weights, from one grouping."""
+    per = select.weighted_outcomes(candidates(spark, sf_dir), {k: particles.weights_of(F.col("prm_score"), k) for k in _W})
+    counted = per.agg(F.count(F.lit(1)).alias("num_problems"), *[F.count_if(k).alias(k) for k in _W])
+    return counted.unpivot("num_problems", list(_W), "kind", "num_correct").select("kind", "num_problems", "num_correct")
 
 
 @query(

@@ -52,6 +52,8 @@ def test_equivalence_is_transitive(spark):
     rows = spark.createDataFrame([(1, 0, 1.0), (1, 1, 9.0), (1, 2, 3.0), (1, 3, 5.0), (2, 0, 1.0)], "problem_id bigint, sample_id int, value double")
     got = {(r.problem_id, r.sample_id): r.class_id for r in select.equivalence_classes(rows, 2.0).collect()}
     assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 0, (1, 3): 0, (2, 0): 0}
+    nulls = spark.createDataFrame([(1, 0, None), (1, 1, None), (1, 2, 5.0)], "problem_id bigint, sample_id int, value double")
+    assert {r.sample_id: r.class_id for r in select.equivalence_classes(nulls, 2.0).collect()} == {0: None, 1: None, 2: 2}
 
 
 @pytest.fixture(scope="module")
@@ -82,7 +84,9 @@ def test_weighted_vote_and_fallback(spark):
     p = pool(spark, [(1, 0, "a", "a"), (1, 1, "b", "a"), (1, 2, None, "a"), (2, 0, None, "a")]).withColumn("w", F.lit(1.0))
     got = {r.problem_id: r for r in select.weighted_vote(p, "w").collect()}
     assert got[1].answer == "a" and got[1].is_correct and abs(got[1].share - 1 / 3) < 1e-5 and got[1].valid_share == 0.5
-    assert got[2].answer is None and not got[2].is_correct
+    assert got[2].answer is None and not got[2].is_correct and got[2].fallback_used and got[2].fallback_sample_id == 0 and got[2].share == got[2].invalid_mass == 1.0
+    heavy = pool(spark, [(1, 0, None, "a"), (1, 1, None, "a"), (1, 2, None, "a")]).withColumn("w", F.when(F.col("sample_id") > 0, 0.4).otherwise(0.2))
+    assert select.weighted_vote(heavy, "w").first().fallback_sample_id == 1
 
 
 def test_auc_against_all_pairs(spark):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, python_ready, text_or_empty
+from corvane.llm.common import blocks, buffers, giving_back, python_ready, text_or_empty
 from corvane.llm.pieces import Pieces
 
 #: A cut follows where the hash of the WINDOW bytes before it has MASK's bits clear; LONGEST bytes without one are cut too.
@@ -79,13 +79,18 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.spaced = Pieces(self.tokenizer, " ", KEPT_WORDS)
-        self.kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
-        self.size = 0
         self.new = self.reused = 0
+        self.forget()
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.digits = [str(i) for i in range(n)]
         self.bytes = self._bytes(n)
 
+    def forget(self) -> None:
+        """Drop chunks and words: a task's end, as the worker may serve other stages next."""
+        self.spaced.clear()
+        self.kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
+        self.size = 0
+
     def _bytes(self, n: int) -> list[bytes]:
         """The bytes of each id, by the byte-level alphabet's rule: visible Latin-1 as is, the rest from 256 on."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -240,7 +245,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """This process's codec of a file; it lives as long as the worker, over its tasks."""
+    """This process's codec of a file; it lives as long as the worker, its chunks and words as long as a task."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -251,12 +256,13 @@ def _mapped(docs: DataFrame, key: str, text: str, path: str, cols: str, made) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
-        for block in blocks(batches, "text", 2 << 20):
+        for block in blocks(batches, "text"):
             arrays = made(use, use.block(block.column("text")))
             yield pa.RecordBatch.from_arrays([block.column("key"), *arrays.values()], ["key", *arrays])
+        use.forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, f"key {kind}, {cols}").withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), text_or_empty(text).alias("text")).mapInArrow(giving_back(run), f"key {kind}, {cols}").withColumnRenamed("key", key)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,7 +270,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     Ids are those of the tokenizers library for the whole text. A null or empty text has no ids. Texts
     are cut into chunks by a rolling hash of their own bytes, so that a passage is cut alike wherever it
-    stands; a worker encodes a chunk once and reuses it for every document that it meets (KEPT_BYTES of chunks are kept,
+    stands; a task encodes a chunk once and reuses it for every document that it meets (KEPT_BYTES of chunks are kept,
     the least recently used go). Cuts lie at places that can't change an id; where a long run has none,
     the join is mended by encoding its surroundings anew. No shuffle.
     """

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,25 @@ def without_keys(docs: DataFrame, key: str, gone: DataFrame, name: str, most: in
     return docs.join(side, F.col(key).eqNullSafe(F.col(own)), "left_anti").select(*docs.columns)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function over a task's batches; at its end the worker gives freed memory back to the system.
+
+    Spark uses a worker again for other stages and keeps it beside the executor's JVM meanwhile.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library has no such call
+                pass
+
+    return task
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, lookup, python_ready, written
+from corvane.llm.common import blocks, buffers, giving_back, lookup, python_ready, written
 
 LANGS = ("de", "en", "es", "fr")
 #: Rows of hashed three-byte pieces; pieces of a text that count in full, beyond which evidence grows no more.
@@ -55,7 +55,7 @@ def trained(docs: DataFrame, text: str, lang: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["cell", "n"])
 
     known = docs.where(F.col(lang).isin(*LANGS)).select(F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang"))
-    total = known.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    total = known.mapInArrow(giving_back(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.full(len(LANGS) * ROWS, 0.5)
     table[total["cell"]] += total["n"]
     table = table.reshape(len(LANGS), ROWS)
@@ -81,7 +81,7 @@ def likelihoods(rows: DataFrame, table: np.ndarray, keep: list[str], html: bool)
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], *[pa.array(np.ascontiguousarray(sums[:, k])) for k in range(len(LANGS))]], [*keep, *[f"ll_{x}" for x in LANGS]])
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "text").mapInArrow(run, ", ".join([kept, *[f"ll_{x} double" for x in LANGS]]))
+    return rows.select(*keep, "text").mapInArrow(giving_back(run), ", ".join([kept, *[f"ll_{x} double" for x in LANGS]]))
 
 
 def _best(cols: list[Column]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, dropped, lookup, python_ready, text_or_empty, without_keys, written
+from corvane.llm.common import blocks, buffers, dropped, giving_back, lookup, python_ready, text_or_empty, without_keys, written
 
 #: Words in a shingle; minima of a signature and its bands: a pair at 0.75 shares no band once in 200,000 times.
 K, PERMS, BANDS = 5, 128, 32
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sigs).ravel()))
             yield pa.RecordBatch.from_arrays([block.column("key"), pa.array([len(s) for s in sets], pa.int64()), ids, pa.array([x.tobytes() for x in thin], pa.binary()), bands], ["key", "n_shingles", "set_id", "sketch", "bands"])
 
-    return docs.select(docs[key].cast("bigint").alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, "key bigint, n_shingles bigint, set_id binary, sketch binary, bands array<bigint>")
+    return docs.select(docs[key].cast("bigint").alias("key"), text_or_empty(text).alias("text")).mapInArrow(giving_back(run), "key bigint, n_shingles bigint, set_id binary, sketch binary, bands array<bigint>")
 
 
 def small(rows: DataFrame, name: str) -> DataFrame:
@@ -85,7 +85,7 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in names], pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))], [*names, "values"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
-    return own.mapInArrow(run, f"{kinds}, values array<bigint>")
+    return own.mapInArrow(giving_back(run), f"{kinds}, values array<bigint>")
 
 
 def _alike(both: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, python_ready, text_or_empty
+from corvane.llm.common import blocks, buffers, giving_back, python_ready, text_or_empty
 
 #: Size of a vector, places of an index vector that aren't 0, rows for hashed words, rows for word forms.
 DIM, PLACES, WORDS, FORMS = 32, 4, 1 << 14, 1 << 12
@@ -69,7 +69,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used]), *[pa.array(table[:, d]) for d in range(DIM)]], ["row", "n", *[f"d{d}" for d in range(DIM)]])
 
     cols = ", ".join(["row bigint", "n bigint", *[f"d{d} bigint" for d in range(DIM)]])
-    parts = docs.select(text_or_empty(text).alias("text")).mapInArrow(run, cols)
+    parts = docs.select(text_or_empty(text).alias("text")).mapInArrow(giving_back(run), cols)
     total = parts.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM)]).toPandas()
     vectors, count = np.zeros((ROWS, DIM)), np.zeros(ROWS, np.int64)
     count[total["row"]] = total["n"]
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([block.column("h"), block.column("y"), pa.array([row.tobytes() for row in x], pa.binary())], ["h", "y", "x"])
 
     rows = docs.select(docs[key].alias("labelled"), text_or_empty(text).alias("text")).join(F.broadcast(known), "labelled")
-    got = rows.select("h", "y", "text").mapInArrow(run, "h bigint, y int, x binary").toArrow().combine_chunks()
+    got = rows.select("h", "y", "text").mapInArrow(giving_back(run), "h bigint, y int, x binary").toArrow().combine_chunks()
     shared.destroy()
     h, y = got["h"].to_numpy(), got["y"].to_numpy()
     order = np.lexsort((y, h))
@@ -202,12 +202,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     docs = docs.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
+        for block in blocks(batches, text, 1 << 19):
             score = shared.value.score(shared.value.features(block.column(text)))
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in columns], pa.array(score)], [*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.mapInArrow(giving_back(run), f"{schema}, `{name}` double")
 
 
 def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fresh, lookup, python_ready, text_or_empty, written
+from corvane.llm.common import fresh, giving_back, lookup, python_ready, text_or_empty, written
 
 #: The base kinds in their order, then the kinds that the method adds.
 BASE = ("assign", "access", "hex")
@@ -85,7 +85,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text") ->
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(rows, kind)], [*keep, "found"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_or_empty(text).alias("scanned_text")).mapInArrow(run, f"{schema}, found {_FOUND}")
+    return docs.select(*keep, text_or_empty(text).alias("scanned_text")).mapInArrow(giving_back(run), f"{schema}, found {_FOUND}")
 
 
 def ownership(candidates: DataFrame, owners: int = 3, repositories: int = 5) -> DataFrame:
@@ -171,7 +171,7 @@ def masked(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
             new = pa.array([_masked(t, m) if t is not None and m else t for t, m in rows], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == text else batch.column(c) for c in columns], columns)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(giving_back(run), docs.schema)
 
 
 def _masked(text: str, marks: list[dict]) -> str:

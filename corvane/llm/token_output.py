@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, python_ready, text_or_empty, written
+from corvane.llm.common import blocks, buffers, giving_back, python_ready, text_or_empty, written
 
 #: The id that ends each document.
 END = 2
@@ -283,7 +283,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             yield out()
 
     rows = in_key_order(docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("key"), text_or_empty(text).alias("text")), "key")
-    return written(rows.mapInArrow(run, "place int, part int, n_ids bigint, shard binary"), "shards")
+    return written(rows.mapInArrow(giving_back(run), "place int, part int, n_ids bigint, shard binary"), "shards")
 
 
 def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -302,7 +302,7 @@ def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays([pa.array([place] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(shard.keys.astype(np.int64)), pa.array(begins), pa.array(ends - begins), pa.array(crc, pa.int64())], ["place", "part", "key", "begin", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("place", "part", "shard").mapInArrow(run, "place int, part int, key bigint, begin bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = shards.select("place", "part", "shard").mapInArrow(giving_back(run), "place int, part int, key bigint, begin bigint, n_tokens bigint, ids_crc32 bigint")
     # One small row per shard of millions of ids.
     before = Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("place", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))

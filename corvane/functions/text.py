@@ -115,6 +115,49 @@ def few_shot_prompt(question: Column, shots: list[tuple[str, str]]) -> Column:
     return F.concat_ws("\n\n", *parts, F.concat(F.lit("Question: "), question, F.lit("\nAnswer:")))
 
 
+def boxed_prompt(question: Column) -> Column:
+    """The question and the request to box the answer, without examples."""
+    return F.concat(F.lit("Question: "), question, F.lit("\nPut the final answer in \\boxed{}.\nAnswer:"))
+
+
+#: What a task's name begins with, longest first, and the task that it belongs to.
+TASKS = (("math500", "math"), ("math", "math"), ("gsm8k", "gsm8k"))
+
+
+def base_task(name: Column) -> Column:
+    """The task that a name begins with, in any case; another name stays as it is."""
+    out = name
+    for prefix, task in reversed(TASKS):
+        out = F.when(F.lower(name).startswith(prefix), F.lit(task)).otherwise(out)
+    return out
+
+
+def brief(text: Column, most: int = 100) -> Column:
+    """The first `most` characters."""
+    return F.substring(text, 1, most)
+
+
+def seconds(value: Column) -> Column:
+    """Seconds to a tenth."""
+    return F.round(value, 1)
+
+
+def of_configuration(name: Column, part: str, temperature: float, tolerance: float = 1e-3) -> Column:
+    """Does a result file's name hold `part`, and is its temperature the given one?"""
+    temp = file_config(name)[0]
+    return name.contains(part) & (F.abs(temp - temperature) <= tolerance)
+
+
+def first_metric(metrics: Column, names: list[str]) -> Column:
+    """The value of the first of the names that a map of metrics has."""
+    return F.coalesce(*[F.try_element_at(metrics, F.lit(n)) for n in names])
+
+
+def utc_now() -> Column:
+    """The moment of the query in UTC, ISO 8601 to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def chat_messages(system: str, question: Column) -> Column:
     """JSON of a system and a user message."""
     return F.to_json(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), question.alias("content"))))

@@ -28,6 +28,12 @@ def reverse_generated(prompt: Column, generated: Column) -> Column:
     return F.concat(prompt, F.reverse(generated))
 
 
+def candidate_sequences(pool: DataFrame, prompt: str, tokens: str) -> DataFrame:
+    """problem_id and sequences: prompt and generated ids of each candidate, in the order of sample_id."""
+    one = F.struct("sample_id", F.concat(prompt, tokens).alias("ids"))
+    return pool.groupBy("problem_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["ids"]).alias("sequences"))
+
+
 def mask_right_half(ids: Column, mask: int) -> Column:
     """From place size // 2 on the mask."""
     return F.transform(ids, lambda x, i: F.when(i >= F.floor(F.size(ids) / 2), F.lit(mask)).otherwise(x))

@@ -26,6 +26,19 @@ def aligned(left: DataFrame, right: DataFrame, order: Column | str) -> DataFrame
     return number(left, "a").join(number(right, "b"), ["problem_id", "pos"], "full")
 
 
+def unpaired(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, left, right): how often a key stands on each side, where that differs: paired outcomes need none."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = count(left, "left").join(count(right, "right"), list(keys), "full")
+    return both.select(*keys, F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right")).where(F.col("left") != F.col("right"))
+
+
+def prefix_violations(prefix: DataFrame, run: dict) -> DataFrame:
+    """(problem_id, field): fields of a reused pool that aren't those of the run that extends it; null equals null."""
+    one = [F.when(~F.col(k).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in run.items()]
+    return prefix.select("problem_id", F.explode(F.array_compact(F.array(*one))).alias("field")).distinct()
+
+
 def remaining(assigned: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What an interrupted run has still to do: ids, never counts, decide."""
     return assigned.join(done.select(*keys).distinct(), list(keys), "left_anti")

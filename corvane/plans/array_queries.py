@@ -186,3 +186,11 @@ def denoise_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform("ids", lambda x: F.when(x % 3 == 0, MASK).otherwise(x))
     states = trajectories(spark, sf_dir).select("trajectory_id", ids.alias("x"), F.lit(0).alias("next_step"), F.crc32(F.col("trajectory_id").cast("string")).alias("seed"))
     return denoise.run(states, 16, MASK, denoise.toy_kernel(MASK)).select("trajectory_id", arrays.joined(F.col("x")).alias("ids"))
+
+
+@query(f"WITH {CANDIDATES} SELECT problem_id, string_agg('7,8,' || sample_id || ',' || CAST(quantity AS INT), ';' ORDER BY sample_id) AS sequences FROM c GROUP BY problem_id")
+def candidate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A problem's candidates in order, each the prompt and its own ids."""
+    pool = candidates(spark, sf_dir).withColumns({"prompt": F.array(F.lit(7), F.lit(8)), "ids": F.array(F.col("sample_id").cast("int"), F.col("quantity").cast("int"))})
+    made = arrays.candidate_sequences(pool, "prompt", "ids")
+    return made.select("problem_id", F.array_join(F.transform("sequences", arrays.joined), ";").alias("sequences"))

@@ -125,3 +125,17 @@ def ancestor_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = pool.select("problem_id", F.col("sample_id").alias("ancestor"), F.col("orm_score").alias("ancestor_score"))
     child = pool.select("problem_id", "sample_id", F.floor(F.col("sample_id") / 2).cast("bigint").alias("ancestor"))
     return child.join(parent, ["problem_id", "ancestor"])
+
+
+@query(f"WITH {CANDIDATES} SELECT problem_id, count(*) AS \"left\", count(*) FILTER (quantity < 40) AS \"right\" FROM c GROUP BY problem_id HAVING count(*) <> count(*) FILTER (quantity < 40)")
+def unpaired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of outcomes that should pair, one of which lacks some rows."""
+    pool = candidates(spark, sf_dir)
+    return joins.unpaired(pool, pool.where("quantity < 40"), ["problem_id"])
+
+
+@query(f"WITH {CANDIDATES} SELECT DISTINCT problem_id, 'base_seed' AS field FROM c WHERE base_seed <> 42")
+def prefix_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reused pool's fields against those of the run that extends it."""
+    pool = candidates(spark, sf_dir).withColumns({"task": F.lit("t"), "split": F.lit("test"), "protocol": F.lit("p")})
+    return joins.prefix_violations(pool, {"task": "t", "split": "test", "protocol": "p", "base_seed": 42})

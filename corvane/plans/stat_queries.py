@@ -46,12 +46,13 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {CANDIDATES}, p AS (SELECT problem_id, corr(prm_score, CAST(correct AS INT)) AS r FROM c GROUP BY problem_id HAVING count(*) >= 2 AND min(prm_score) < max(prm_score) AND bool_or(correct) AND NOT bool_and(correct))
-SELECT count(*) AS n, round(avg(r), 6) AS mean FROM p"""
+SELECT count(*) AS n, round(avg(r), 6) AS mean, round(median(r), 6) AS median FROM p"""
 )
 def point_biserial(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.bool_or("correct") & ~F.bool_and("correct") & (F.min("prm_score") < F.max("prm_score"))
     per = candidates(spark, sf_dir).groupBy("problem_id").agg(both.alias("ok"), stats.pearson("prm_score", F.col("correct").cast("int")).alias("r")).where("ok")
-    return per.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean"))
+    out = stats.mean_and_median(per, "r", "problem_id")
+    return out.select("n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
 @query(

@@ -104,11 +104,39 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.few_shot_prompt(F.col("c_name"), [("1 + 1?", "2")]).alias("prompt"))
 
 
-@query(f"WITH {_ROWS} SELECT l_orderkey % 7 AS kind, count(*) AS n, count(CASE WHEN l_orderkey % 7 = 2 THEN 1 END) AS n_boxed FROM a GROUP BY 1")
+@query(f"WITH {_ROWS} SELECT {_KEYS}, CASE WHEN l_orderkey % 7 = 2 THEN regexp_extract(text, 'boxed.([0-9]+)', 1) END AS boxed FROM a")
 def boxed_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    rows = _answers(spark, sf_dir).select("l_orderkey", udf.column(udf.last_boxed, T.StringType(), "text").alias("boxed"))
-    return rows.groupBy((F.col("l_orderkey") % 7).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count("boxed").alias("n_boxed"))
+    return _extracted(spark, sf_dir, udf.column(udf.last_boxed, T.StringType(), "text")).withColumnRenamed("answer", "boxed")
+
+
+@query(f"WITH {_ROWS} SELECT {_KEYS}, CASE WHEN l_orderkey % 7 = 2 THEN regexp_extract(text, 'boxed.([0-9]+)', 1) WHEN l_orderkey % 7 = 1 THEN '$' || split_part(CAST(l_extendedprice AS VARCHAR), '.', 1) WHEN l_orderkey % 7 = 5 THEN '7 or ####' || l_partkey END AS answer FROM a")
+def boxed_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir, text.extract_boxed_flat(F.col("text")))
+
+
+@query("SELECT p_partkey, 'Question: ' || p_name || chr(10) || 'Put the final answer in ' || chr(92) || 'boxed{}.' || chr(10) || 'Answer:' AS prompt, substr(p_name, 1, 9) AS brief, CASE WHEN p_partkey % 3 = 0 THEN 'math' WHEN p_partkey % 3 = 1 THEN 'gsm8k' ELSE p_name END AS task FROM part")
+def prompt_and_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("p_partkey") % 3 == 0, "MATH500_test").when(F.col("p_partkey") % 3 == 1, "gsm8k_x").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.boxed_prompt(F.col("p_name")).alias("prompt"), text.brief(F.col("p_name"), 9).alias("brief"), text.base_task(name).alias("task"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 9 = 4")
+def files_of_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_NAME).alias("name")).where(text.of_configuration(F.col("name"), "_bon_", 0.4)).select("o_orderkey")
+
+
+@query("SELECT l_suppkey % 10 AS run, count(*) AS n, round(avg(CASE WHEN l_linenumber % 2 = 0 THEN l_discount ELSE l_tax END), 9) AS mean FROM lineitem GROUP BY 1")
+def first_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that name their accuracy in one of two ways."""
+    metrics = F.when(F.col("l_linenumber") % 2 == 0, F.create_map(F.lit("exact"), F.col("l_discount"), F.lit("loose"), F.col("l_tax"))).otherwise(F.create_map(F.lit("loose"), F.col("l_tax")))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("run"), text.first_metric(metrics, ["exact", "loose"]).alias("v"))
+    return rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 9).alias("mean"))
+
+
+@query("SELECT c_custkey, substr(replace(c_name, 'r', ' '), 1, 300) AS message FROM customer")
+def safe_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.safe_message(F.regexp_replace("c_name", "r", "\n")).alias("message"))
 
 
 @query("SELECT item_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS key FROM benchmark")

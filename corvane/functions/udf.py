@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: White space and the notation of floats, as Python has them.
+GAP = r"(?U:[\s\x1c-\x1f])"
+PYTHON_FLOAT = r"(?i)^[+-]?(inf(inity)?|nan|([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?)$"
+
 GRADE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("correct", T.BooleanType()), T.StructField("status", T.StringType()), T.StructField("error_type", T.StringType()), T.StructField("error_message", T.StringType())])
 
 
@@ -36,31 +40,6 @@ def normal_text(text: str | None) -> str | None:
     return None if text is None else " ".join(unicodedata.normalize("NFKC", text).split())
 
 
-def math_form(answer: str | None) -> str | None:
-    """Without dollar signs at the ends and text wrappers, white space collapsed; numbers as Python writes floats."""
-    if answer is None:
-        return None
-    s = " ".join(re.sub(r"\\text\{([^}]*)\}", r"\1", answer.strip().strip("$")).split())
-    try:
-        return str(float(s))
-    except ValueError:
-        return s
-
-
-def math_equal(a: str | None, b: str | None) -> bool:
-    """Equal forms, numbers within 1e-6, or equal without backslashes, braces and white space."""
-    x, y = math_form(a), math_form(b)
-    if x is None or y is None:
-        return False
-    try:
-        if abs(float(x) - float(y)) < 1e-6:
-            return True
-    except ValueError:
-        pass
-    bare = lambda s: re.sub(r"[\\{}\s]", "", s)
-    return x == y or bare(x) == bare(y)
-
-
 def fixed6(value: float | None) -> str | None:
     """Six decimals, rounded on the exact binary value, as C's printf does."""
     return None if value is None else f"{value:.6f}"
@@ -78,6 +57,37 @@ def column(f: Callable, kind: T.DataType, *cols: Column | str) -> Column:
     return F.pandas_udf(lambda a, b: run(a, b), kind, F.PandasUDFType.SCALAR)(*cols)
 
 
+def float_text(value: Column) -> Column:
+    """Doubles as Python writes them; null stays."""
+    return F.when(F.isnan(value), "nan").otherwise(column(lambda v: None if v is None else repr(v), T.StringType(), F.when(~F.isnan(value), value)))
+
+
+def math_form(answer: Column) -> Column:
+    """Answers for comparison: no dollar signs at the ends, text wrappers opened, gaps of one space; numbers as `float_text`.
+
+    Only the writing of numbers leaves the JVM.
+    """
+    bare = F.regexp_replace(answer, rf"^{GAP}*\$*|\$*{GAP}*$", "")
+    text = F.regexp_replace(F.regexp_replace(bare, r"\\text\{([^}]*)\}", "$1"), f"{GAP}+", " ")
+    text = F.regexp_replace(text, "^ | $", "")
+    return F.coalesce(float_text(_double(text)), text)
+
+
+def math_equal(a: Column, b: Column) -> Column:
+    """Whether two of `math_form`'s texts mean the same; null means nothing.
+
+    Numbers may differ by less than 1e-6; where one is no number, backslashes, braces and gaps don't count.
+    """
+    gap = F.abs(_double(a) - _double(b))
+    loose = lambda s: F.regexp_replace(s, rf"[\\{{}}]|{GAP}", "")
+    return F.coalesce((a == b) | F.coalesce(gap < 1e-6, loose(a) == loose(b)), F.lit(False))
+
+
+def _double(text: Column) -> Column:
+    """The double of what Python's float takes, else null."""
+    return F.when(text.rlike(PYTHON_FLOAT), F.regexp_replace(text, "_", "").try_cast("double"))
+
+
 def graded(grade: Callable[[str, str], float], limit: float) -> Callable[[str | None, str | None], dict]:
     """A grader's score with its status: ok, timeout (beyond the limit in seconds) or error with type and message."""
 

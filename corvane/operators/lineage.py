@@ -10,6 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.order import numbered
+
 
 def canonical_json(value) -> str:
     """JSON with sorted keys and without spaces: equal values, equal text."""
@@ -31,21 +33,27 @@ def identity(df: DataFrame, varying: Iterable[str]) -> DataFrame:
     return df.withColumn("identity", F.sha2(canonical_struct(df, varying), 256))
 
 
-def problem_split(problem_ids: Iterable[str], seed: int, share: float = 0.1, least: int = 1, most: int | None = None) -> tuple[list[str], list[str]]:
-    """(fitting, validation): sorted ids, shuffled by the Mersenne Twister, the first max(least, int(n share)) to validation.
+def problem_split(problems: DataFrame, key: str, seed: int, share: float = 0.1, least: int = 1, most: int | None = None) -> DataFrame:
+    """key (as text) and `split`, "fit" or "validation": ids in order of text, of which a Mersenne shuffle takes the first.
 
-    The shuffle is sequential by definition, so it runs on the driver: over ids of problems, never over rows.
+    A shuffle moves places alike whatever stands in them. So the driver shuffles as many numbers as there
+    are problems, and ids are ranked where they are: they join the places that the shuffle put first.
+    An id that repeats is an error, as is a share that isn't between 0 and 1.
     """
-    ids = sorted(map(str, problem_ids))
-    if len(ids) != len(set(ids)):
-        raise ValueError("problem ids repeat")
     if not 0 < share < 1:
         raise ValueError("share must lie between 0 and 1")
-    mixed = list(ids)
-    random.Random(seed).shuffle(mixed)
-    n = max(least, int(len(mixed) * share))
-    n = n if most is None else min(n, most)
-    return sorted(mixed[n:]), sorted(mixed[:n])
+    ids = problems.select(F.col(key).cast("string").alias(key))
+    seen = ids.groupBy(key).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"), F.count(F.lit(1)).alias("n")).first()
+    if seen["most"] > 1:
+        raise ValueError("problem ids repeat")
+    places = list(range(seen["n"]))
+    random.Random(seed).shuffle(places)
+    size = max(least, int(seen["n"] * share))
+    held = problems.sparkSession.createDataFrame([(p,) for p in places[: size if most is None else min(size, most)]], "ordinal bigint")
+    # An id's first six bytes as a number: never in another order than the ids themselves.
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode(key, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
+    ranked = numbered(ids.withColumn("_head", head), "_head", key)
+    return ranked.join(held.withColumn("_held", F.lit("validation")), "ordinal", "left").select(key, F.coalesce("_held", F.lit("fit")).alias("split"))
 
 
 def split_by_hash(rows: DataFrame, key: str, parts: int) -> DataFrame:

@@ -185,11 +185,11 @@ def canonical_json_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def problem_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Mersenne shuffle of problem groups: nations here, which are few. Its rows are tested against Python's own."""
-    ids = [str(r[0]) for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
-    fit, validation = lineage.problem_split(ids, 42)
-    rows = [(x, "fit") for x in fit] + [(x, "validation") for x in validation]
-    return table(spark, sf_dir, "customer").join(F.broadcast(spark.createDataFrame(rows, "n_nationkey string, split string")), F.col("c_nationkey").cast("string") == F.col("n_nationkey")).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_nationkey").alias("groups"))
+    """The Mersenne shuffle of all orders as problems, and how much of their candidates is on either side."""
+    split = lineage.problem_split(table(spark, sf_dir, "orders"), "o_orderkey", 42)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    both = split.join(lines, F.col("o_orderkey").cast("bigint") == F.col("l_orderkey"), "left")
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("problems"), F.sum("n").alias("candidates"), F.sum(F.col("o_orderkey").cast("bigint")).alias("id_sum"))
 
 
 @query("SELECT true AS same, count(*) AS n FROM lineitem")

@@ -173,4 +173,4 @@ def score_mapinpandas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms with Python's way of writing floats: tested against it, not by SQL."""
     ship(spark)
-    return _forms(spark, sf_dir, lambda s: udf.column(udf.math_form, T.StringType(), s))
+    return _forms(spark, sf_dir, udf.math_form)

@@ -49,9 +49,16 @@ def test_last_boxed(value, want):
 def test_batch_functions_keep_nulls(spark):
     rows = spark.createDataFrame([("Ａ  B\nC",), (None,)], "s string").select(udf.column(udf.normal_text, T.StringType(), "s").alias("s")).collect()
     assert [r.s for r in rows] == ["A B C", None]
-    pair = spark.createDataFrame([("0.5", "1/2"), (r"\text{ab} c", "ab c"), ("0.5000000001", "0.5"), (None, "1")], "a string, b string").select(udf.column(udf.math_equal, T.BooleanType(), "a", "b").alias("e")).collect()
-    assert [r.e for r in pair] == [False, True, True, False]
-    assert udf.math_form("$1e16$") == "1e+16" and udf.fixed6(0.1234565) == "0.123456"
+    assert udf.fixed6(0.1234565) == "0.123456"
+
+
+def test_math_forms(spark):
+    forms = {" $1e16$ ": "1e+16", r"\text{ab}  c": "ab c", "\u00a0$$ x\ty $\n": "x y", "1_000": "1000.0", "-.5": "-0.5", "1/2": "1/2", "": "", "$": "", "NaN": "nan", "-inf": "-inf", "0.00001": "1e-05", "1__0": "1__0", "5.": "5.0", None: None}
+    got = spark.createDataFrame([(x,) for x in forms], "s string").select("s", udf.math_form(F.col("s")).alias("f")).collect()
+    assert {r.s: r.f for r in got} == forms
+    pairs = {("0.5", "1/2"): False, (r"\text{ab} c", "ab c"): True, ("0.5000000001", "0.5"): True, (None, "1"): False, (None, None): False, ("5", "{5.0}"): True, ("inf", "inf"): True, ("1", "2"): False, (r"\frac{1}{2}", r"\frac 12"): True, ("nan", "NaN"): True}
+    rows = spark.createDataFrame(list(pairs), "a string, b string").select("a", "b", udf.math_form(F.col("a")).alias("x"), udf.math_form(F.col("b")).alias("y"))
+    assert {(r.a, r.b): r.e for r in rows.select("a", "b", udf.math_equal(F.col("x"), F.col("y")).alias("e")).collect()} == pairs
 
 
 def test_grades_have_a_status():
@@ -135,15 +142,21 @@ def test_overlap_and_cover(spark):
     assert sorted((r.violation, r.id) for r in joins.cover_violations(ids, parts, "id").collect()) == [("missing", 3), ("overlap", 1), ("unknown", 9)]
 
 
-def test_lineage():
+def test_lineage(spark):
     import random
 
-    fit, validation = lineage.problem_split(map(str, range(20)), 42)
-    want = sorted(map(str, range(20)))
-    random.Random(42).shuffle(want)
-    assert validation == sorted(want[:2]) and fit == sorted(want[2:])
+    for ids in ([str(i) for i in range(20)], ["same-head-" + str(i) for i in range(30)] + ["", "é", "same-head"], ["one"]):
+        want = sorted(ids)
+        random.Random(42).shuffle(want)
+        n = max(1, int(len(ids) * 0.1))
+        rows = spark.createDataFrame([(i,) for i in ids], "id string")
+        got = lineage.problem_split(rows, "id", 42).collect()
+        assert sorted(r.id for r in got if r.split == "validation") == sorted(want[:n]) and sorted(r.id for r in got if r.split == "fit") == sorted(want[n:])
+    with pytest.raises(ValueError):
+        lineage.problem_split(rows.union(rows), "id", 1)
     with pytest.raises(ValueError):
-        lineage.problem_split(["a", "a"], 1)
+        lineage.problem_split(rows, "id", 1, share=1.0)
+    assert lineage.problem_split(rows.where("false"), "id", 1).collect() == []
     assert lineage.canonical_json({"b": 1, "a": [None, "é"]}) == '{"a":[null,"é"],"b":1}'
     assert math.isclose(len(lineage.sha256_text("x")), 64)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -261,3 +262,17 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """docs with one row of each component: that of the smallest key. Rows that repeat it stay, as do rows with a null key."""
     gone = near_duplicates(docs, key, text).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("gone"))
     return without_keys(docs, key, gone, "gone")
+
+
+def oracle() -> str:
+    """DuckDB SQL of `near_duplicates` over documents: pairs by their common shingles, and all that a row reaches."""
+    return rf"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT a, b FROM p JOIN n AS u ON u.doc_id = a JOIN n AS v ON v.doc_id = b WHERE 100 * c >= 75 * (u.n + v.n - c)),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.to_id),
+    k AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""

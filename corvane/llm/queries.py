@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle(), "op8_decontaminate": decontaminate.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "op8_decontaminate": decontaminate.oracle(), "op9_minhash_dedup": neardup.oracle()}

@@ -121,6 +121,20 @@ def whole_pool(problems: DataFrame, pool: DataFrame, base_seed: int, n: int, for
     return out.unionByName(count.select(_found(("problems", F.lit("all"), F.lit(formal), F.col("d"), F.col("d") != formal))))
 
 
+def source_identity(rows: DataFrame, source: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """Each row is of a source example, and says of it what the example says: `fields` maps rows' columns to the source's.
+
+    The source has a row per key; a null on one side only differs. Violations are keyed by the row's key.
+    """
+    theirs = source.select(F.col(key).alias("_key"), *[F.col(b).alias(f"_{k}") for k, b in enumerate(fields.values())], F.lit(True).alias("_there"))
+    both = rows.select(F.col(key).alias("_own"), *[F.col(a).alias(f"_has_{k}") for k, a in enumerate(fields)]).join(theirs, F.col("_own") == F.col("_key"), "left")
+    there = F.coalesce("_there", F.lit(False))
+    checks = [("source", F.col("_own"), F.lit("known"), F.lit("unknown"), ~there)]
+    for k, name in enumerate(fields):
+        checks.append((name, F.col("_own"), F.col(f"_{k}"), F.col(f"_has_{k}"), there & ~F.col(f"_{k}").eqNullSafe(F.col(f"_has_{k}"))))
+    return both.select(_found(*checks))
+
+
 def score_vector(pool: DataFrame, scores: DataFrame, calls: str | None = None) -> DataFrame:
     """Every candidate has one finite score, and every score a candidate; `calls`: a column that must be 1 in each score."""
     keys = list(_ONE)

@@ -24,11 +24,18 @@ def probability(logit: Column) -> Column:
 
 
 def tempering(rows: DataFrame, h: str, target: float) -> DataFrame:
-    """problem_id, beta, ess: the largest beta of the grid whose weights h^beta keep an effective size of the target."""
-    grid = rows.select(P, h, F.explode(F.array(*map(F.lit, GRID))).alias("beta"))
-    w = F.pow(F.col(h), F.col("beta"))
-    sizes = grid.groupBy(P, "beta").agg((F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"))
-    return sizes.where(F.col("ess") + 1e-12 >= target).groupBy(P).agg(F.max("beta").alias("beta"), F.max_by("ess", "beta").alias("ess"))
+    """problem_id, beta, ess: the largest beta of the grid whose weights h^beta keep an effective size of the target.
+
+    The whole grid is one aggregate by problem: no row per particle and beta.
+    """
+
+    def size(beta: float) -> Column:
+        w = F.pow(F.col(h), F.lit(beta))
+        return F.struct(F.lit(beta).alias("beta"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"))
+
+    sizes = rows.groupBy(P).agg(F.array(*map(size, GRID)).alias("sizes"))
+    best = F.try_element_at(F.filter("sizes", lambda s: s["ess"] + 1e-12 >= target), F.lit(-1))
+    return sizes.select(P, best.alias("b")).where("b IS NOT NULL").select(P, "b.beta", "b.ess")
 
 
 def systematic_resample(rows: DataFrame, weight: str, offset: Column) -> DataFrame:
@@ -80,6 +87,22 @@ def expanded(kept: DataFrame, k: int, m: int) -> DataFrame:
     return kept.select(P, F.explode(F.sequence(first, first + (k // m - 1))).alias("child"), F.col("sample_id").alias("parent"))
 
 
+def guided_top_m(rows: DataFrame, h1: str, h2: str, m: int) -> DataFrame:
+    """Both stages of top-M guidance over score tables: problem_id, sample_id, parent, score, retained, selected.
+
+    Particles are numbered 0 to k - 1. The m best by h1 (all of fewer) share the k places of the second stage,
+    in order and evenly where m divides k. There h2 scores the particle in each place: the m best are
+    retained, the best is selected; ties always go to the lowest id. One shuffle by problem; what a problem
+    gathers are its m best. Run `non_finite` on both scores first.
+    """
+    own = Window.partitionBy(P)
+    place = lambda by: F.row_number().over(own.orderBy(F.col(by).desc(), "sample_id")) - 1
+    staged = rows.select(P, "sample_id", F.col(h2).alias("score"), place(h1).alias("first"), place(h2).alias("last"), F.count(F.lit(1)).over(own).alias("k"))
+    kept = F.sort_array(F.collect_list(F.when(F.col("first") < m, F.struct("first", "sample_id"))).over(own))
+    at = F.floor(F.col("sample_id") * F.size("kept") / F.col("k")).cast("int")
+    return staged.withColumn("kept", kept).select(P, "sample_id", F.get("kept", at)["sample_id"].alias("parent"), "score", (F.col("last") < m).alias("retained"), (F.col("last") == 0).alias("selected"))
+
+
 def branch_best(rows: DataFrame, group: str, step: str, every: int, score: str, tie: str) -> DataFrame:
     """group, segment, best step and score: of each full segment of `every` steps; what is left over stays unbranched."""
     full = F.floor(F.count(F.lit(1)).over(Window.partitionBy(group)) / every)

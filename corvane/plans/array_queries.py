@@ -149,6 +149,14 @@ def topm_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particles.expanded(particles.top_m(candidates(spark, sf_dir), "prm_score", 2), 8, 2)
 
 
+@query(
+    f"""WITH {CANDIDATES}, r AS (SELECT problem_id, sample_id, orm_score AS score, row_number() OVER (PARTITION BY problem_id ORDER BY prm_score DESC, sample_id) - 1 AS first, row_number() OVER (PARTITION BY problem_id ORDER BY orm_score DESC, sample_id) - 1 AS last, count(*) OVER (PARTITION BY problem_id) AS k FROM c)
+SELECT a.problem_id, a.sample_id, b.sample_id AS parent, a.score, a.last < 2 AS retained, a.last = 0 AS selected FROM r a JOIN r b ON a.problem_id = b.problem_id AND b.first = a.sample_id * least(2, a.k) // a.k"""
+)
+def topm_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return particles.guided_top_m(candidates(spark, sf_dir), "prm_score", "orm_score", 2)
+
+
 @query(f"WITH {SNAPSHOTS}, g AS (SELECT trajectory_id, step // 16 AS segment, step, score FROM s WHERE step // 16 < n // 16) SELECT trajectory_id, segment, step, score FROM g QUALIFY row_number() OVER (PARTITION BY trajectory_id, segment ORDER BY score DESC, step) = 1")
 def branch_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particles.branch_best(snapshots(spark, sf_dir), "trajectory_id", "step", 16, "score", "step")

@@ -172,6 +172,24 @@ def dq_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.contiguous_shards(rows.withColumns({"n": F.lit(25), "complete": F.col("shard") != 3}), "shard", "n", "complete")
 
 
+@query(
+    """WITH r AS (SELECT CASE WHEN c_custkey % 50 = 6 THEN -c_custkey - 1 ELSE c_custkey END AS id, c_nationkey AS place, sha256(c_name) AS sha, c_mktsegment AS gold, c_custkey % 50 AS f FROM customer)
+SELECT 'source' AS "check", CAST(id AS VARCHAR) AS key, 'known' AS expected, 'unknown' AS actual FROM r WHERE f = 6 UNION ALL SELECT 'problem_ordinal', CAST(id AS VARCHAR), CAST(place AS VARCHAR), CAST(place + 1 AS VARCHAR) FROM r WHERE f = 3
+UNION ALL SELECT 'problem_sha256', CAST(id AS VARCHAR), sha, sha256('') FROM r WHERE f = 4 UNION ALL SELECT 'answer_target', CAST(id AS VARCHAR), gold, NULL FROM r WHERE f IN (4, 5)"""
+)
+def dq_source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as examples, and rows of them with a fault of each kind."""
+    source = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("problem_id"), F.col("c_nationkey").alias("ordinal"), F.sha2("c_name", 256).alias("sha"), F.col("c_mktsegment").alias("gold_answer"))
+    fault, sound = F.col("problem_id") % 50, lambda *f: ~(F.col("problem_id") % 50).isin(*f)
+    rows = source.select(
+        F.when(fault == 6, -F.col("problem_id") - 1).otherwise(F.col("problem_id")).alias("problem_id"),
+        (F.col("ordinal") + (fault == 3).cast("int")).alias("problem_ordinal"),
+        F.when(sound(4), F.col("sha")).otherwise(F.sha2(F.lit(""), 256)).alias("problem_sha256"),
+        F.when(sound(4, 5), F.col("gold_answer")).alias("answer_target"),
+    )
+    return gates.source_identity(rows, source, "problem_id", {"problem_ordinal": "ordinal", "problem_sha256": "sha", "answer_target": "gold_answer"})
+
+
 @query("SELECT n_regionkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') AS identity, count(*) AS n FROM nation GROUP BY 1, 2")
 def manifest_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.identity(table(spark, sf_dir, "nation"), ["n_nationkey"]).groupBy("n_regionkey", "identity").agg(F.count(F.lit(1)).alias("n"))

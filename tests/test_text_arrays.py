@@ -182,6 +182,27 @@ def test_denoising_resumes_and_ignores_order(spark):
     assert other != whole
 
 
+def test_denoising_by_a_model():
+    import numpy as np
+
+    scores = np.log(np.array([[0.5, 0.3, 0.2], [0.1, 0.8, 0.1], [0.4, 0.35, 0.25]]))
+    got = {kind: denoise.model_kernel(lambda ids, at: scores, kind)(np.zeros(3), 0, 1) for kind in denoise.CONFIDENCE}
+    assert all(taken.tolist() == [0, 1, 0] for taken, _ in got.values())
+    assert got["probability"][1] == pytest.approx([0.5, 0.8, 0.4]) and got["margin"][1] == pytest.approx([0.2, 0.7, 0.05])
+    assert got["entropy"][1] == pytest.approx((np.exp(scores) * scores).sum(axis=1))
+    assert np.isinf(denoise.nucleus(scores, 0.6)).tolist() == [[False, False, True], [True, False, True], [False, False, True]]
+    assert np.isinf(denoise.nucleus(scores, 1.0, 1)).sum() == 6
+    draw = denoise.model_kernel(lambda ids, at: np.repeat(scores[:1], 20000, axis=0), temperature=1.0)
+    taken, _ = draw(np.zeros(20000), 3, 7)
+    assert np.bincount(taken) / 20000 == pytest.approx([0.5, 0.3, 0.2], abs=0.02) and (draw(np.zeros(20000), 3, 7)[0] == taken).all()
+    with pytest.raises(FloatingPointError):
+        denoise.model_kernel(lambda ids, at: np.full((1, 3), np.nan))(np.zeros(1), 0, 1)
+    # With heat each step's places are drawn: the surest place first in proportion to exp(confidence / heat).
+    sure = lambda ids, at, seed: (np.zeros(4, np.int64), np.array([np.log(4.0), 0.0, 0.0, 0.0]))
+    steps = [denoise.step(np.full(4, 9), 0, 2, 9, seed, sure, heat=1.0) for seed in range(3000)]
+    assert {int((x == 0).sum()) for x in steps} == {1} and np.mean([x[0] == 0 for x in steps]) == pytest.approx(4 / 7, abs=0.04)
+
+
 def test_sequential_bootstrap_and_p_values():
     import random
 

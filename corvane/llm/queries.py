@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, and SQL where it can express them."""
+"""The operators as queries over the driver's tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, language_id, license_scan, media, neardup, quality, quote_linking, secret_scan, token_output
+from corvane.llm import bpe, clustering, decontaminate, language_id, license_scan, media, neardup, quality, quote_linking, rank_bpe, secret_scan, token_output, whitening
 from corvane.session import table
 
 
@@ -18,6 +18,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """The pattern that goes with the public rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
@@ -60,6 +67,19 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_shards(token_output.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 _ALL = (
     op1_language_id,
     op2_license_scan,
@@ -71,6 +91,9 @@ _ALL = (
     op8_decontaminate,
     op9_minhash_dedup,
     op10_token_output,
+    op11_rank_bpe,
+    op12_centroid_clustering,
+    op13_embedding_whitening,
 )
 
 
@@ -79,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle(), "op8_decontaminate": decontaminate.oracle(), "op9_minhash_dedup": neardup.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "op8_decontaminate": decontaminate.oracle(), "op9_minhash_dedup": neardup.oracle(), "op12_centroid_clustering": clustering.oracle()}

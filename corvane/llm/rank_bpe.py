@@ -10,7 +10,6 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,83 +127,84 @@ def _chunked(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """row, key, k, start, last, body of every chunk of `chunk` characters and the `overlap` behind it. row: a number per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), _texts(batch.column("text")), strict=True):
-                row += 1
+            for row, key, text in zip(batch.column("row").to_pylist(), batch.column("key").to_pylist(), _texts(batch.column("text")), strict=True):
                 for k, start in enumerate(range(0, max(1, len(text)), chunk)):
                     made = [[row], [key], [k], [start], [start + chunk >= len(text)], [text[start : start + chunk + overlap]]]
                     kinds = [pa.int64(), batch.column("key").type, pa.int32(), pa.int64(), pa.bool_(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, kinds, strict=True)], ["row", "key", "k", "start", "last", "body"])
 
     kind = texts.schema["key"].dataType.simpleString()
-    return texts.mapInArrow(giving_back(run), f"row bigint, key {kind}, k int, start bigint, last boolean, body string")
+    return texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(giving_back(run), f"row bigint, key {kind}, k int, start bigint, last boolean, body string")
+
+
+_GROUP = "row bigint, lead int, next int, start bigint, last boolean, body string"
+_SPLIT = "lengths binary, head array<bigint>, tail array<bigint>"
 
 
 def _bounded(chunks: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """ends: where each pre-token of a body ends, in characters of the whole text; head and tail: those in the overlaps.
+    """lengths: of each pre-token of a body, in characters, packed; head and tail: where pre-tokens end in the overlaps, in the whole text.
 
-    chunks: row, lead, next, start, last, body, where a body reaches `overlap` characters into the chunk `next`. The tail leaves
-    out what may still depend on characters behind the body.
+    chunks: key, row, lead, next, start, last, body, where a body reaches `overlap` characters into the chunk `next`. The tail
+    leaves out what may still depend on characters behind the body.
     """
-    kept = [c for c in chunks.columns if c != "body"]
+    kept = ["key", *[c.split()[0] for c in _GROUP.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = ranks(path, pattern)
         for batch in batches:
-            starts, nexts = batch.column("start").to_numpy(), batch.column("next").to_numpy()
-            ends, heads, tails = [], [], []
-            for start, following, body in zip(starts.tolist(), nexts.tolist(), _texts(batch.column("body")), strict=True):
-                at = np.cumsum([len(p) for p in use.classes.pieces(body)], dtype=np.int64) + start
+            lengths, heads, tails = [], [], []
+            for start, following, body in zip(batch.column("start").to_pylist(), batch.column("next").to_pylist(), _texts(batch.column("body")), strict=True):
+                size = np.fromiter(map(len, use.classes.pieces(body)), "<u4")
+                at = np.cumsum(size, dtype=np.int64) + start
                 border = following * chunk
-                ends.append(at)
+                lengths.append(size.tobytes())
                 heads.append(np.concatenate([[start], at[at <= start + overlap]]))
                 tails.append(at[(at >= border) & (at <= min(border + overlap, start + len(body) - BLIND))])
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (ends, heads, tails)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], batch.column("body"), *lists], [*kept, "body", "ends", "head", "tail"])
+            made = [pa.array(lengths, pa.binary()), *[pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "lengths", "head", "tail"])
 
-    schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in kept)
-    return chunks.mapInArrow(giving_back(run), f"{schema}, body string, ends array<bigint>, head array<bigint>, tail array<bigint>")
+    return chunks.select(kept).mapInArrow(giving_back(run), f"key {chunks.schema['key'].dataType.simpleString()}, {_GROUP}, {_SPLIT}")
 
 
 def stitched(chunks: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """row, lead, body, start, ends, since, until: groups of chunks whose pre-tokens in (since, until] are those of the whole text.
+    """key, row, lead, body, start, lengths, since, until: groups of chunks whose pre-tokens in (since, until] are those of the whole text.
 
     Every chunk is split on its own. Where a chunk and the next one have a boundary in common within their overlap,
     the text is split alike from there on, as a match depends on nothing before it: the first such place is where one
     hands over to the other. Chunks that have none (a pre-token longer than the overlap) are joined to the
     ones before them and split again, until every join agrees; a text's start needs no agreement. Only
-    joined groups are split again, and their size is that of the long pre-tokens in them.
+    joined groups are split again, and their size is that of the long pre-tokens in them. Boundaries meet in a join without
+    the texts; the texts follow once all joins agree.
     """
-    spark = chunks.sparkSession
-    groups = written(_bounded(chunks.select("row", F.col("k").alias("lead"), (F.col("k") + 1).alias("next"), "start", "last", "body"), path, pattern, chunk, overlap), "pretokens")
+    groups = written(_bounded(chunks, path, pattern, chunk, overlap), "pretokens")
     while True:
-        left = groups.where(~F.col("last")).select("row", F.col("next").alias("lead"), F.col("tail").alias("sure"))
-        met = groups.drop("tail", "since").join(left, ["row", "lead"], "left").withColumn("since", F.when(F.col("lead") == 0, F.lit(0).cast("bigint")).otherwise(F.array_min(F.array_intersect("head", "sure"))))
+        sure = groups.where(~F.col("last")).select("row", F.col("next").alias("lead"), F.col("tail").alias("sure"))
+        meet = F.when(F.col("lead") == 0, F.lit(0).cast("bigint")).otherwise(F.array_min(F.array_intersect("head", "sure")))
+        met = written(groups.select("row", "lead", "next", "head").join(sure, ["row", "lead"], "left").select("row", "lead", "next", meet.alias("since")), "joins")
         if met.where(F.col("since").isNull()).isEmpty():
             break
-        # Small rows: a number per group of a text.
-        by = Window.partitionBy("row").orderBy("lead")
-        marks = met.select("row", "lead", "since").withColumn("to", F.last(F.when(F.col("since").isNotNull(), F.col("lead")), ignorenulls=True).over(by))
-        crowd = marks.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("row", "to")))
-        mine = groups.join(crowd.select("row", "lead", "to", "members"), ["row", "lead"])
+        # Small rows: a few numbers per group of a text.
+        before = Window.partitionBy("row").orderBy("lead")
+        marks = met.withColumn("to", F.last(F.when(F.col("since").isNotNull(), F.col("lead")), ignorenulls=True).over(before))
+        crowd = marks.select("row", "lead", "to", F.count(F.lit(1)).over(Window.partitionBy("row", "to")).alias("members"))
+        mine = groups.join(crowd, ["row", "lead"])
         alone = mine.where("members = 1").select(groups.columns)
-        part = F.struct("lead", "next", "start", "last", "body")
-        merged = mine.where("members > 1").groupBy("row", F.col("to").alias("lead")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        part = F.struct("lead", "next", "start", "last", "body", "key")
+        merged = mine.where("members > 1").groupBy("row", F.col("to").alias("lead")).agg(F.array_sort(F.collect_list(part)).alias("parts")).withColumn("end", F.element_at("parts", -1))
         # A body without its overlap, and the last one whole.
-        own = lambda p: F.when(p["next"] == F.element_at("parts", -1)["next"], p["body"]).otherwise(F.substring(p["body"], F.lit(1), ((p["next"] - p["lead"]) * chunk).cast("int")))
-        whole = merged.select("row", "lead", F.element_at("parts", -1)["next"].alias("next"), F.col("parts")[0]["start"].alias("start"), F.element_at("parts", -1)["last"].alias("last"), F.array_join(F.transform("parts", own), "").alias("body"))
+        own = lambda p: F.when(p["next"] == F.col("end.next"), p["body"]).otherwise(F.substring(p["body"], F.lit(1), ((p["next"] - p["lead"]) * chunk).cast("int")))
+        whole = merged.select("end.key", "row", "lead", "end.next", F.col("parts")[0]["start"].alias("start"), "end.last", F.array_join(F.transform("parts", own), "").alias("body"))
         groups = written(alone.unionByName(_bounded(whole, path, pattern, chunk, overlap)), "pretokens")
     following = met.select("row", F.col("since").alias("until"), F.col("lead").alias("next"))
-    out = met.select("row", "lead", "next", "start", "body", "ends", "since").join(following, ["row", "next"], "left")
-    return out.withColumn("until", F.coalesce("until", F.element_at("ends", -1), F.lit(0).cast("bigint"))).select("row", "lead", "body", "start", "ends", "since", "until")
+    spans = met.join(following, ["row", "next"], "left").select("row", "lead", "since", "until")
+    return groups.select("key", "row", "lead", "body", "start", "lengths").join(spans, ["row", "lead"])
 
 
-def _pieces(body: str, start: int, ends: np.ndarray, since: int, until: int) -> list[str]:
-    at = ends[(ends >= since) & (ends <= until)] - start
-    if not len(at) or at[0] != since - start:
-        at = np.concatenate([[since - start], at])
-    at = at.tolist()
+def _pieces(body: str, start: int, lengths: bytes, since: int, until: int | None) -> list[str]:
+    """The pre-tokens of a body between two places of the text that are boundaries in it; without `until`, to its end."""
+    at = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64)])
+    at = at[(at >= since - start) & (at <= (len(body) if until is None else until - start))].tolist()
     return [body[a:b] for a, b in zip(at, at[1:])]
 
 
@@ -212,20 +212,22 @@ def _encoded(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = ranks(path, pattern)
         for batch in batches:
-            rows = zip(_texts(batch.column("body")), *(batch.column(c).to_pylist() for c in ("start", "ends", "since", "until")), strict=True)
-            ids = [use.ids(_pieces(body, start, np.array(ends, np.int64), since, until)) for body, start, ends, since, until in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("lead"), pa.array(ids, pa.list_(pa.int32()))], ["row", "lead", "ids"])
+            rows = zip(_texts(batch.column("body")), *(batch.column(c).to_pylist() for c in ("start", "lengths", "since", "until")), strict=True)
+            ids = [use.ids(_pieces(*r)) for r in rows]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "lead", "key")], pa.array(ids, pa.list_(pa.int32()))], ["row", "lead", "key", "ids"])
         use.forget()
 
-    return pieces.mapInArrow(giving_back(run), "row bigint, lead int, ids array<int>")
+    return pieces.mapInArrow(giving_back(run), f"row bigint, lead int, key {pieces.schema['key'].dataType.simpleString()}, ids array<int>")
 
 
-def _long(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """Ids of every group of chunks (row, lead, ids), and row and key of every text."""
-    chunks = written(_chunked(texts, chunk, overlap), "chunks")
+def _long(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """row, lead, key, ids of every group of chunks."""
+    if not 0 < overlap < chunk:
+        raise ValueError("an overlap is shorter than a chunk")
     # Chunks of one long text go to all tasks.
-    done = stitched(chunks.repartition("row", "k"), path, pattern, chunk, overlap)
-    return _encoded(done, path, pattern), chunks.where("k = 0").select("row", "key")
+    chunks = _chunked(texts, chunk, overlap).repartition("row", "k")
+    named = chunks.select("key", "row", F.col("k").alias("lead"), (F.col("k") + 1).alias("next"), "start", "last", "body")
+    return _encoded(stitched(named, path, pattern, chunk, overlap), path, pattern)
 
 
 def _parted(docs: DataFrame, key: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -261,9 +263,8 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def made(use: Ranks, ids: list[list[int]]) -> dict[str, pa.Array]:
         return {"token_ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([use.decode(x) for x in ids], pa.binary())}
 
-    parts, keys = _long(long, path, pattern, chunk, overlap)
-    joined = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lead", "ids"))).alias("parts"))
-    ids = keys.join(joined, "row").select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
+    joined = _long(long, path, pattern, chunk, overlap).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lead", "ids", "key"))).alias("parts"))
+    ids = joined.select(F.col("parts")[0]["key"].alias("key"), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = ranks(path, pattern)
@@ -290,25 +291,27 @@ def encode_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     def made(use: Ranks, ids: list[list[int]]) -> dict[str, pa.Array]:
         return columns([(len(x), hashlib.sha256(use.said(x).encode()).hexdigest(), hashlib.sha256(use.decode(x)).hexdigest()) for x in ids])
 
-    parts, keys = _long(long, path, pattern, chunk, overlap)
-
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, row, n, said, texts = ranks(path, pattern), None, 0, None, None
-        done: list[tuple[int, int, str, str]] = []
+        use, row, own, n, said, texts = ranks(path, pattern), None, None, 0, None, None
+
+        def ended(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], kind), *columns([x[1:] for x in done]).values()], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
         for batch in batches:
-            for r, ids in zip(batch.column("row").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            kind, done = batch.column("key").type, []
+            for r, key_, ids in zip(*(batch.column(c).to_pylist() for c in ("row", "key", "ids")), strict=True):
                 if r != row:
                     if row is not None:
-                        done.append((row, n, said.hexdigest(), texts.hexdigest()))
-                    row, n, said, texts = r, 0, hashlib.sha256(), hashlib.sha256()
+                        done.append((own, n, said.hexdigest(), texts.hexdigest()))
+                    row, own, n, said, texts = r, key_, 0, hashlib.sha256(), hashlib.sha256()
                 if ids:
                     said.update(((" " if n else "") + use.said(ids)).encode())
                     texts.update(use.decode(ids))
                     n += len(ids)
+            yield ended(done)
         if row is not None:
-            done.append((row, n, said.hexdigest(), texts.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), *columns([x[1:] for x in done]).values()], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield ended([(own, n, said.hexdigest(), texts.hexdigest())])
 
-    ordered = parts.repartition("row").sortWithinPartitions("row", "lead")
-    rest = ordered.mapInArrow(giving_back(hashed), f"row bigint, {cols}").join(keys, "row").select("key", "n_tokens", "ids_sha256", "decoded_sha256")
+    ordered = _long(long, path, pattern, chunk, overlap).repartition("row").sortWithinPartitions("row", "lead")
+    rest = ordered.mapInArrow(giving_back(hashed), f"key {long.schema['key'].dataType.simpleString()}, {cols}")
     return _whole(short, path, pattern, cols, made).unionByName(rest).withColumnRenamed("key", key)

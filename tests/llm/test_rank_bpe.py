@@ -69,7 +69,7 @@ def test_small_chunks_agree(spark, library):
     texts = ["".join(r.choice(ALPHABET) for _ in range(r.randrange(0, 400))) for _ in range(150)]
     # Pre-tokens far longer than the overlap: letters, white space, digits, and several after one another.
     texts += ["x" * 500, " " * 300 + "word" + "\n" * 90, "ab " * 30 + "q" * 200 + " " * 50 + "9" * 170 + " tail's end" * 9, "é" * 130 + "'re" * 40, "", "a", "word " * 200]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(40)  # more than `written` leaves
     for chunk, overlap in ((40, 12), (64, 9)):
         got = {x.doc_id: x for x in rank_bpe.encode(docs, *files(), chunk=chunk, overlap=overlap).collect()}
         short = {x.doc_id: x for x in rank_bpe.encode_digest(docs, *files(), chunk=chunk, overlap=overlap).collect()}

@@ -70,8 +70,9 @@ _FOUND = "array<struct<start:int,end:int,kind:string,hash:string>>"
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns `keep` and `found`: every candidate's span, kind and the secret's SHA-256, never itself.
+    """The columns `keep`, row, text_id and found: every candidate's span, kind and the secret's SHA-256, never itself.
 
+    row is a number of the row's own, whatever its key; text_id is the text's SHA-256, null without candidates.
     A null or empty text has none. No shuffle.
     """
     python_ready(docs.sparkSession)
@@ -81,11 +82,13 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("hash", pa.string())]))
         for batch in batches:
-            rows = [[{"start": a, "end": b, "kind": names[k], "hash": hashlib.sha256(s.encode()).hexdigest()} for a, b, k, s in found(t)] for t in batch.column("scanned_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(rows, kind)], [*keep, "found"])
+            texts = batch.column("scanned_text").to_pylist()
+            rows = [[{"start": a, "end": b, "kind": names[k], "hash": hashlib.sha256(s.encode()).hexdigest()} for a, b, k, s in found(t)] for t in texts]
+            own = pa.array([hashlib.sha256(t.encode()).hexdigest() if r else None for t, r in zip(texts, rows, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], batch.column("row"), own, pa.array(rows, kind)], [*keep, "row", "text_id", "found"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_or_empty(text).alias("scanned_text")).mapInArrow(giving_back(run), f"{schema}, found {_FOUND}")
+    return docs.select(*keep, F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("scanned_text")).mapInArrow(giving_back(run), f"{schema}, row bigint, text_id string, found {_FOUND}")
 
 
 def ownership(candidates: DataFrame, owners: int = 3, repositories: int = 5) -> DataFrame:
@@ -105,27 +108,27 @@ def ownership(candidates: DataFrame, owners: int = 3, repositories: int = 5) ->
 
 
 def judged(docs: DataFrame, owner: Column, repository: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The scan of every document, and its candidates with their hash's ownership: key, start, end, kind, hash, copied."""
-    marked = docs.select(key, "text", owner.alias("secret_owner"), repository.alias("secret_repo"))
-    scanned = written(scan(marked, [key, "secret_owner", "secret_repo"]), "secrets")
-    flat = scanned.where(F.size("found") > 0).select(key, F.col("secret_owner").alias("owner"), F.col("secret_repo").alias("repository"), F.inline("found"))
+    """The scan of every document (key, row, text_id, found), and its candidates with their hash's ownership: row, start, end, kind, hash, copied."""
+    marked = docs.select(F.col(key).alias("key"), "text", owner.alias("secret_owner"), repository.alias("secret_repo"))
+    scanned = written(scan(marked, ["key", "secret_owner", "secret_repo"]), "secrets")
+    flat = scanned.where(F.size("found") > 0).select("row", F.col("secret_owner").alias("owner"), F.col("secret_repo").alias("repository"), F.inline("found"))
     known = written(ownership(flat), "owners").select("hash", "n_owners", "n_repositories", "copied", "n_rows")
-    return scanned, lookup(flat.select(key, "start", "end", "kind", "hash"), known, "hash", "n_rows")
+    return scanned, lookup(flat.select("row", "start", "end", "kind", "hash"), known, "hash", "n_rows")
 
 
 def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, key: str = "doc_id") -> DataFrame:
-    """One row per document: key, found (all spans, with `copied`: a widely copied example), and counts.
+    """One row per document: key, text_id (the text's SHA-256, null without spans) and spans, each with `copied`: a widely copied example.
 
     owner: by default the source; repository: the source and the language. Other columns may have any
-    names. Documents without a candidate, with a null or empty text, or without a key have an empty list.
-    Every row comes back; rows that repeat a key share their spans, each counted once.
+    names. Every row comes back with the spans of its own text, whether its key is null or repeated; documents
+    without a candidate, or with a null or empty text, have an empty list.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
     scanned, spans = judged(docs, owner, repository, key)
-    per = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", _order(F.col("kind")).alias("place"), "end", "kind", "hash", "copied"))).alias("spans"))
+    per = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", _order(F.col("kind")).alias("place"), "end", "kind", "hash", "copied"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,place:int,end:int,kind:string,hash:string,copied:boolean>>")
-    return scanned.select(key).join(per, key, "left").select(key, F.coalesce("spans", empty).alias("spans"))
+    return scanned.select("key", "row", "text_id").join(per, "row", "left").select(F.col("key").alias(key), "text_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def _order(kind: Column) -> Column:
@@ -150,20 +153,23 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def masked(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def masked(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by a mark that tells its kind and the verdict.
 
-    Overlapping spans become one mark, of the first. Rows and other columns stay as they are; a null text
-    stays null. Rows that repeat a key are masked by the same spans.
+    found: what `secrets` returned for them. A text's spans and verdicts depend on the text and on hashes alone, so both
+    meet by the text's SHA-256, never by a key: rows with null or repeated keys are masked like any other. Overlapping spans
+    become one mark, of the first. Rows and other columns stay as they are; a null text stays null.
     """
     python_ready(docs.sparkSession)
     columns = docs.columns
-    own, marks = fresh(columns, "span_key"), fresh(columns, "span_marks")
+    own, marks, many = (fresh(columns, c) for c in ("span_text", "span_marks", "span_rows"))
     only = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["copied"].alias("copied")))
-    spans = found.where(F.size("spans") > 0).select(F.col(key).alias(own), only.alias(marks)).dropDuplicates([own])
+    spans = found.where(F.size("spans") > 0).groupBy(F.col("text_id").alias(own)).agg(F.any_value(only).alias(marks), F.count(F.lit(1)).alias(many))
+    with_id = docs.withColumn(own, F.sha2(text, 256))
     if found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_SPANS:
-        spans = F.broadcast(spans)
-    joined = docs.join(spans, F.col(key) == F.col(own), "left").select(*columns, marks)
+        joined = with_id.join(F.broadcast(spans.drop(many)), own, "left").select(*columns, marks)
+    else:  # a text may be a third of all rows
+        joined = lookup(with_id, written(spans, "marks"), own, many).select(*columns, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,9 +22,25 @@ def test_secrets(odd):
     got = secret_scan.digest(secret_scan.secrets(odd)).collect()
     want = hashlib.sha256(b"assign:32:46").hexdigest()
     assert len(got) == 8 and [r.n_assign for r in got if r.doc_id == 1] == [1, 1] and all(r.base_sha256 == want for r in got if r.doc_id == 1)
-    assert [r.n_assign for r in got if r.doc_id is None] == [0]
+    assert [(r.n_assign, r.base_sha256) for r in got if r.doc_id is None] == [(1, want)]
     texts = [r.text for r in secret_scan.masked(odd, secret_scan.secrets(odd)).collect()]
-    assert len(texts) == 8 and sum("ASSIGN" in (t or "") for t in texts) == 2
+    assert len(texts) == 8 and sum("ASSIGN" in (t or "") for t in texts) == 3 and not any("abcdef12" in (t or "") for t in texts)
+
+
+@pytest.mark.parametrize("bound", [secret_scan.BROADCAST_SPANS, 0])
+def test_secrets_by_row(spark, monkeypatch, bound):
+    """Null keys, and keys that different texts share: each text has its own spans, and only those are masked."""
+    monkeypatch.setattr(secret_scan, "BROADCAST_SPANS", bound)
+    key = "AKIA" + "Q" * 16
+    rows = [(None, f"a null key {key}", "s1"), (7, "a completely clean text of the same id", "s2"), (7, f"x {key} y", "s3"), (7, f"x {key} y", "s4"), (None, "clean", "s5"), (8, None, "s6")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, source string, lang string")
+    found = secret_scan.secrets(docs)
+    got = sorted((r.doc_id or 0, r.n_access, r.spans, r.n_copied) for r in secret_scan.digest(found).collect())
+    assert got == [(0, 0, "", 0), (0, 1, "access:11:31", 1), (7, 0, "", 0), (7, 1, "access:2:22", 1), (7, 1, "access:2:22", 1), (8, 0, "", 0)]
+    texts = sorted(r.text or "" for r in secret_scan.masked(docs, found).collect())
+    assert texts == sorted(["a null key <EXAMPLE_ACCESS>", "a completely clean text of the same id", "x <EXAMPLE_ACCESS> y", "x <EXAMPLE_ACCESS> y", "clean", ""])
+    none = secret_scan.secrets(docs.where("false"))
+    assert secret_scan.digest(none).collect() == [] and secret_scan.masked(docs.where("false"), none).collect() == []
 
 
 def test_licences(odd):

@@ -35,10 +35,44 @@ def _plain(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, "[,$%]", ""))
 
 
+def whole_text(value: Column) -> Column:
+    """The digits of a whole double under 1e38 without a sign, all of them exact: beyond 2^53 as three limbs of 52 bits."""
+    limb = lambda x: F.floor(x).cast("decimal(38,0)")
+    high, rest = F.floor(value / 2.0**104), value % 2.0**104
+    parts = limb(high) * F.lit(str(1 << 104)).cast("decimal(38,0)") + limb(F.floor(rest / 2.0**52)) * F.lit(str(1 << 52)).cast("decimal(38,0)") + limb(rest % 2.0**52)
+    return F.when(value < 2.0**53, value.cast("bigint").cast("string")).otherwise(parts.cast("string"))
+
+
+def fixed6(value: Column) -> Column:
+    """A double under 1e38 with six decimals, rounded on its exact binary value as C's printf does; null stays.
+
+    Only the part behind the point is scaled. The product's own rounding error comes back by splitting the
+    factor into halves that multiply without one, and decides where the rounded product is halfway.
+    """
+
+    def halves(g: Column) -> Column:
+        wide = g * 134217729.0  # 2^27 + 1
+        top = wide - (wide - g)
+        p = g * 1e6
+        low = F.floor(p).cast("double")
+        lost = (g - top) * 1e6 - (p - top * 1e6)
+        gap = p - low
+        up = (gap > 0.5) | ((gap == 0.5) & ((lost > 0) | ((lost == 0) & (low % 2 == 1))))
+        return low + up.cast("double")
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        whole = F.when(size < 2.0**53, F.floor(size).cast("double")).otherwise(size)
+        digits = let(halves(size - whole), lambda r: F.concat(whole_text(whole + (r == 1e6).cast("double")), F.lit("."), F.lpad((r % 1e6).cast("bigint").cast("string"), 6, "0")))
+        return F.concat(F.when(v < 0, "-").otherwise(""), digits)
+
+    return let(value, text)
+
+
 def _number_text(s: Column, value: Column) -> Column:
     """Whole numbers without decimals, others with six; the string in lower case where there is no number."""
-    whole = value.cast("decimal(38,0)").cast("string")
-    return F.when(value.isNull(), F.lower(s)).when(value == F.rint(value), whole).otherwise(F.format_string("%.6f", value))
+    whole = F.concat(F.when(value < 0, "-").otherwise(""), whole_text(F.abs(value)))
+    return F.when(value.isNull(), F.lower(s)).when(value == F.rint(value), whole).otherwise(fixed6(value))
 
 
 def normalize_bon(answer: Column) -> Column:
@@ -54,7 +88,7 @@ def normalize_generator(answer: Column) -> Column:
 
 def normalize_guided(answer: Column) -> Column:
     """Commas dropped; numbers cut to their whole part; other strings unchanged."""
-    cut = lambda s: let(numeric(s), lambda v: F.when(F.abs(v) < 1e37, (v - v % 1).cast("decimal(38,0)").cast("string")).otherwise(s))
+    cut = lambda s: let(numeric(s), lambda v: F.when(F.abs(v) < 1e37, F.concat(F.when(v <= -1, "-").otherwise(""), whole_text(F.abs(v - v % 1)))).otherwise(s))
     return let(F.regexp_replace(F.trim(answer), ",", ""), cut)
 
 

@@ -40,11 +40,6 @@ def normal_text(text: str | None) -> str | None:
     return None if text is None else " ".join(unicodedata.normalize("NFKC", text).split())
 
 
-def fixed6(value: float | None) -> str | None:
-    """Six decimals, rounded on the exact binary value, as C's printf does."""
-    return None if value is None else f"{value:.6f}"
-
-
 def column(f: Callable, kind: T.DataType, *cols: Column | str) -> Column:
     """f over columns, batch by batch; nulls are passed as None."""
 

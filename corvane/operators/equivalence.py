@@ -19,17 +19,19 @@ _CLUSTER = "struct<representative_sample_id:bigint,representative_answer:string,
 _ERROR = "struct<left_sample_id:bigint,right_sample_id:bigint,error_type:string,error_message:string>"
 
 
-def classes(answers: list[str], equivalent: Callable[[str, str], bool]) -> tuple[dict[str, str], dict[tuple[str, str], Exception]]:
-    """Each different answer's class, named by the first of its answers in the list, and the pairs whose comparison raised.
+def classes(answers: list[str], equivalent: Callable[[str, str], bool]) -> tuple[dict[str, str], dict[tuple[str, str], Exception], set[str]]:
+    """Each different answer's class, named by the first of its answers in the list, the pairs whose comparison raised, and
+    the answers whose own candidates stay apart.
 
-    Every pair of different answers is compared once, and an answer that stands twice with itself: the
-    comparison may fail there too, and then its candidates stay apart (the pair is among the errors).
+    Every pair of different answers is compared once, and an answer that stands twice with itself: where the
+    comparison fails or says no there, only another answer of the class holds its candidates together.
     """
     count = Counter(answers)
     order = list(count)
     up = {a: a for a in order}
     place = {a: k for k, a in enumerate(order)}
     failed: dict[tuple[str, str], Exception] = {}
+    unlike: set[str] = set()
 
     def top(a: str) -> str:
         while up[a] != a:
@@ -42,23 +44,25 @@ def classes(answers: list[str], equivalent: Callable[[str, str], bool]) -> tuple
                 same = equivalent(a, b)
             except Exception as e:  # noqa: BLE001  a failing comparison is a result
                 failed[a, b] = e
-                continue
+                same = False
+            if a == b and not same:
+                unlike.add(a)
             if same and top(a) != top(b):
                 low, high = sorted((top(a), top(b)), key=place.get)
                 up[high] = low
-    return {a: top(a) for a in order}, failed
+    named = {a: top(a) for a in order}
+    size = Counter(named.values())
+    return named, failed, {a for a in unlike if size[named[a]] == 1}
 
 
 def _readout(members: list[dict], equivalent: Callable[[str, str], bool]) -> dict:
     """clusters, errors and the number of comparisons of one problem's candidates, in the order of their ids."""
     valid = [m for m in members if m["answer"] is not None]
-    named, failed = classes([m["answer"] for m in valid], equivalent)
+    named, failed, apart = classes([m["answer"] for m in valid], equivalent)
     groups: dict[tuple, list[dict]] = {}
     for m in valid:
         a = m["answer"]
-        # Candidates of one answer that isn't equal to itself, nor to any other, stay apart.
-        alone = (a, a) in failed and list(named.values()).count(named[a]) == 1
-        groups.setdefault((named[a], m["sample_id"] if alone else None), []).append(m)
+        groups.setdefault((named[a], m["sample_id"] if a in apart else None), []).append(m)
     errors = []
     for k, m in enumerate(valid) if failed else ():
         for other in valid[k + 1 :]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.order import numbered
+from corvane.session import ship
 
 
 def draw(key: Column, n: Column | int) -> Column:
@@ -21,21 +24,48 @@ def derive_seed(base: str, problem: str, particle: str, stage: str) -> Column:
     return (top % F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("bigint")
 
 
-def resampled_means(outcomes: DataFrame, values: list[str], times: int, key: str) -> DataFrame:
+#: Fixed values of the 64-bit mixing function: its increment, its two factors and its three shifts.
+STEP, FACTORS, SHIFTS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (30, 27, 31)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each 64-bit counter."""
+    z = x + np.uint64(STEP)
+    for factor, shift in zip(FACTORS, SHIFTS, strict=False):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z ^ (z >> np.uint64(SHIFTS[2]))
+
+
+def resampled_means(outcomes: DataFrame, values: list[str], times: int, most: int = 1024) -> DataFrame:
     """`resample` and the mean of each value over it: n draws with replacement, the same for all values.
 
-    Draws are rows (resample, place), four from one MD5; they meet the outcomes by place, broadcast or
-    shuffled as their size tells, and are added up on the map side first.
+    values are 0/1 columns (null counts as a problem without it), so problems fall into few classes of equal
+    outcomes. Places 0 to n - 1 are dealt to the classes in their order, and a drawn place tells its class by
+    the classes' bounds: draws meet no table, are never rows and never shuffled. A draw is the mixed counter
+    (resample * 2^40 + i) modulo n. A task makes the draws of its share of 0 to n - 1 for all resamples, block by block, and sends
+    a count per resample and class.
     """
-    # A row per problem, read by the bounds, the counts, the draws and the join: computed once.
-    placed = numbered(outcomes.persist(StorageLevel.MEMORY_AND_DISK), key).withColumnRenamed("ordinal", "place")
-    total = F.col("total").cast("bigint")
-    groups = placed.select("total", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit((times - 1) // 4))).alias("g"))
-    hashed = groups.select("total", "g", F.md5(F.concat_ws("-", F.col("g").cast("string"), F.col("i").cast("string"))).alias("h"))
-    four = F.array(*[F.struct((F.col("g") * 4 + k).alias("resample"), (F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("bigint") % total).alias("place")) for k in range(4)])
-    draws = hashed.select(F.inline(four)).where(F.col("resample") < times)
-    joined = draws.join(placed.select("place", *values), "place")
-    return joined.groupBy("resample").agg(*[(F.sum(F.col(v).cast("bigint")) / F.count(F.lit(1))).alias(v) for v in values])
+    spark = outcomes.sparkSession
+    found = outcomes.groupBy(*values).agg(F.count(F.lit(1)).alias("n")).orderBy(*[F.col(v).asc_nulls_first() for v in values]).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} different outcomes: values must be 0 or 1")
+    ends = np.cumsum([r["n"] for r in found], dtype=np.uint64)
+    total, kinds = int(ends[-1]) if len(ends) else 0, len(found)
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((times, kinds), np.int64)
+        for batch in batches:
+            own = batch.column("id").to_numpy().astype(np.uint64)
+            for b in range(times):
+                drawn = mixed(own + np.uint64(b << 40)) % np.uint64(total)
+                counts[b] += np.bincount(np.searchsorted(ends, drawn, "right"), minlength=kinds)
+        b, kind = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array(counts[b, kind])], ["resample", "kind", "n"])
+
+    draws = spark.range(total).mapInArrow(run, "resample bigint, kind int, n bigint")
+    share = lambda v: F.coalesce(F.sum(F.when(F.col("kind").isin([k for k, r in enumerate(found) if r[v]]), F.col("n"))), F.lit(0)) / F.sum("n")
+    return draws.groupBy("resample").agg(*[share(v).alias(v) for v in values])
 
 
 def interval(means: DataFrame, value: str | Column, times: int, alpha: float = 0.05) -> list[Column]:
@@ -44,9 +74,9 @@ def interval(means: DataFrame, value: str | Column, times: int, alpha: float = 0
     return [F.max(F.when(F.col("at") == lo, value)).alias("lo"), F.max(F.when(F.col("at") == hi, value)).alias("hi")]
 
 
-def bootstrap(outcomes: DataFrame, methods: list[str], times: int, key: str) -> DataFrame:
+def bootstrap(outcomes: DataFrame, methods: list[str], times: int) -> DataFrame:
     """method, point, lo, hi for 0/1 columns."""
-    means = resampled_means(outcomes, methods, times, key).unpivot("resample", methods, "method", "m")
+    means = resampled_means(outcomes, methods, times).unpivot("resample", methods, "method", "m")
     placed = means.withColumn("at", F.row_number().over(Window.partitionBy("method").orderBy("m", "resample")) - 1)
     bounds = placed.groupBy("method").agg(*interval(placed, F.col("m"), times))
     n = F.count(F.lit(1))
@@ -54,10 +84,10 @@ def bootstrap(outcomes: DataFrame, methods: list[str], times: int, key: str) ->
     return points.join(bounds, "method")
 
 
-def paired_bootstrap(outcomes: DataFrame, pairs: list[tuple[str, str]], times: int, key: str) -> DataFrame:
+def paired_bootstrap(outcomes: DataFrame, pairs: list[tuple[str, str]], times: int) -> DataFrame:
     """a, b, delta, lo, hi: the difference of two methods over the same draws."""
     methods = sorted({m for p in pairs for m in p})
-    means = resampled_means(outcomes, methods, times, key)
+    means = resampled_means(outcomes, methods, times)
     rows = means.select("resample", F.inline(F.array(*[F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), (F.col(x) - F.col(y)).alias("m")) for x, y in pairs])))
     placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("left", "right").orderBy("m", "resample")) - 1)
     bounds = placed.groupBy("left", "right").agg(*interval(placed, F.col("m"), times))

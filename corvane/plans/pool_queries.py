@@ -149,14 +149,16 @@ def equivalence_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near(a: str, b: str) -> bool:
-    """Numbers within 2 of each other; 50 can't be compared with anything."""
+    """Numbers within 2 of each other; 50 can't be compared with anything, and 40 equals nothing, not even itself."""
     if "50" in (a, b):
         raise ValueError("no number: 50")
+    if "40" in (a, b):
+        return False
     return abs(int(a) - int(b)) <= 2
 
 
 @query(
-    f"""WITH {CANDIDATES}, {_CLASSES.format(own='answer IS NOT NULL AND quantity = 50').replace("FROM x WHERE answer", "FROM x WHERE answer")},
+    f"""WITH {CANDIDATES}, {_CLASSES.format(own='answer IS NOT NULL AND quantity IN (40, 50)').replace("FROM x WHERE answer", "FROM x WHERE answer")},
 e AS (SELECT problem_id, -sum(votes / n * log2(votes / n)) AS entropy FROM k JOIN p USING (problem_id) GROUP BY 1)
 SELECT problem_id, CAST(CAST(value AS BIGINT) AS VARCHAR) AS selected_answer, coalesce(votes, 0) AS selected_count, coalesce(class_id, lowest) AS selected_sample_id, coalesce(ok, false) AS correct, class_id IS NULL AS fallback_used,
 n AS num_valid, num_invalid, coalesce(n_classes, 0) AS unique_classes, round(coalesce(entropy, 0), 6) + 0.0 AS entropy_bits, CAST(n * (n - 1) / 2 AS BIGINT) AS comparison_count, CAST(n50 * (n - n50) + n50 * (n50 - 1) / 2 AS BIGINT) AS error_count

@@ -151,9 +151,20 @@ def mean_time_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("method")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean_seconds"))
 
 
-_OUT = f"""{CANDIDATES}, o AS (SELECT problem_id, bool_or(correct) AS oracle, max_by(correct, (orm_score, -sample_id)) AS orm, max_by(correct, (prm_score, -sample_id)) AS prm, row_number() OVER (ORDER BY problem_id) - 1 AS place, count(*) OVER () AS n FROM c GROUP BY problem_id),
-dr AS (SELECT b, CAST(CAST(('0x' || substr(md5((b // 4) || '-' || place), 8 * (b % 4) + 1, 8)) AS BIGINT) % n AS BIGINT) AS place FROM o, range(0, {TIMES}) r(b)),
-m AS (SELECT b, sum(CAST(oracle AS BIGINT)) / count(*) AS oracle, sum(CAST(orm AS BIGINT)) / count(*) AS orm, sum(CAST(prm AS BIGINT)) / count(*) AS prm FROM dr JOIN o USING (place) GROUP BY b)"""
+
+
+def _mixed(x: str) -> str:
+    """The mixing function of the draws, its products cut to 64 bits."""
+    cut = lambda z: f"CAST(({z}) % 18446744073709551616 AS UBIGINT)"
+    z = cut(f"CAST({x} AS UHUGEINT) + {resample.STEP}")
+    for factor, shift in zip(resample.FACTORS, resample.SHIFTS, strict=False):
+        z = cut(f"CAST(list_transform([{z}], lambda z: xor(z, z >> {shift}))[1] AS UHUGEINT) * {factor}")
+    return f"list_transform([{z}], lambda z: xor(z, z >> {resample.SHIFTS[2]}))[1]"
+
+
+_OUT = f"""{CANDIDATES}, o AS (SELECT problem_id, bool_or(correct) AS oracle, max_by(correct, (orm_score, -sample_id)) AS orm, max_by(correct, (prm_score, -sample_id)) AS prm, count(*) OVER () AS n FROM c GROUP BY problem_id), pl AS (SELECT *, row_number() OVER (ORDER BY oracle NULLS FIRST, orm NULLS FIRST, prm NULLS FIRST) - 1 AS place FROM o),
+dr AS (SELECT b, CAST({_mixed("CAST(b AS UBIGINT) * 1099511627776 + CAST(i AS UBIGINT)")} % n AS BIGINT) AS place FROM (SELECT place AS i, n FROM pl), range(0, {TIMES}) r(b)),
+m AS (SELECT b, sum(CAST(oracle AS BIGINT)) / count(*) AS oracle, sum(CAST(orm AS BIGINT)) / count(*) AS orm, sum(CAST(prm AS BIGINT)) / count(*) AS prm FROM dr JOIN pl USING (place) GROUP BY b)"""
 _LO, _HI = int(0.025 * TIMES), int(0.975 * TIMES)
 
 
@@ -168,7 +179,7 @@ p AS (UNPIVOT (SELECT sum(CAST(oracle AS BIGINT)) / count(*) AS oracle, sum(CAST
 SELECT method, point, max(v) FILTER (i = {_LO}) AS lo, max(v) FILTER (i = {_HI}) AS hi FROM k JOIN p USING (method) GROUP BY method, point"""
 )
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.bootstrap(_outcomes(spark, sf_dir), ["oracle", "orm", "prm"], TIMES, "problem_id")
+    return resample.bootstrap(_outcomes(spark, sf_dir), ["oracle", "orm", "prm"], TIMES)
 
 
 @query(
@@ -177,7 +188,7 @@ p AS (SELECT 'oracle' AS "left", 'orm' AS "right", sum(CAST(oracle AS BIGINT)) /
 SELECT "left", "right", round(delta, 9) AS delta, round(max(v) FILTER (i = {_LO}), 9) AS lo, round(max(v) FILTER (i = {_HI}), 9) AS hi FROM k JOIN p USING ("left", "right") GROUP BY ALL"""
 )
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resample.paired_bootstrap(_outcomes(spark, sf_dir), [("oracle", "orm"), ("orm", "prm")], TIMES, "problem_id")
+    out = resample.paired_bootstrap(_outcomes(spark, sf_dir), [("oracle", "orm"), ("orm", "prm")], TIMES)
     return out.select("left", "right", *[F.round(c, 9).alias(c) for c in ("delta", "lo", "hi")])
 
 

@@ -61,7 +61,7 @@ def extract_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir, text.extract_guided(F.col("text")))
 
 
-_FORMS = "CASE l_orderkey % 6 WHEN 0 THEN ' $' || CAST(l_extendedprice AS STRING) || ' ' WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || ',000%' WHEN 2 THEN '7d' WHEN 3 THEN '-' || CAST(l_extendedprice AS STRING) WHEN 4 THEN 'Yes ' ELSE '' END"
+_FORMS = "CASE l_orderkey % 6 WHEN 0 THEN ' $' || CAST(l_extendedprice AS STRING) || ' ' WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || ',000%' WHEN 2 THEN '7d' WHEN 3 THEN '-' || CAST(l_extendedprice AS STRING) WHEN 4 THEN CASE l_partkey % 4 WHEN 0 THEN 'Yes ' WHEN 1 THEN '0.' || CAST(l_suppkey % 9 + 1 AS STRING) || CAST(l_partkey * 1000 + l_linenumber * 10 + 5 AS STRING) WHEN 2 THEN CAST(l_suppkey AS STRING) || '.' || CAST(1000000 + l_partkey * 10 + 5 AS STRING) ELSE '9007199254740' || CAST(l_orderkey AS STRING) END ELSE '' END"
 _FROWS = f"a AS (SELECT {_KEYS}, {_FORMS} AS s FROM lineitem)"
 
 

@@ -125,8 +125,8 @@ def test_numbers_and_running_sums_over_parts(spark):
 
 def test_paired_delta_is_the_difference_of_points(spark):
     rows = spark.createDataFrame([(i, i % 2 == 0, i % 3 == 0) for i in range(90)], "problem_id bigint, a boolean, b boolean")
-    points = {r.method: r.point for r in resample.bootstrap(rows, ["a", "b"], 40, "problem_id").collect()}
-    pair = resample.paired_bootstrap(rows, [("a", "b")], 40, "problem_id").first()
+    points = {r.method: r.point for r in resample.bootstrap(rows, ["a", "b"], 40).collect()}
+    pair = resample.paired_bootstrap(rows, [("a", "b")], 40).first()
     assert abs(pair.delta - (points["a"] - points["b"])) < 1e-12 and pair.lo <= pair.delta <= pair.hi
 
 

@@ -1,6 +1,7 @@
 """Texts, arrays, particles, gates, lineage on the survey's fixtures."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,13 +18,21 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     "value, bon, generator, guided",
-    [("$1,234.50", "1234.500000", "1234.500000", "$1234.50"), ("3.9", "3.900000", "3.900000", "3"), ("7d", "7d", "7d", "7d"), ("", None, "", ""), (" Yes ", "yes", "yes", "Yes"), ("-0.0", "0", "0", "0"), ("1e20", "100000000000000000000", "1e20", "100000000000000000000"), ("12%", "12", "12", "12%"), ("inf", "inf", "inf", "inf"), ("-3.7", "-3.700000", "-3.700000", "-3")],
+    [("$1,234.50", "1234.500000", "1234.500000", "$1234.50"), ("3.9", "3.900000", "3.900000", "3"), ("7d", "7d", "7d", "7d"), ("", None, "", ""), (" Yes ", "yes", "yes", "Yes"), ("-0.0", "0", "0", "0"), ("1e20", "100000000000000000000", "1e20", "100000000000000000000"), ("12%", "12", "12", "12%"), ("inf", "inf", "inf", "inf"), ("-3.7", "-3.700000", "-3.700000", "-3"), ("0.1234565", "0.123456", "0.123456", "0"), ("-0.3", "-0.300000", "-0.300000", "0"), ("1e23", "99999999999999991611392", "1e23", "99999999999999991611392"), ("9007199254740993", "9007199254740992", "9007199254740993", "9007199254740992")],
 )
 def test_normal_forms(spark, value, bon, generator, guided):
     got = spark.createDataFrame([(value,)], "s string").select(text.normalize_bon(F.col("s")), text.normalize_generator(F.col("s")), text.normalize_guided(F.col("s"))).first()
     assert tuple(got) == (bon, generator, guided)
 
 
+def test_six_decimals_are_those_of_the_binary_value(spark):
+    r = random.Random(8)
+    values = [r.choice([-1, 1]) * r.uniform(0, 10.0 ** r.randrange(-8, 17)) for _ in range(4000)]
+    values += [round(r.uniform(0, 1000), 6) + 5e-7 for _ in range(4000)] + [k / 128 for k in range(-500, 500)] + [0.9999995, 0.99999949999, 1e-9, -1e-9, 5e-7, 1.5e-6, 2.0**53 + 2, 123456789012345.67, 8e36]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.fixed6(F.col("v")).alias("t")).collect()
+    assert [x.t for x in rows] == [f"{x.v:.6f}" for x in rows]
+
+
 def test_null_forms(spark):
     got = spark.createDataFrame([(None,)], "s string").select(text.normalize_bon(F.col("s")), text.normalize_generator(F.col("s")), text.normalize_guided(F.col("s")), text.extract_generator(F.col("s")), text.extract_guided(F.col("s"))).first()
     assert tuple(got) == (None, "none", None, None, None)
@@ -49,7 +58,6 @@ def test_last_boxed(value, want):
 def test_batch_functions_keep_nulls(spark):
     rows = spark.createDataFrame([("Ａ  B\nC",), (None,)], "s string").select(udf.column(udf.normal_text, T.StringType(), "s").alias("s")).collect()
     assert [r.s for r in rows] == ["A B C", None]
-    assert udf.fixed6(0.1234565) == "0.123456"
 
 
 def test_math_forms(spark):

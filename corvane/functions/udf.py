@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import multiprocessing
+import os
 import re
-import time
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from multiprocessing.connection import Connection
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,10 +49,13 @@ def column(f: Callable, kind: T.DataType, *cols: Column | str) -> Column:
     def run(*parts: pd.Series) -> pd.Series:
         return pd.Series([f(*[None if x is None or x != x else x for x in row]) for row in zip(*parts, strict=True)], dtype=object)
 
-    run.__annotations__ = {"return": pd.Series}
-    if len(cols) == 1:
-        return F.pandas_udf(lambda a: run(a), kind, F.PandasUDFType.SCALAR)(*cols)
-    return F.pandas_udf(lambda a, b: run(a, b), kind, F.PandasUDFType.SCALAR)(*cols)
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    return F.pandas_udf(one if len(cols) == 1 else two, kind)(*cols)
 
 
 def float_text(value: Column) -> Column:
@@ -83,34 +89,82 @@ def _double(text: Column) -> Column:
     return F.when(text.rlike(PYTHON_FLOAT), F.regexp_replace(text, "_", "").try_cast("double"))
 
 
-def graded(grade: Callable[[str, str], float], limit: float) -> Callable[[str | None, str | None], dict]:
-    """A grader's score with its status: ok, timeout (beyond the limit in seconds) or error with type and message."""
-
-    def run(output: str | None, gold: str | None) -> dict:
-        out = {"score": 0.0, "correct": False, "status": "ok", "error_type": None, "error_message": None}
-        began = time.monotonic()
+def _child(grade: Callable[[str, str], float], pipe: Connection) -> None:
+    """A grader's own process: pairs in, scores or errors out, until the pipe ends."""
+    while True:
+        try:
+            pair = pipe.recv()
+        except EOFError:
+            os._exit(0)
         try:
-            out["score"] = float(grade(output or "", gold or ""))
-            out["correct"] = out["score"] > 0.5
+            said = ("ok", float(grade(*pair)), None)
         except TimeoutError as e:
-            out |= {"status": "timeout", "error_type": type(e).__name__, "error_message": str(e)[:300]}
-        except Exception as e:  # noqa: BLE001  a grader's failure is a result
-            out |= {"status": "error", "error_type": type(e).__name__, "error_message": str(e).replace("\n", " ")[:300]}
-        if out["status"] == "ok" and time.monotonic() - began > limit:
-            out |= {"score": 0.0, "correct": False, "status": "timeout"}
-        return out
+            said = ("timeout", type(e).__name__, str(e))
+        except BaseException as e:  # noqa: BLE001  a grader's failure is a result, an exit too
+            said = ("error", type(e).__name__, str(e))
+        pipe.send(said)
+
 
-    return run
+class Grader:
+    """A grader with a limit in seconds that interrupts it, whatever it does.
+
+    Calls go to a child process. One that gives no answer within the limit is killed, and the next call
+    starts another: a grader that hangs, even outside Python, costs its limit and no more. `run` gives score, correct,
+    status (ok, timeout, or error), error_type and error_message; a process that ends by itself is an error.
+    """
+
+    def __init__(self, grade: Callable[[str, str], float], limit: float) -> None:
+        if not (math.isfinite(limit) and limit > 0):
+            raise ValueError("a grader's limit is finite and positive")
+        self.grade, self.limit = grade, limit
+        self.process = self.pipe = None
+
+    def _started(self) -> Connection:
+        if self.process is None or not self.process.is_alive():
+            self.close()
+            fork = multiprocessing.get_context("fork")  # the grader needs no pickling
+            self.pipe, other = fork.Pipe()
+            self.process = fork.Process(target=_child, args=(self.grade, other), daemon=True)
+            self.process.start()
+            other.close()
+        return self.pipe
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+        self.process = self.pipe = None
+
+    def run(self, output: str | None, gold: str | None) -> dict:
+        out = {"score": 0.0, "correct": False, "status": "ok", "error_type": None, "error_message": None}
+        pipe = self._started()
+        try:
+            pipe.send((output or "", gold or ""))
+            if not pipe.poll(self.limit):
+                self.close()
+                return out | {"status": "timeout", "error_type": "TimeoutError", "error_message": f"no grade within {self.limit:g} s"}
+            status, value, message = pipe.recv()
+        except (EOFError, OSError):
+            self.close()
+            return out | {"status": "error", "error_type": "ChildProcessError", "error_message": "the grader's process ended"}
+        if status == "ok":
+            return out | {"score": value, "correct": value > 0.5}
+        return out | {"status": status, "error_type": value, "error_message": message.replace("\n", " ")[:300]}
 
 
 def grade_status(rows: DataFrame, output: str, gold: str, grade: Callable[[str, str], float], limit: float = 30.0) -> DataFrame:
-    """rows with `grade`, a struct of score, correct, status, error_type and error_message."""
-    run = graded(grade, limit)
+    """rows with `grade`, a struct of score, correct, status, error_type and error_message. A task has one child process at a time."""
 
-    def batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([run(x, y) for x, y in zip(a, b, strict=True)], columns=GRADE.fieldNames())
+    def batches(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        own = Grader(grade, limit)
+        try:
+            for a, b in parts:
+                yield pd.DataFrame([own.run(x, y) for x, y in zip(a, b, strict=True)], columns=GRADE.fieldNames())
+        finally:
+            own.close()
 
-    return rows.withColumn("grade", F.pandas_udf(batch, GRADE, F.PandasUDFType.SCALAR)(output, gold))
+    return rows.withColumn("grade", F.pandas_udf(batches, GRADE)(output, gold))
 
 
 def scored(rows: DataFrame, ids: str, scorer: Callable[[list[list[int]]], list[float]], batch: int = 64) -> DataFrame:

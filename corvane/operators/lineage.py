@@ -50,9 +50,8 @@ def problem_split(problems: DataFrame, key: str, seed: int, share: float = 0.1,
     random.Random(seed).shuffle(places)
     size = max(least, int(seen["n"] * share))
     held = problems.sparkSession.createDataFrame([(p,) for p in places[: size if most is None else min(size, most)]], "ordinal bigint")
-    # An id's first six bytes as a number: never in another order than the ids themselves.
-    head = F.conv(F.rpad(F.hex(F.substring(F.encode(key, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
-    ranked = numbered(ids.withColumn("_head", head), "_head", key)
+    # One value for all: ids are ranked as its ties, by the bytes behind what they have in common.
+    ranked = numbered(ids.withColumn("_one", F.lit(0)), "_one", key)
     return ranked.join(held.withColumn("_held", F.lit("validation")), "ordinal", "left").select(key, F.coalesce("_held", F.lit("fit")).alias("split"))
 
 

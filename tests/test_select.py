@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import resample, select, stats, summary
-from corvane.operators.order import numbered, running
+from corvane.operators.order import numbered, running, with_part
 
 POOL = "problem_id bigint, sample_id int, answer string, gold string"
 
@@ -116,6 +116,7 @@ def test_numbers_and_running_sums_over_parts(spark):
     rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, i int").repartition(6)
     got = [x.i for x in numbered(rows, "v", "i").orderBy("ordinal").collect()]
     assert got == [i for _, i in sorted((v, i) for i, v in enumerate(values))]
+    assert [x.i for x in numbered(rows.withColumn("v", F.when(F.col("i") % 3 > 0, F.col("v"))), "v", "i").orderBy("ordinal").collect()] == [i for _, i in sorted((-1 if i % 3 == 0 else v, i) for i, v in enumerate(values))]
     one = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     before, total = {}, 0
     for x in sorted(one.collect()):
@@ -136,3 +137,15 @@ def test_seed_is_the_documented_hash(spark):
 
     row = spark.createDataFrame([(42, 17, 3, "smc_stage1")], "b int, p int, k int, s string").select(resample.derive_seed("b", "p", "k", "s")).first()[0]
     assert row == int.from_bytes(hashlib.sha256(json.dumps([42, 17, 3, "smc_stage1"], separators=(",", ":")).encode()).digest()[:8], "big") & ((1 << 63) - 1)
+
+
+@pytest.mark.parametrize("kind", ["constant", "third", "null"])
+def test_one_value_goes_to_all_tasks(spark, kind):
+    """A value of many rows is dealt out by its ties: numbers, or texts with a long beginning in common."""
+    value = {"constant": F.lit(7), "third": F.when(F.col("i") % 3 == 0, 50).otherwise(F.col("i") % 100), "null": F.when(F.col("i") % 2 == 0, F.col("i"))}[kind]
+    rows = spark.range(4000).select(F.col("id").alias("i")).withColumns({"v": value.cast("int"), "name": F.format_string("train_example_%06d", F.col("i") * 7919 % 4001)}).repartition(7)
+    for tie in ("i", "name"):
+        dealt = with_part(rows, "v", 8, (tie,)).groupBy("_part").count().collect()
+        assert max(r["count"] for r in dealt) < 1100 and len(dealt) >= 6
+        got = [(x.v, x[tie]) for x in numbered(rows, "v", tie).orderBy("ordinal").collect()]
+        assert got == sorted(got, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))

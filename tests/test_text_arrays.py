@@ -1,7 +1,9 @@
 """Texts, arrays, particles, gates, lineage on the survey's fixtures."""
 
 import math
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,17 +71,39 @@ def test_math_forms(spark):
     assert {(r.a, r.b): r.e for r in rows.select("a", "b", udf.math_equal(F.col("x"), F.col("y")).alias("e")).collect()} == pairs
 
 
+def grade(a, b):
+    if a == "raise":
+        raise RuntimeError("bad\nline")
+    if a == "timeout":
+        raise TimeoutError("late")
+    if a == "exit":
+        os._exit(3)
+    while a == "hang":
+        time.sleep(1000)
+    return float(a == b)
+
+
 def test_grades_have_a_status():
-    def grade(a, b):
-        if a == "raise":
-            raise RuntimeError("bad\nline")
-        if a == "timeout":
-            raise TimeoutError("late")
-        return float(a == b)
-
-    run = udf.graded(grade, 5.0)
-    assert [run(a, "x")["status"] for a in ("x", "y", "raise", "timeout")] == ["ok", "ok", "error", "timeout"]
-    assert run("x", "x")["correct"] and not run("17", "18")["correct"] and run("raise", "x")["error_message"] == "bad line"
+    own = udf.Grader(grade, 5.0)
+    assert [own.run(a, "x")["status"] for a in ("x", "y", "raise", "timeout", "exit", "x")] == ["ok", "ok", "error", "timeout", "error", "ok"]
+    assert own.run("x", "x")["correct"] and not own.run("17", "18")["correct"] and own.run("raise", "x")["error_message"] == "bad line"
+    assert own.run(None, None)["correct"] and own.run("exit", "x")["error_type"] == "ChildProcessError"
+    process = own.process
+    own.close()
+    assert process is None or not process._popen or own.process is None
+    with pytest.raises(ValueError, match="positive"):
+        udf.Grader(grade, 0)
+
+
+def test_a_grader_that_hangs_is_killed(spark):
+    began = time.monotonic()
+    own = udf.Grader(grade, 0.5)
+    assert own.run("hang", "x")["status"] == "timeout" and time.monotonic() - began < 1.5
+    assert own.run("x", "x")["status"] == "ok"
+    own.close()
+    rows = spark.createDataFrame([("hang", "x"), ("x", "x"), (None, "x"), ("hang", "y"), ("y", "y")], "a string, b string").coalesce(1)
+    got = [(r.grade.status, r.grade.correct) for r in udf.grade_status(rows, "a", "b", grade, 0.5).collect()]
+    assert got == [("timeout", False), ("ok", True), ("ok", False), ("timeout", False), ("ok", True)]
 
 
 def test_file_names(spark):

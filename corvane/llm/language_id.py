@@ -18,12 +18,60 @@ LANGS = ("de", "en", "es", "fr")
 ROWS, FULL = 1 << 15, 60.0
 #: Rows' worth of the level above in a host's, a domain's and a suffix's prior; what a table's cell starts from.
 WEIGHT, START = 8.0, 1.0
-_TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w{1,8};")
+#: Where a tag, a comment or an entity may begin, by its kind; and what ends each kind that reaches over a tag.
+_OPENS = re.compile(r"<(?:(?P<raw>script|style)\b|(?P<comment>!--))?|&\w{1,8};", re.I)
+_ENTITY = re.compile(r"&\w{1,8};")
+_ENDS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "comment": re.compile("-->"), "tag": re.compile(">")}
+#: The language that <html ...> declares: an attribute of that very name.
+_HTML, _LANG = re.compile(r"<html(?=[\s/>])", re.I), re.compile(r"""[\s"'/]lang\s*=\s*["']?([a-z]{2,3})""", re.I)
 
 
 def stripped(html: str) -> str:
-    """The visible text of a page, roughly: what is left without tags, scripts, comments and entities."""
-    return _TAGS.sub(" ", html)
+    """The visible text of a page, roughly: tags, scripts, styles, comments and entities are a space each; what isn't closed stays.
+
+    Each kind of end is sought from a place only if one may still follow: once there is none behind a place, it isn't sought again.
+    So a page takes time in proportion to its length, however broken.
+    """
+    out, at, none = [], 0, set()
+
+    def end(kind: str, start: int) -> int:
+        if kind in none:
+            return -1
+        found = _ENDS[kind].search(html, start)
+        if found is None:
+            none.add(kind)
+            return -1
+        return found.end()
+
+    search = _OPENS.search
+    m = search(html)
+    while m:
+        stop = -1
+        if m[0][0] == "&":
+            stop = m.end()
+        elif m.lastgroup == "raw":
+            stop = end(m["raw"].lower(), m.end())
+        elif m.lastgroup == "comment":
+            stop = end("comment", m.end())
+        if stop < 0:
+            stop = end("tag", m.start() + 1)
+        if stop < 0:  # without a ">" nothing but entities ends any more
+            return "".join([*out, _ENTITY.sub(" ", html[at:])])
+        out += [html[at : m.start()], " "]
+        at = stop
+        m = search(html, at)
+    return "".join([*out, html[at:]])
+
+
+def declared(html: str) -> str:
+    """The language in the first html tag that names one, lower-case; else empty."""
+    at = 0
+    while m := _HTML.search(html, at):
+        close = html.find(">", m.end())
+        at = close if close >= 0 else len(html)
+        if found := _LANG.search(html, m.end(), at):
+            return found[1].lower()
+    return ""
 
 
 def pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +111,20 @@ def trained(docs: DataFrame, text: str, lang: str) -> np.ndarray:
 
 
 def likelihoods(rows: DataFrame, table: np.ndarray, keep: list[str], html: bool) -> DataFrame:
-    """keep and ll_<lang>: each text's mean log likelihood of a piece, times its pieces up to FULL; 0 without pieces."""
+    """keep and ll_<lang>: each text's mean log likelihood of a piece, times its pieces up to FULL; 0 without pieces.
+
+    With html the text is a page: its visible text counts, and `declared` becomes the language that it declares.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             column = block.column("text")
-            column = pa.array([stripped(t) for t in column.to_pylist()], pa.string()) if html else column
+            own = {c: block.column(c) for c in keep}
+            if html:
+                texts = column.to_pylist()
+                own["declared"] = pa.array([declared(t) for t in texts], pa.string())
+                column = pa.array([stripped(t) for t in texts], pa.string())
             got, offs = pieces(*buffers(column))
             n = np.diff(offs)
             sums = np.zeros((len(n), len(LANGS)))
@@ -78,7 +133,7 @@ def likelihoods(rows: DataFrame, table: np.ndarray, keep: list[str], html: bool)
                 sums[full] = np.add.reduceat(shared.value[got], offs[:-1][full], dtype=np.float64)
             sums *= (np.minimum(n, FULL) / np.maximum(n, 1))[:, None]
             sums -= sums.max(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], *[pa.array(np.ascontiguousarray(sums[:, k])) for k in range(len(LANGS))]], [*keep, *[f"ll_{x}" for x in LANGS]])
+            yield pa.RecordBatch.from_arrays([*own.values(), *[pa.array(np.ascontiguousarray(sums[:, k])) for k in range(len(LANGS))]], [*keep, *[f"ll_{x}" for x in LANGS]])
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.select(*keep, "text").mapInArrow(giving_back(run), ", ".join([kept, *[f"ll_{x} double" for x in LANGS]]))
@@ -151,8 +206,7 @@ def identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
     table = trained(docs, "text", "lang")
     known = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"), F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("path_lang"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("source", F.lit("")).alias("domain"), F.lit("").alias("suffix"), F.coalesce("text", F.lit("")).alias("text"))
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
-    web = pages.select(F.lit("page").alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), declared.alias("declared"), F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[^:]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1).alias("path_lang"), host.alias("host"), F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host).alias("domain"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"), F.coalesce("html", F.lit("")).alias("text"))
+    web = pages.select(F.lit("page").alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), F.lit("").alias("declared"), F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[^:]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1).alias("path_lang"), host.alias("host"), F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host).alias("domain"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"), F.coalesce("html", F.lit("")).alias("text"))
     keep = ["kind", "doc_id", "page_id", "declared", "path_lang", "host", "domain", "suffix"]
     seen = likelihoods(known, table, keep, False).unionByName(likelihoods(web, table, keep, True))
     lls = [F.col(f"ll_{x}") for x in LANGS]

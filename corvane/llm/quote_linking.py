@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,6 @@ from corvane.llm.decontaminate import let
 
 #: A line's marks of quotation, before its text.
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-#: Normalised passages of fewer characters link nothing in other conversations: "ok" stands in every other message.
-LEAST = 12
 
 
 def level(line: Column) -> Column:
@@ -21,7 +21,7 @@ def level(line: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """White space collapsed, A-Z lower-cased: what a quoting program may change."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), r"\s+", " "))
 
 
 def _runs(lines: Column) -> Column:
@@ -57,19 +57,20 @@ def passages(rows: DataFrame) -> DataFrame:
     return flat.where(F.length("passage") > 0).select("row_id", "conv_id", "turn", F.xxhash64("passage").alias("hash"), F.sha2("passage", 256).alias("digest"))
 
 
-def linked(rows: DataFrame) -> DataFrame:
+def linked(rows: DataFrame, least: int = 1) -> DataFrame:
     """(row_id, source_conv, source_turn, level): the message each quoting row answers, by its shallowest linked quote.
 
     A quote is looked for whole, then by each of its lines in order; each in its own conversation
-    first, in the earliest turn that has the passage and precedes the quoting one, else, if it has LEAST
-    characters, in the other conversations, in the earliest message. Both sides are grouped by passage before they meet, so a
-    passage that stands in a third of all messages is one row.
+    first, in the earliest turn that has the passage and precedes the quoting one, else, if it has `least`
+    characters (by default any passage), in the other conversations, in the earliest message. Both sides are grouped by passage
+    before they meet, so a passage that stands in a third of all messages is one row; and where a third of all quotes are of one
+    passage in one conversation, those rows are spread.
     """
     quotes = rows.where((F.size("runs") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("row_id", "conv_id", "turn", F.posexplode("runs").alias("place", "run"))
     text = F.col("run.text")
     tried = F.array_distinct(F.concat(F.array(normalised(text)), F.transform(F.split(text, "\n"), normalised)))
     quotes = quotes.select("row_id", "conv_id", "turn", F.col("run.level").alias("level"), "place", F.posexplode(tried).alias("part", "passage")).where(F.length("passage") > 0)
-    quotes = written(quotes.withColumns({"long": F.length("passage") >= LEAST, "digest": F.sha2("passage", 256)}).drop("passage"), "quotes")
+    quotes = written(quotes.withColumns({"long": F.length("passage") >= least, "digest": F.sha2("passage", 256)}).drop("passage"), "quotes")
     wanted = quotes.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("long").alias("long"))
     found = passages(rows).join(wanted.select("digest"), "digest", "left_semi")
     here = written(found.groupBy("digest", "conv_id").agg(F.min("turn").alias("here_turn")), "here")
@@ -78,7 +79,10 @@ def linked(rows: DataFrame) -> DataFrame:
     second = lookup(here, first, "digest", "n_convs").where(F.col("conv_id") > F.col("f.conv_id")).groupBy("digest").agg(F.min(F.struct("conv_id", "here_turn")).alias("g"))
     there = wanted.where("long").join(first.drop("n_convs"), "digest").join(second, "digest", "left")
     there = written(there.select("digest", "n", F.col("f.conv_id").alias("there_conv"), F.col("f.here_turn").alias("there_turn"), F.col("g.conv_id").alias("next_conv"), F.col("g.here_turn").alias("next_turn")), "sources")
-    both = quotes.join(here, ["digest", "conv_id"], "left")
+    pair = F.concat_ws("/", "digest", F.col("conv_id").cast("string"))
+    asked = quotes.groupBy("digest", "conv_id").agg(F.count(F.lit(1)).alias("n"))
+    own = written(here.join(asked, ["digest", "conv_id"]).select(pair.alias("pair"), "here_turn", "n"), "own")
+    both = lookup(quotes.withColumn("pair", pair), own, "pair", "n")
     both = lookup(both.select("row_id", "conv_id", "turn", "level", "place", "part", "digest", "here_turn"), there, "digest", "n")
     inside = F.coalesce(F.col("here_turn") < F.col("turn"), F.lit(False))
     other = F.col("there_conv") != F.col("conv_id")
@@ -103,17 +107,17 @@ def roots(edges: DataFrame) -> DataFrame:
             return state.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth")
 
 
-def threads(chats: DataFrame) -> DataFrame:
+def threads(chats: DataFrame, least: int = 1) -> DataFrame:
     """Every message with its place in a reply-ordered conversation, and its text without quotes.
 
     Returns conv_id, turn, role, source_conv and source_turn (the message that it quotes, or null),
     n_levels, n_linked, root_turn, depth and text. Sorted by (conv_id, root_turn, turn), each answer
     follows the message that it answers, and unlinked messages keep their order. Quotes of another
-    conversation are linked but start no thread. Null texts are empty; messages of a null conversation
+    conversation are linked but start no thread; quotes of fewer than `least` characters aren't sought there. Null texts are empty; messages of a null conversation
     or turn are linked with nothing; repeated (conv_id, turn) rows are all kept, and share their thread.
     """
     rows = written(messages(chats.select("conv_id", "turn", "role", "text")), "messages")
-    links = written(linked(rows), "links")
+    links = written(linked(rows, least), "links")
     base = rows.select("row_id", "conv_id", "turn", "role", "n_levels", F.col("own").alias("text")).join(links, "row_id", "left")
     edges = base.where(F.col("source_conv") == F.col("conv_id")).groupBy("conv_id", "turn").agg(F.min("source_turn").alias("parent"))
     found = roots(edges)

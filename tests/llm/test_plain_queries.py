@@ -157,7 +157,7 @@ def test_quotations(spark):
                 if not p:
                     continue
                 turn = here.get((p, c.conv_id))
-                outside = [x for x in convs.get(p, []) if x[0] != c.conv_id] if len(p) >= quote_linking.LEAST else []
+                outside = [x for x in convs.get(p, []) if x[0] != c.conv_id]
                 link = (False, c.conv_id, turn) if turn is not None and turn < c.turn else (True, *outside[0]) if outside else None
                 if link:
                     places.add(place)

@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
-from corvane.llm.common import blocks, buffers, giving_back, python_ready, text_or_empty
+from corvane.llm.common import blocks, buffers, giving_back, lookup, python_ready, text_or_empty, written
 from corvane.llm.pieces import Pieces
 
 #: A cut follows where the hash of the WINDOW bytes before it has MASK's bits clear; LONGEST bytes without one are cut too.
@@ -295,3 +296,70 @@ def encode_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         return {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(texts, pa.string())}
 
     return _mapped(docs, key, text, path, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", made)
+
+
+def _cut(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """row, key, k, safe and chunk of every content-defined chunk; a text without any has one empty chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            raw, at = buffers(block.column("text"))
+            ends, safe = cuts(raw, at)
+            data = raw.tobytes()
+            first = np.searchsorted(ends, at[:-1], "right")
+            last = np.maximum(np.searchsorted(ends, at[1:], "right"), first)
+            empty = at[1:] == at[:-1]
+            size = np.where(empty, 1, last - first)
+            own = np.repeat(np.arange(len(size)), size)
+            k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            place = np.minimum(first[own] + k, max(len(ends) - 1, 0))
+            starts = np.concatenate([[0], ends])[place] if len(ends) else np.zeros(len(own), np.int64)
+            stops = ends[place] if len(ends) else starts
+            parts = [b"" if e else data[a:b] for a, b, e in zip(starts.tolist(), stops.tolist(), empty[own].tolist(), strict=True)]
+            ok = np.where(empty[own] | (k == size[own] - 1), True, safe[place] if len(safe) else True)
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([block.column("row").take(take), block.column("key").take(take), pa.array(k.astype(np.int32)), pa.array(ok), pa.array(parts, pa.binary())], ["row", "key", "k", "safe", "chunk"])
+
+    rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(giving_back(run), f"row bigint, key {docs.schema[key].dataType.simpleString()}, k int, safe boolean, chunk binary")
+
+
+def encode_shared(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key and token_ids of every row, where a chunk is encoded once over all documents.
+
+    Chunks go to a table of different ones by their SHA-256, which is encoded and looked up again by every place that has
+    the chunk (one that stands in a third of all places is no hot key: see `lookup`). A text's ids come
+    together by its row's own number; texts with a join that isn't safe bring their chunks along, and the join is mended
+    as in `encode`. The same ids as `encode`, for more shuffle: it pays where documents repeat each other far more than they differ.
+    """
+    python_ready(docs.sparkSession)
+    parts = written(_cut(docs, key, text).withColumn("digest", F.sha2("chunk", 256)), "chunks")
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = codec(path)
+        for block in blocks(batches, "chunk"):
+            ids = use.encode([bytes(c) for c in block.column("chunk").to_pylist()])
+            yield pa.RecordBatch.from_arrays([block.column("digest"), block.column("n"), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["digest", "n", "ids"])
+        use.forget()
+
+    distinct = parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.any_value("chunk").alias("chunk"))
+    table = written(distinct.select("digest", "n", "chunk").mapInArrow(giving_back(learnt), "digest string, n bigint, ids binary"), "chunk-ids")
+    odd = parts.where(~F.col("safe")).select("row").distinct().withColumn("odd", F.lit(True))
+    placed = parts.select("row", "key", "k", "safe", "digest", "chunk").join(odd, "row", "left").withColumn("chunk", F.when(F.col("odd"), F.col("chunk"))).drop("odd")
+    whole = lookup(placed, table, "digest", "n").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "safe", "chunk", "ids", "key"))).alias("parts"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = codec(path)
+        for batch in batches:
+            out = []
+            for p in batch.column("parts").to_pylist():
+                ids = [np.frombuffer(x["ids"], "<u4") for x in p]
+                if not all(x["safe"] for x in p):
+                    pieces = [x["chunk"] for x in p]
+                    ids = use.mended(b"".join(pieces), np.cumsum([len(c) for c in pieces]).tolist(), [x["safe"] for x in p], ids)
+                out.append(np.concatenate(ids).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "token_ids"])
+        use.forget()
+
+    kind = docs.schema[key].dataType.simpleString()
+    return whole.select(F.col("parts")[0]["key"].alias("key"), "parts").mapInArrow(giving_back(joined), f"key {kind}, token_ids array<int>").withColumnRenamed("key", key)

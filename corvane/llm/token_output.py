@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import wordnum
@@ -238,13 +239,51 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def in_key_order(docs: DataFrame, key: str) -> DataFrame:
-    """docs dealt into shuffle partitions by ranges of the key, each sorted, rows of equal keys by their texts' hashes; only the key is read for the bounds."""
+#: Ranges of the key, by its quantiles, from which the ranges of one partition are made up.
+FINE = 4
+
+
+def search(column: str, bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below a column's value: a tree of comparisons, as deep as their number's logarithm."""
+
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"IF({column} <= CAST('{bounds[middle]}' AS BIGINT), {tree(low, middle)}, {tree(middle + 1, high)})"
+
+    return F.expr(tree(0, len(bounds)))
+
+
+def in_key_order(docs: DataFrame) -> DataFrame:
+    """docs (key, text) dealt into shuffle partitions by ranges of the key, each sorted, rows of equal keys by their texts' hashes.
+
+    Ranges have like numbers of bytes: those between fine quantiles of the key are weighed, and neighbours are put together. A key
+    that several quantiles fall on has as many ranges of its own, by its texts' hashes, so a third of all rows without a key is not one task.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)] or [0.5]
-    bounds = docs.agg(F.percentile_approx(key, shares, 10 * max(n, 1000)).alias("b")).first()["b"] or [0]
-    place = F.size(F.filter(F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]), lambda b: F.coalesce(F.col(key), F.lit(-(1 << 63))) > b))
-    return docs.withColumn("shard_place", place).repartitionById(max(n, len(set(bounds)) + 1), F.col("shard_place")).sortWithinPartitions(key, F.xxhash64("text"))
+    shares = [i / (FINE * n) for i in range(1, FINE * n)]
+    quantiles = docs.agg(F.percentile_approx("key", shares, 10 * max(FINE * n, 1000)).alias("b")).first()["b"] or [0]
+    bounds = sorted(map(int, set(quantiles)))
+    often = {v: c // FINE for v, c in Counter(map(int, quantiles)).items() if c >= 2 * FINE}
+    place = search("key", bounds)
+    heavy = F.col("key").isin(*often) if often else F.lit(False)
+    weights = {r["b"]: r["w"] for r in docs.where(~heavy).groupBy(place.alias("b")).agg(F.sum(F.octet_length("text") + 8).alias("w")).collect()}
+    most = max(1, sum(weights.values()) // n)
+    ids, at, held = [], 0, 0
+    for k in range(len(bounds) + 1):
+        weight = weights.get(k, 0)
+        if held and held + weight > most:
+            at, held = at + 1, 0
+        ids.append(at)
+        held += weight
+        if k < len(bounds) and bounds[k] in often:  # its own rows follow the smaller keys of their range
+            at, held = at + 1 + often[bounds[k]], 0
+    own = F.get(F.array(*map(F.lit, ids)), place)
+    for value, count in often.items():
+        share = F.least(F.floor((F.xxhash64("text") / 2.0**64 + 0.5) * count), F.lit(count - 1)).cast("int")
+        own = F.when(F.col("key") == value, ids[bounds.index(value)] + 1 + share).otherwise(own)
+    return docs.withColumn("shard_place", own).repartitionById(max(n, at + 1), F.col("shard_place")).sortWithinPartitions("key", F.xxhash64("text"))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,7 +321,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         if held:
             yield out()
 
-    rows = in_key_order(docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("key"), text_or_empty(text).alias("text")), "key")
+    rows = in_key_order(docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("key"), text_or_empty(text).alias("text")))
     return written(rows.mapInArrow(giving_back(run), "place int, part int, n_ids bigint, shard binary"), "shards")
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corvane.llm import token_output as out
 from corvane.llm.queries import tokenizer_path
@@ -51,3 +52,22 @@ def test_files_read_back(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert out.read_shards(out.write_shards(spark.createDataFrame([], "doc_id bigint, text string"), PATH)).count() == 0
+
+
+def test_ranges_have_like_bytes_and_hot_keys_are_split(spark):
+    """A third of the keys null, a third one key, texts of very different lengths: order kept, no partition with most of the bytes."""
+    r = random.Random(6)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else r.randrange(-(10**6), 10**6), " ".join(str(r.random()) for _ in range(1 + i % 7 * (i % 3 == 2) * 20))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text")
+    dealt = out.in_key_order(keyed).withColumn("p", F.spark_partition_id())
+    assert all(x.p == x.shard_place for x in dealt.collect())
+    got = [(x.p, x.key, x.h) for x in dealt.select("p", "key", F.xxhash64("text").alias("h")).collect()]
+    assert sorted(got) == sorted(got, key=lambda x: x[1:])  # partitions follow each other in the order of keys and hashes
+    weights = [x.w for x in dealt.groupBy("p").agg(F.sum(F.octet_length("text")).alias("w")).collect()]
+    assert max(weights) < 0.4 * sum(weights) and len(weights) >= 4
+    e = out.WordEncoder(PATH)
+    back = sorted((x.doc_id, x.n_tokens) for x in out.read_shards(out.write_shards(docs, PATH)).collect())
+    assert back == sorted((-(1 << 63) if i is None else i, len(e.tokenizer.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+    starts = sorted((x.start, x.n_tokens, x.doc_id) for x in out.read_shards(out.write_shards(docs, PATH)).collect())
+    assert [s for s, _, _ in starts] == [sum(n for _, n, _ in starts[:k]) for k in range(len(starts))] and [d for _, _, d in starts] == sorted(d for _, _, d in starts)

@@ -90,10 +90,11 @@ def model_kernel(logits: Callable[[np.ndarray, int], np.ndarray], confidence: st
     def kernel(ids: np.ndarray, at: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         scores = np.asarray(logits(ids, at), np.float64)
         scores = nucleus(scores / temperature if temperature > 0 else scores, share, top)
-        p = np.exp(scores - scores.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        if not np.isfinite(p).all():
+        top_score = scores.max(axis=1, keepdims=True)
+        if not np.isfinite(top_score).all():
             raise FloatingPointError("scores give no probabilities")
+        p = np.exp(scores - top_score)
+        p /= p.sum(axis=1, keepdims=True)
         taken = (scores + _gumbel(scores.shape, seed, at, 0)).argmax(axis=1) if temperature > 0 else p.argmax(axis=1)
         return taken, CONFIDENCE[confidence](p, taken)
 

@@ -5,6 +5,7 @@ Gates are actions of their own, run before the work that they guard: an assertio
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -176,9 +177,9 @@ def states(rows: DataFrame, per_problem: int = 10, outcomes: int | None = None,
         checks.append(("outcomes", key, F.lit(outcomes), F.size("outcomes"), F.size("outcomes") != outcomes))
     if label is not None:
         checks.append(("label", key, F.lit("0 or 1"), F.col(label), ~F.col(label).isin(0, 1)))
-    more = [] if label is None else [(F.max(label) != F.min(label)).alias("_label")]
-    each = rows.groupBy("problem_id", "mask_bucket").agg(F.count(F.lit(1)).alias("c"), *([] if label is None else [F.min(label).alias("lo"), F.max(label).alias("hi")]))
-    per = each.groupBy("problem_id").agg(F.count(F.lit(1)).alias("b"), F.max("c").alias("m"), *([] if not more else [(F.min("lo") != F.max("hi")).alias("_label")]))
+    ends = [] if label is None else [F.min(label).alias("lo"), F.max(label).alias("hi")]
+    each = rows.groupBy("problem_id", "mask_bucket").agg(F.count(F.lit(1)).alias("c"), *ends)
+    per = each.groupBy("problem_id").agg(F.count(F.lit(1)).alias("b"), F.max("c").alias("m"), *([(F.min("lo") != F.max("hi")).alias("_label")] if ends else []))
     problem = F.col("problem_id")
     of_problem = [("buckets", problem, F.lit(per_problem), F.col("b"), (F.col("b") != per_problem) | (F.col("m") > 1))]
     if label is not None:
@@ -247,43 +248,107 @@ def same_identity(rows: DataFrame, fields: Sequence[str], shard: str) -> DataFra
     return _rows(per.join(F.broadcast(want)), "identity", F.col(shard), F.col("want"), F.col("identity"), F.col("identity") != F.col("want"))
 
 
-def trajectory(rows: DataFrame, schedule: list[int], length: int) -> DataFrame:
-    """Steps equal the schedule, as many ratios and states, ratios within [0, 1] and never rising, label = grade, calls conserved."""
-    key = F.concat_ws("/", F.col("problem_id").cast("string"), F.col("trajectory_id").cast("string"))
+def token_hash(ids: str | Column) -> Column:
+    """The SHA-256 of token ids as a JSON array without spaces."""
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("]")), 256)
+
+
+def trajectory(rows: DataFrame, schedule: list[int], length: int, base_seed: int | None = None, samples: int | None = None, steps: int | None = None, prompts: bool = False) -> DataFrame:
+    """Steps equal the schedule, as many ratios, ratios within [0, 1] and never rising, tokens of a length, label = grade; all in one pass.
+
+    base_seed: `seed` is the derived one of problem and trajectory; samples: trajectory ids are 0 to samples - 1; steps: `calls`
+    are that many; prompts: prompt_ids are there and have the hash prompt_sha256.
+    """
+    key = _key("problem_id", "trajectory_id")
     want = F.array(*map(F.lit, schedule))
     rising = F.exists(F.sequence(F.lit(1), F.greatest(F.size("mask_ratios") - 1, F.lit(1))), lambda i: F.get(F.col("mask_ratios"), i) > F.get(F.col("mask_ratios"), i - 1))
-    return union([
-        _rows(rows, "steps", key, F.lit(len(schedule)), F.size("snapshot_steps"), F.col("snapshot_steps") != want),
-        _rows(rows, "ratios", key, F.lit(len(schedule)), F.size("mask_ratios"), F.size("mask_ratios") != len(schedule)),
-        _rows(rows, "range", key, F.lit("0 to 1"), F.lit("outside"), F.exists("mask_ratios", lambda r: (r < 0) | (r > 1))),
-        _rows(rows, "falling", key, F.lit("never rising"), F.lit("rising"), (F.size("mask_ratios") > 1) & rising),
-        _rows(rows, "tokens", key, F.lit(length), F.size("generated_token_ids"), F.size("generated_token_ids") != length),
-        _rows(rows, "label", key, F.col("graded"), F.col("is_correct"), ~F.col("graded").eqNullSafe(F.col("is_correct"))),
-    ])
+    checks = [
+        ("steps", key, F.lit(len(schedule)), F.size("snapshot_steps"), F.col("snapshot_steps") != want),
+        ("ratios", key, F.lit(len(schedule)), F.size("mask_ratios"), F.size("mask_ratios") != len(schedule)),
+        ("range", key, F.lit("0 to 1"), F.lit("outside"), F.exists("mask_ratios", lambda r: (r < 0) | (r > 1))),
+        ("falling", key, F.lit("never rising"), F.lit("rising"), (F.size("mask_ratios") > 1) & rising),
+        ("tokens", key, F.lit(length), F.size("generated_token_ids"), F.size("generated_token_ids") != length),
+        ("label", key, F.col("graded"), F.col("is_correct"), ~F.col("graded").eqNullSafe(F.col("is_correct"))),
+    ]
+    if base_seed is not None:
+        rows = rows.withColumns({"_b": F.lit(base_seed), "_s": F.lit("trajectory")}).withColumn("_seed", derive_seed("_b", "problem_id", "trajectory_id", "_s"))
+        checks.append(("seed", key, F.col("_seed"), F.col("seed"), F.col("seed") != F.col("_seed")))
+    if samples is not None:
+        checks.append(("trajectory", key, F.lit(f"0..{samples - 1}"), F.col("trajectory_id"), (F.col("trajectory_id") < 0) | (F.col("trajectory_id") >= samples)))
+    if steps is not None:
+        checks.append(("calls", key, F.lit(steps), F.col("calls"), F.col("calls") != steps))
+    if prompts:
+        checks.append(("prompt", key, token_hash("prompt_ids"), F.col("prompt_sha256"), (F.size("prompt_ids") < 1) | (token_hash("prompt_ids") != F.col("prompt_sha256"))))
+    return rows.select(_found(*checks))
 
 
 def weights(rows: DataFrame, weight: str) -> DataFrame:
-    """Finite, not negative, and of a positive sum per problem."""
+    """Finite, not negative, and of a positive sum per problem, whose sum stands at its first row: one pass."""
+    own = Window.partitionBy("problem_id")
+    seen = rows.select("problem_id", F.col(weight).alias("_w")).withColumns({"_t": F.sum("_w").over(own), "_first": F.row_number().over(own.orderBy("_w")) == 1})
+    bad = F.col("_w").isNull() | F.isnan("_w") | (F.abs("_w") == float("inf")) | (F.col("_w") < 0)
     key = F.col("problem_id")
-    bad = F.col(weight).isNull() | F.isnan(weight) | (F.abs(weight) == float("inf")) | (F.col(weight) < 0)
-    total = rows.groupBy("problem_id").agg(F.sum(weight).alias("t"))
-    return union([_rows(rows, "weight", key, F.lit("finite, >= 0"), F.col(weight), bad), _rows(total, "sum", key, F.lit("> 0"), F.col("t"), ~(F.col("t") > 0))])
+    return seen.select(_found(("weight", key, F.lit("finite, >= 0"), F.col("_w"), bad), ("sum", key, F.lit("> 0"), F.col("_t"), F.col("_first") & ~F.coalesce(F.col("_t") > 0, F.lit(False)))))
 
 
 def conserved_calls(rows: DataFrame, steps: int) -> DataFrame:
     """Logical calls are candidates times steps; physical ones are steps."""
-    key = F.col("problem_id")
-    return union([
-        _rows(rows, "logical", key, F.col("num_candidates") * steps, F.col("logical"), F.col("logical") != F.col("num_candidates") * steps),
-        _rows(rows, "physical", key, F.lit(steps), F.col("physical"), F.col("physical") != steps),
-    ])
+    key, logical = F.col("problem_id"), F.col("num_candidates") * steps
+    return rows.select(_found(("logical", key, logical, F.col("logical"), F.col("logical") != logical), ("physical", key, F.lit(steps), F.col("physical"), F.col("physical") != steps)))
 
 
 def contiguous_shards(rows: DataFrame, shard: str, num_shards: str, complete: str) -> DataFrame:
-    """Shard ids 0 to n - 1, each once and complete, all with the same n."""
+    """Shard ids 0 to n - 1, each once and complete, all with the same n. No shards at all are a violation."""
     per = rows.agg(F.count(F.lit(1)).alias("c"), F.count_distinct(shard).alias("d"), F.min(shard).alias("lo"), F.max(shard).alias("hi"), F.min(num_shards).alias("n"), F.max(num_shards).alias("m"), F.count_if(~F.col(complete)).alias("open"))
     bad = (F.col("c") != F.col("n")) | (F.col("d") != F.col("c")) | (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("n") != F.col("m"))
-    return union([_rows(per, "shards", F.lit("all"), F.col("m"), F.col("c"), bad), _rows(per, "complete", F.lit("all"), F.lit(0), F.col("open"), F.col("open") > 0)])
+    return per.select(_found(("shards", F.lit("all"), F.col("m"), F.col("c"), bad), ("complete", F.lit("all"), F.lit(0), F.col("open"), F.col("open") > 0)))
+
+
+def merged_pool(rows: DataFrame, shards: DataFrame, keys: Sequence[str], identity: Sequence[str] = (), missing: str = "error", problems: int | None = None) -> tuple[DataFrame, list[int]]:
+    """The rows of all shards as one pool, once it passes its gates, and the shards that it lacks.
+
+    rows: with `shard`; shards: shard, num_shards, complete and the identity's columns, a row each. Shards have one num_shards and
+    one identity, each number under it occurs once at most, keys are unique over all of them and, with `problems`, that many
+    problems are there. missing="error": every shard is there and complete; "skip": shards that are absent or not complete are
+    left out with their rows and returned. Whatever else is wrong raises GateError.
+    """
+    if missing not in ("error", "skip"):
+        raise ValueError("missing is error or skip")
+    said = shards.select("shard", "num_shards", "complete", *identity).collect()  # a row per shard
+    sizes = {r["num_shards"] for r in said}
+    if len(sizes) != 1:
+        raise GateError("num_shards", [(s,) for s in sorted(sizes)])
+    n, seen = sizes.pop(), Counter(r["shard"] for r in said)
+    if odd := sorted(s for s, c in seen.items() if c > 1 or not 0 <= s < n):
+        raise GateError("shards", [(s,) for s in odd])
+    kinds = {tuple(r[c] for c in identity) for r in said}
+    if len(kinds) > 1:
+        raise GateError("identity", sorted(kinds, key=str))
+    there = {r["shard"] for r in said if r["complete"]}
+    lacking = sorted(set(range(n)) - there)
+    if lacking and missing == "error":
+        raise GateError("missing or incomplete shards", [(s,) for s in lacking])
+    pool = rows.where(F.col("shard").isin(sorted(there)))
+    copies = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    require("repeated", copies.where("copies > 1"))
+    if problems is not None:
+        require("problems", pool.agg(F.count_distinct("problem_id").alias("n")).where(F.col("n") != problems))
+    return pool, lacking
+
+
+def frozen_split(split: DataFrame, frozen: DataFrame, key: str, side: str = "split") -> DataFrame:
+    """A split against the frozen one: ids that it lacks, that it has besides, that are on the other side, or that repeat."""
+    mine = split.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(side).alias("_mine"))
+    theirs = frozen.select(F.col(key).alias("_key"), F.col(side).alias("_side"))
+    both = mine.join(theirs, F.col(key).eqNullSafe(F.col("_key")), "full")
+    at = F.when(F.col("_n").isNull(), F.col("_key")).otherwise(F.col(key))
+    have, want = F.col("_n").isNotNull(), F.col("_side").isNotNull()
+    return both.select(_found(
+        ("missing", at, F.col("_side"), F.lit(None), ~have),
+        ("unknown", at, F.lit(None), F.col("_mine"), ~want),
+        ("side", at, F.col("_side"), F.col("_mine"), have & want & ~F.col("_side").eqNullSafe(F.col("_mine"))),
+        ("repeated", at, F.lit(1), F.col("_n"), F.coalesce(F.col("_n") > 1, F.lit(False))),
+    ))
 
 
 def config(values: dict, rules: dict) -> list[str]:

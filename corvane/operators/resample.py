@@ -97,11 +97,11 @@ def paired_bootstrap(outcomes: DataFrame, pairs: list[tuple[str, str]], times: i
 
 
 def random_rerank(pool: DataFrame, trials: int) -> DataFrame:
-    """trial, accuracy of a candidate drawn per problem."""
-    per = pool.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.map_from_entries(F.collect_list(F.struct("sample_id", "correct"))).alias("graded"))
+    """trial, accuracy of a candidate drawn per problem, by its place in the order of the ids, which may have gaps."""
+    per = pool.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("sample_id", "correct"))).alias("graded"))
     rows = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     picked = draw(F.concat_ws("-", F.col("trial").cast("string"), F.col("problem_id").cast("string")), F.col("n")).cast("bigint")
-    return rows.select("trial", F.element_at("graded", picked).alias("ok")).groupBy("trial").agg((F.count_if("ok") / F.count(F.lit(1))).alias("accuracy"))
+    return rows.select("trial", F.get("graded", picked.cast("int"))["correct"].alias("ok")).groupBy("trial").agg((F.count_if("ok") / F.count(F.lit(1))).alias("accuracy"))
 
 
 def sequential(outcomes: list[int], times: int, seed: int, alpha: float = 0.05) -> tuple[float, float, float]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import gates, lineage, select, summary
+from corvane.operators import gates, lineage, resample, select, summary
 from corvane.plans.registry import query
 from corvane.plans.views import CANDIDATES, SNAPSHOTS, candidates, snapshots
 from corvane.session import table
@@ -41,12 +41,16 @@ p AS (SELECT problem_id, count(DISTINCT mask_bucket) AS b, max(c) AS m FROM (SEL
 SELECT 'unique' AS "check", CAST(state_id AS VARCHAR) AS key, '1' AS expected, CAST(count(*) AS VARCHAR) AS actual FROM t GROUP BY state_id HAVING count(*) > 1
 UNION ALL SELECT 'ratio', CAST(state_id AS VARCHAR), '0 < r < 1', CAST(mask_ratio AS VARCHAR) FROM t WHERE mask_ratio <= 0 OR mask_ratio >= 1
 UNION ALL SELECT 'fraction', CAST(state_id AS VARCHAR), 'mean', '0.5' FROM t WHERE state_id % 100 = 0
+UNION ALL SELECT 'outcomes', CAST(state_id AS VARCHAR), '8', '4' FROM t WHERE state_id % 100 = 1 UNION ALL SELECT 'label', CAST(state_id AS VARCHAR), '0 or 1', '2' FROM t WHERE state_id % 100 = 2
+UNION ALL SELECT 'constant label', CAST(problem_id AS VARCHAR), 'one', 'several' FROM t GROUP BY problem_id HAVING bool_or(state_id % 100 = 2) AND NOT bool_and(state_id % 100 = 2)
 UNION ALL SELECT 'buckets', CAST(problem_id AS VARCHAR), '10', CAST(b AS VARCHAR) FROM p WHERE b <> 10 OR m > 1"""
 )
 def dq_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = snapshots(spark, sf_dir).select((F.col("event_id") % 9000).alias("state_id"), F.col("trajectory_id").alias("problem_id"), "mask_ratio", F.floor(F.col("mask_ratio") * 10).alias("mask_bucket"))
-    rows = rows.withColumn("outcomes", F.array(*[F.lit(float(x)) for x in (1, 1, 0, 0, 0, 0, 0, 0)]))
-    return gates.states(rows.withColumn("fraction", F.when(F.col("state_id") % 100 == 0, 0.5).otherwise(0.25)))
+    many, few = (F.array(*[F.lit(float(x)) for x in xs]) for xs in ((1, 1, 0, 0, 0, 0, 0, 0), (1, 0, 0, 0)))
+    forged = lambda k: F.col("state_id") % 100 == k
+    rows = rows.withColumns({"outcomes": F.when(forged(1), few).otherwise(many), "fraction": F.when(forged(0), 0.5).otherwise(0.25), "y": F.when(forged(2), 2).otherwise(F.col("problem_id") % 2)})
+    return gates.states(rows, outcomes=8, label="y")
 
 
 @query(
@@ -144,15 +148,25 @@ def dq_pool_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SNAPSHOTS}, t AS (SELECT trajectory_id, list(step ORDER BY step) AS steps, list(mask_ratio ORDER BY step) AS ratios, count(*) AS n FROM s GROUP BY trajectory_id)
+    f"""WITH {SNAPSHOTS}, t AS (SELECT trajectory_id, list(step ORDER BY step) AS steps, list(mask_ratio ORDER BY step) AS ratios, count(*) AS n FROM s GROUP BY trajectory_id),
+d AS (SELECT *, CAST(CAST(('0x' || substr(sha256('[42,' || trajectory_id || ',0,"trajectory"]'), 1, 16)) AS UBIGINT) & 9223372036854775807::UBIGINT AS BIGINT) AS seed, sha256('[' || trajectory_id || ',7]') AS sha FROM t)
 SELECT 'steps' AS "check", trajectory_id || '/0' AS key, '64' AS expected, CAST(n AS VARCHAR) AS actual FROM t WHERE steps <> range(0, 64) UNION ALL SELECT 'ratios', trajectory_id || '/0', '64', CAST(n AS VARCHAR) FROM t WHERE n <> 64
-UNION ALL SELECT 'label', trajectory_id || '/0', 'true', 'false' FROM t WHERE trajectory_id % 10 = 3"""
+UNION ALL SELECT 'label', trajectory_id || '/0', 'true', 'false' FROM t WHERE trajectory_id % 10 = 3
+UNION ALL SELECT 'seed', trajectory_id || '/0', CAST(seed AS VARCHAR), CAST(seed - 1 AS VARCHAR) FROM d WHERE trajectory_id % 10 = 4
+UNION ALL SELECT 'calls', trajectory_id || '/0', '64', '63' FROM t WHERE trajectory_id % 10 = 5
+UNION ALL SELECT 'prompt', trajectory_id || '/0', sha, sha256('[7]') FROM d WHERE trajectory_id % 10 = 6
+UNION ALL SELECT 'trajectory', trajectory_id || '/0', '0..0', '0' FROM t WHERE false"""
 )
 def dq_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole trajectories against a schedule of 64 steps, which few of them have."""
+    """Whole trajectories against a schedule of 64 steps, which few of them have; labels, seeds, calls and prompt hashes of some are forged."""
     rows = snapshots(spark, sf_dir).groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("step", "mask_ratio"))).alias("s"))
     rows = rows.select(F.col("trajectory_id").alias("problem_id"), F.lit(0).alias("trajectory_id"), F.transform("s", lambda x: x["step"]).alias("snapshot_steps"), F.transform("s", lambda x: x["mask_ratio"]).alias("mask_ratios"), F.array_repeat(F.lit(1), 4).alias("generated_token_ids"), F.lit(True).alias("graded"))
-    return gates.trajectory(rows.withColumn("is_correct", F.col("problem_id") % 10 != 3), list(range(64)), 4)
+    forged = lambda k: F.col("problem_id") % 10 == k
+    rows = rows.withColumns({"_b": F.lit(42), "_s": F.lit("trajectory"), "prompt_ids": F.array(F.col("problem_id").cast("bigint"), F.lit(7).cast("bigint")), "is_correct": ~forged(3)})
+    seed = resample.derive_seed("_b", "problem_id", "trajectory_id", "_s")
+    told = F.when(forged(6), F.sha2(F.lit("[7]"), 256)).otherwise(gates.token_hash("prompt_ids"))
+    rows = rows.withColumns({"seed": seed - forged(4).cast("int"), "calls": F.lit(64) - forged(5).cast("int"), "prompt_sha256": told})
+    return gates.trajectory(rows, list(range(64)), 4, base_seed=42, samples=1, steps=64, prompts=True)
 
 
 @query(f"WITH {CANDIDATES} SELECT 'weight' AS \"check\", CAST(problem_id AS VARCHAR) AS key, 'finite, >= 0' AS expected, CAST(quantity - 2 AS VARCHAR) AS actual FROM c WHERE quantity < 2 UNION ALL SELECT 'sum', CAST(problem_id AS VARCHAR), '> 0', CAST(sum(quantity - 2) AS VARCHAR) FROM c GROUP BY problem_id HAVING sum(quantity - 2) <= 0")
@@ -172,6 +186,32 @@ def dq_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.contiguous_shards(rows.withColumns({"n": F.lit(25), "complete": F.col("shard") != 3}), "shard", "n", "complete")
 
 
+@query(
+    f"""WITH {CANDIDATES}, k AS (SELECT *, problem_id % 16 AS shard FROM c), m AS (SELECT unnest([3, 11]) AS shard)
+SELECT shard, count(*) AS n, count(*) FILTER (correct) AS n_correct, '3,11' AS lacking FROM k WHERE shard NOT IN (3, 11) GROUP BY 1"""
+)
+def merged_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of which one is absent and one not complete: the others pass their gates as one pool, and the two are named."""
+    pool = candidates(spark, sf_dir).withColumn("shard", F.col("problem_id") % 16).where("shard <> 3")
+    shards = pool.select("shard").distinct().withColumns({"num_shards": F.lit(16), "complete": F.col("shard") != 11, "seed": F.lit(42)})
+    rows, lacking = gates.merged_pool(pool, shards, ["problem_id", "sample_id"], ["seed"], missing="skip")
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct")).withColumn("lacking", F.lit(",".join(map(str, lacking))))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 100 AS h, CASE WHEN o_orderkey % 10 = 0 THEN 'validation' ELSE 'fit' END AS side FROM orders)
+SELECT 'missing' AS "check", CAST(o_orderkey AS VARCHAR) AS key, side AS expected, NULL AS actual FROM o WHERE h = 1 UNION ALL SELECT 'unknown', CAST(-o_orderkey AS VARCHAR), NULL, side FROM o WHERE h = 2
+UNION ALL SELECT 'side', CAST(o_orderkey AS VARCHAR), side, 'validation' FROM o WHERE h = 3 UNION ALL SELECT 'repeated', CAST(o_orderkey AS VARCHAR), '1', '2' FROM o WHERE h = 4"""
+)
+def dq_frozen_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split against the frozen one: some ids missing, unknown, on the other side, or twice there."""
+    hundred = F.col("o_orderkey") % 100
+    frozen = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "validation").otherwise("fit").alias("split"))
+    mine = frozen.where(hundred != 1).withColumn("split", F.when(hundred == 3, "validation").otherwise(F.col("split")))
+    mine = mine.union(mine.where(hundred == 4)).union(mine.where(hundred == 2).withColumn("o_orderkey", -F.col("o_orderkey")))
+    return gates.frozen_split(mine, frozen, "o_orderkey")
+
+
 @query(
     """WITH r AS (SELECT CASE WHEN c_custkey % 50 = 6 THEN -c_custkey - 1 ELSE c_custkey END AS id, c_nationkey AS place, sha256(c_name) AS sha, c_mktsegment AS gold, c_custkey % 50 AS f FROM customer)
 SELECT 'source' AS "check", CAST(id AS VARCHAR) AS key, 'known' AS expected, 'unknown' AS actual FROM r WHERE f = 6 UNION ALL SELECT 'problem_ordinal', CAST(id AS VARCHAR), CAST(place AS VARCHAR), CAST(place + 1 AS VARCHAR) FROM r WHERE f = 3

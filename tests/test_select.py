@@ -149,3 +149,10 @@ def test_one_value_goes_to_all_tasks(spark, kind):
         assert max(r["count"] for r in dealt) < 1100 and len(dealt) >= 6
         got = [(x.v, x[tie]) for x in numbered(rows, "v", tie).orderBy("ordinal").collect()]
         assert got == sorted(got, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
+def test_random_rerank_with_gaps(spark):
+    rows = [(p, s, s == 90) for p in range(60) for s in (3, 17, 90)]
+    df = spark.createDataFrame(rows, "problem_id bigint, sample_id bigint, correct boolean")
+    got = [r.accuracy for r in resample.random_rerank(df, 12).collect()]
+    assert len(got) == 12 and 0.2 < sum(got) / 12 < 0.47

@@ -69,6 +69,11 @@ def _pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))).otherwise(w)
 
 
+def _compared(docs: DataFrame, key: str, text: str, templates: dict[str, str] | None, least: int) -> DataFrame:
+    """`matches` with row, a number of the text's own, and a row of nulls for each text without a match."""
+    return _parts(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), templates, least)
+
+
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: int = LEAST) -> DataFrame:
     """key, line, last, licence, common, size, template_size: every part similar enough to a template.
 
@@ -79,11 +84,16 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     that matches has so many of the template's bigrams that its text has them too, and the words they are
     made of: texts are compared with a template only if they do. No shuffle; templates are part of the plan.
     """
+    rows = _compared(docs, key, text, templates, least)
+    return rows.where("licence IS NOT NULL").drop("row").withColumnRenamed("key", key)
+
+
+def _parts(docs: DataFrame, templates: dict[str, str] | None, least: int) -> DataFrame:
     known = {k: bigrams(t) for k, t in sorted((templates or TEMPLATES).items())}
     low = {k: bounds(len(g), least)[0] for k, g in known.items()}
     vocabulary = {k: sorted({w for x in g for w in x.split(" ")}) for k, g in known.items()}
     strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
-    lines = F.transform(F.split(folded(F.col(text)), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"[^{NOT_WORD}]+"), F.lit(0)))
+    lines = F.transform(F.split(folded(F.col("text")), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"[^{NOT_WORD}]+"), F.lit(0)))
     every = strings(sorted({w for v in vocabulary.values() for w in v}))
 
     def by_words(a: Column) -> Column:
@@ -91,14 +101,15 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
         met = lambda v: F.array_compact(F.array(*[F.when(F.size(F.array_intersect(v, strings(w))) >= fewest_words(known[k], low[k]), F.lit(k)) for k, w in vocabulary.items()]))
         return let(let(F.array_intersect(F.flatten(a), every), met), lambda m: F.when(F.size(m) > 0, F.struct(a.alias("lines"), m.alias("met"))))
 
-    some = docs.select(F.col(key).alias("key"), let(lines, by_words).alias("t")).where("t IS NOT NULL").select("key", "t.lines", "t.met")
+    # A text without enough words has no lines from here on, and goes through the rest as a row of nulls.
+    some = docs.select("key", "row", let(lines, by_words).alias("t")).select("key", "row", "t.lines", "t.met")
 
     def by_bigrams(g: Column) -> Column:
         one = [F.when(F.array_contains("met", k) & (F.size(F.array_intersect(g, strings(x))) >= low[k]), F.struct(F.lit(k).alias("licence"), strings(x).alias("template"))) for k, x in known.items()]
         return F.array_compact(F.array(*one))
 
     # A text of several words has no part's single word as a bigram: words are added to its bigrams.
-    met = some.select("key", "lines", F.inline(let(let(F.flatten("lines"), lambda w: F.concat(_pairs(w), w)), by_bigrams)))
+    met = some.select("key", "row", "lines", F.inline_outer(let(let(F.flatten("lines"), lambda w: F.concat(_pairs(w), w)), by_bigrams)))
 
     share = lambda p: 2000 * p["common"] / (p["size"] + F.size("template"))
 
@@ -114,7 +125,7 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     ends = F.aggregate(a, F.array().cast("array<int>"), lambda n, w: F.concat(n, F.array(F.coalesce(F.try_element_at(n, F.lit(-1)), F.lit(0)) + F.size(w))))
     touched = lambda t: F.filter(F.transform(a, lambda w, i: F.when(F.arrays_overlap(w, t), i + 1)), lambda i: i.isNotNull())
     whole = F.when(F.size(a) > 1, F.array(part(F.lit(0), F.lit(0), F.flatten(a)))).otherwise(empty)
-    met = met.select("key", "licence", "template", "lines", ends.alias("ends"), let(own, touched).alias("touched"), alike(F.concat(whole, F.transform(a, lambda w, i: part(i + 1, i + 1, w)))).alias("single"))
+    met = met.select("key", "row", "licence", "template", "lines", ends.alias("ends"), let(own, touched).alias("touched"), alike(F.concat(whole, F.transform(a, lambda w, i: part(i + 1, i + 1, w)))).alias("single"))
     most = (2000 - least) * F.size("template") / least + 1
 
     def spans_from(i: Column, at: Column) -> Column:
@@ -124,31 +135,32 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
         return F.transform(F.filter(later, lambda j: F.element_at("ends", j) - before <= most), lambda j: part(i, j, F.flatten(F.slice(F.col("lines"), i, j - i + 1))))
 
     spans = F.flatten(F.transform("touched", lambda i, at: alike(spans_from(i, at))))
-    met = met.select("key", "licence", "template", "single", spans.alias("spans"))
+    met = met.select("key", "row", "licence", "template", "single", spans.alias("spans"))
 
     def best(p: Column) -> Column:
         over = lambda q: (q["line"] == 0) | ((q["line"] <= p["last"]) & (q["last"] >= p["line"]))
         first = lambda q: (q["line"] < p["line"]) | ((q["line"] == p["line"]) & (q["last"] < p["last"]))
         return ~F.exists("single", lambda q: over(q) & (share(q) >= share(p))) & ~F.exists("spans", lambda q: over(q) & ((share(q) > share(p)) | ((share(q) == share(p)) & first(q))))
 
-    rows = met.select("key", "licence", F.size("template").alias("template_size"), F.inline(F.concat("single", F.filter("spans", best))))
-    rows = rows.select("key", "line", "last", "licence", "common", "size", "template_size")
-    return rows.where(2000 * F.col("common") >= least * (F.col("size") + F.col("template_size"))).withColumnRenamed("key", key)
+    rows = met.select("key", "row", F.col("licence").alias("name"), F.size("template").alias("template_size"), F.inline_outer(F.concat("single", F.filter("spans", best))))
+    ok = 2000 * F.col("common") >= least * (F.col("size") + F.col("template_size"))
+    return rows.select("key", "row", "line", "last", F.when(ok, F.col("name")).alias("licence"), "common", "size", "template_size")
 
 
 def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: int = LEAST) -> DataFrame:
     """key, n_matches, licences (sorted, comma-joined), best and best_permille (its Dice coefficient, in thousandths, rounded down).
 
-    Every row comes back, without a match with 0, an empty string and nulls; so do rows with a null key.
-    Rows that repeat a key share their matches, those on the same lines counted once. Ties for the best
-    go to the first name. Null and empty texts match nothing.
+    Every row comes back with the matches of its own text, whether its key is null or repeated; without one, with 0, an
+    empty string and nulls. Ties for the best go to the first name. Null and empty texts match nothing. One
+    shuffle, of a small row per text and match.
     """
-    found = matches(docs, key, text, templates, least)
+    found = _compared(docs, key, text, templates, least)
+    there = F.col("licence").isNotNull()
     dice = F.floor(2000 * F.col("common") / (F.col("size") + F.col("template_size"))).cast("bigint")
-    best = F.min(F.struct((-dice).alias("d"), "licence"))
-    per = found.groupBy(key).agg(F.size(F.collect_set(F.struct("line", "last", "licence"))).cast("bigint").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), best.alias("b"))
-    out = docs.select(key).join(per, key, "left")
-    return out.select(key, F.coalesce("n_matches", F.lit(0).cast("bigint")).alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"), F.col("b.licence").alias("best"), (-F.col("b.d")).alias("best_permille"))
+    best = F.min(F.when(there, F.struct((-dice).alias("d"), "licence")))
+    each = F.collect_set(F.when(there, F.struct("line", "last", "licence")))
+    per = found.groupBy("row").agg(F.any_value("key").alias(key), F.size(each).cast("bigint").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), best.alias("b"))
+    return per.select(key, "n_matches", "licences", F.col("b.licence").alias("best"), (-F.col("b.d")).alias("best_permille"))
 
 
 def oracle(least: int = LEAST) -> str:

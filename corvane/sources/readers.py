@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvane.operators.gates import GateError, require
+from corvane.operators.order import numbered
 
 #: Rows of score shards: {"items": [{"meta": {...}, "score": x}]} and {"results": [{...}]}.
 ITEM = "items array<struct<meta: struct<problem_id: bigint, trajectory_id: bigint, seed: bigint, is_correct: boolean, answer: string>, score: double>>"
@@ -54,30 +60,67 @@ def gold_of(solution: Column) -> Column:
     return F.regexp_replace(F.trim(F.element_at(F.split(solution, "####"), -1)), ",", "")
 
 
+def _ordinals(rows: DataFrame, order: str) -> DataFrame:
+    """rows with `ordinal`, their place in the order of a number or a text, without a task that sees them all."""
+    if isinstance(rows.schema[order].dataType, T.StringType):
+        return numbered(rows.withColumn("_one", F.lit(0)), "_one", order).drop("_one", "total")
+    return numbered(rows, order).drop("total")
+
+
 def problems(rows: DataFrame, order: str, question: str = "question", solution: str = "answer") -> DataFrame:
     """global_problem_id (the place in scan order), question, gold_answer and the full solution."""
-    place = F.row_number().over(Window.orderBy(order)) - 1  # a problem set is thousands of rows
-    return rows.select(place.cast("bigint").alias("global_problem_id"), F.col(question).alias("question"), gold_of(F.col(solution)).alias("gold_answer"), F.col(solution).alias("full_gold_solution"))
+    return _ordinals(rows, order).select(F.col("ordinal").cast("bigint").alias("global_problem_id"), F.col(question).alias("question"), gold_of(F.col(solution)).alias("gold_answer"), F.col(solution).alias("full_gold_solution"))
+
+
+def question_list_sha256() -> Column:
+    """Aggregate over global_problem_id, problem_sha256 and problem_ordinal: the hash of both as a JSON list, in order; a small record per problem."""
+    each = F.collect_list(F.struct("problem_ordinal", F.struct("global_problem_id", "problem_sha256").alias("record")))
+    return F.sha2(F.to_json(F.transform(F.array_sort(each), lambda p: p["record"])), 256)
+
+
+def pinned(rows: DataFrame, order: str, pins: Mapping[str, object], key: str = "unique_id", question: str = "problem", revision: str | None = None) -> DataFrame:
+    """A pinned problem set: its rows with global_problem_id, problem_ordinal and problem_sha256, once it is what its pins say.
+
+    pins may hold revision, count, and question_list_sha256 (see `question_list_sha256`). With pins a row without an id is an
+    error, without any it gets "test:" and its place; an id that repeats always is one.
+    """
+    known = _ordinals(rows, order).withColumn("global_problem_id", F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("test:"), F.col("ordinal").cast("string"))))
+    known = known.withColumns({"problem_ordinal": F.col("ordinal").cast("bigint"), "problem_sha256": F.sha2(question, 256)}).drop("ordinal")
+    if "revision" in pins and revision != pins["revision"]:
+        raise GateError("revision", [(pins["revision"], revision)])
+    require("repeated ids", duplicates(known, "global_problem_id"))
+    seen = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col(key), F.lit("")) == "").alias("unnamed")).first()
+    if pins and seen["unnamed"]:
+        raise GateError("rows without an id", [(seen["unnamed"],)])
+    if "count" in pins and seen["n"] != pins["count"]:
+        raise GateError("count", [(pins["count"], seen["n"])])
+    if "question_list_sha256" in pins:
+        found = known.agg(question_list_sha256().alias("h")).first()["h"]
+        if found != pins["question_list_sha256"]:
+            raise GateError("question list", [(pins["question_list_sha256"], found)])
+    return known
 
 
 def union_of_configs(parts: dict[str, DataFrame], order: str, overrides: dict[str, str], gold: Column, counts: dict[str, int] | None = None) -> DataFrame:
     """All configurations with ids config:train:row and a global ordinal; overrides replace the gold answer.
 
-    With `counts`, a configuration of another size is an error.
+    With `counts`, a configuration of another size is an error. All sizes come from one pass over the union; a row's
+    global ordinal is its place behind the rows of the configurations before.
     """
-    out = None
-    for k, name in enumerate(sorted(parts)):
-        row = F.row_number().over(Window.orderBy(order)) - 1
-        if counts and (n := parts[name].count()) != counts.get(name):
-            raise ValueError(f"{name}: {n} rows, not {counts.get(name)}")
-        one = parts[name].withColumns({"source_config": F.lit(name), "config_order": F.lit(k), "source_row_index": row.cast("bigint")})
-        out = one if out is None else out.unionByName(one)
-    key = F.concat_ws(":", "source_config", F.lit("train"), F.col("source_row_index").cast("string"))
-    out = out.withColumns({"global_problem_id": key, "gold_answer": gold, "problem_ordinal": (F.row_number().over(Window.orderBy("config_order", "source_row_index")) - 1).cast("bigint")})
+    names = sorted(parts)
+    ranked = {n: _ordinals(parts[n], order).withColumn("source_config", F.lit(n)) for n in names}
+    every = reduce(DataFrame.unionByName, ranked.values())
+    sizes = {r["source_config"]: r["n"] for r in every.groupBy("source_config").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts and (wrong := [(n, sizes.get(n, 0), counts.get(n)) for n in names if sizes.get(n, 0) != counts.get(n)]):
+        raise ValueError(f"{wrong[0][0]}: {wrong[0][1]} rows, not {wrong[0][2]}")
+    starts = dict(zip(names, accumulate([0, *[sizes.get(n, 0) for n in names]]), strict=False))
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("source_config"))
+    key = F.concat_ws(":", "source_config", F.lit("train"), F.col("ordinal").cast("string"))
+    out = every.withColumns({"source_row_index": F.col("ordinal").cast("bigint"), "global_problem_id": key, "gold_answer": gold, "problem_ordinal": (start + F.col("ordinal")).cast("bigint")})
     if overrides:
         known = F.create_map(*[F.lit(x) for kv in overrides.items() for x in kv])
         out = out.withColumn("gold_answer", F.coalesce(F.try_element_at(known, F.col("global_problem_id")), F.col("gold_answer")))
-    return out.drop("config_order")
+    return out.drop("ordinal")
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:

@@ -20,11 +20,15 @@ def merged_name(stem: str) -> str:
     return f"{stem}_merged.json"
 
 
-def payloads(rows: DataFrame, shard: str, order: str, manifest: dict) -> DataFrame:
-    """shard and payload: one JSON object per shard with its rows in order, its size and the manifest."""
+def payloads(rows: DataFrame, shard: str, order: str, manifest: dict, summary: Mapping[str, Column] | None = None) -> DataFrame:
+    """shard and payload: one JSON object per shard with its rows in order, its size, the manifest, and `summary`, aggregates over its rows.
+
+    A payload is one value, so a shard is as large as that may be; for larger ones see `shards.ShardSource`.
+    """
     fields = [c for c in rows.columns if c != shard]
-    per = rows.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("row")))).alias("r"), F.count(F.lit(1)).alias("n"))
-    body = F.struct(F.lit(True).alias("complete"), F.lit(json.dumps(manifest, sort_keys=True)).alias("manifest"), F.col("n").alias("num_rows"), F.transform("r", lambda x: x["row"]).alias("per_problem"), F.col(shard).alias("shard_id"))
+    said = [F.struct(*[c.alias(n) for n, c in summary.items()]).alias("summary")] if summary else []
+    per = rows.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("row")))).alias("r"), F.count(F.lit(1)).alias("n"), *said)
+    body = F.struct(F.lit(True).alias("complete"), F.lit(json.dumps(manifest, sort_keys=True)).alias("manifest"), F.col("n").alias("num_rows"), F.transform("r", lambda x: x["row"]).alias("per_problem"), F.col(shard).alias("shard_id"), *(["summary"] if summary else []))
     return per.select(shard, F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 

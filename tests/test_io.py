@@ -1,11 +1,13 @@
 """Readers, writers and streams on small files."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text
+from corvane.operators.gates import GateError
 from corvane.sources import readers, sinks
 from corvane.streaming import incremental
 
@@ -65,6 +67,8 @@ def test_payloads_and_atomic_files(spark, tmp_path):
     rows = spark.createDataFrame([(0, 2, "b"), (0, 1, None), (1, 5, "c")], "shard int, pid int, a string")
     got = {r.shard: json.loads(r.payload) for r in sinks.payloads(rows, "shard", "pid", {"seed": 42}).collect()}
     assert [x["pid"] for x in got[0]["per_problem"]] == [1, 2] and got[0]["per_problem"][0]["a"] is None and got[1]["num_rows"] == 1
+    with_summary = {r.shard: json.loads(r.payload)["summary"] for r in sinks.payloads(rows, "shard", "pid", {}, {"named": F.count("a"), "highest": F.max("pid")}).collect()}
+    assert with_summary == {0: {"named": 1, "highest": 2}, 1: {"named": 1, "highest": 5}}
     for value in ({"b": 1, "a": "é"}, {"c": 2}):
         sinks.write_json_atomic(spark, value, f"{tmp_path}/out.json")
         assert json.loads((tmp_path / "out.json").read_text()) == value
@@ -88,3 +92,23 @@ def test_stream_takes_each_row_once_over_restarts(spark, tmp_path):
     assert sorted(got) == list(range(30))
     incremental.replaced(incremental.sessions(incremental.arriving(spark, src), "ts", "90 seconds", ["k"]), f"{tmp_path}/s", f"{tmp_path}/state2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/s").agg(F.sum("n")).first()[0] == 40
+
+
+def test_pinned_sets(spark):
+    texts = [f"What is {k} + {k}?" for k in range(25)]
+    rows = spark.createDataFrame([(f"test/{k:03d}.json", t, k) for k, t in enumerate(texts)], "unique_id string, problem string, row int").repartition(4)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    listed = [{"global_problem_id": f"test/{k:03d}.json", "problem_sha256": sha(t)} for k, t in enumerate(texts)]
+    pins = {"revision": "r1", "count": 25, "question_list_sha256": sha(json.dumps(listed, sort_keys=True, separators=(",", ":"), ensure_ascii=False))}
+    for order in ("row", "unique_id"):
+        got = readers.pinned(rows, order, pins, revision="r1").orderBy("problem_ordinal").collect()
+        assert [(r.global_problem_id, r.problem_sha256) for r in got] == [tuple(x.values()) for x in listed]
+    for pin, value in (("revision", "r2"), ("count", 24), ("question_list_sha256", "0" * 64)):
+        with pytest.raises(GateError):
+            readers.pinned(rows, "row", pins | {pin: value}, revision="r1")
+    some = rows.withColumn("unique_id", F.when(F.col("row") != 3, F.col("unique_id")))
+    assert "test:3" in {r.global_problem_id for r in readers.pinned(some, "row", {}).collect()}
+    with pytest.raises(GateError, match="without an id"):
+        readers.pinned(some, "row", {"count": 25})
+    with pytest.raises(GateError, match="repeated"):
+        readers.pinned(rows.union(rows.limit(1)), "row", {})

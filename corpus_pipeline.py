@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, decontaminate, neardup, quality, secret_scan
-from corvane.llm.common import compact, written
+from corvane.llm.common import compact, dropped, written
 from corvane.llm.queries import tokenizer_path
 from corvane.session import table
 
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last stage returns for the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage returns for the table documents. A stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -164,6 +164,7 @@ def branch_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SNAPSHOTS} SELECT trajectory_id, step, CASE WHEN step = 127 THEN n ELSE CAST(floor(n * (1 - (1 - (step + 1) * 0.999 / 128) / (1 - step * 0.999 / 128))) AS BIGINT) END AS transferred FROM s WHERE step < 128")
 def transfer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule has 128 steps, and the last transfers all that is left: a trajectory's events beyond them lie outside of it."""
     return snapshots(spark, sf_dir).where("step < 128").select("trajectory_id", "step", particles.transfer_count(F.col("n"), F.col("step"), 128).alias("transferred"))
 
 

@@ -230,15 +230,23 @@ def dq_source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.source_identity(rows, source, "problem_id", {"problem_ordinal": "ordinal", "problem_sha256": "sha", "answer_target": "gold_answer"})
 
 
-@query("SELECT n_regionkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') AS identity, count(*) AS n FROM nation GROUP BY 1, 2")
+@query(
+    """WITH r AS (SELECT l_suppkey % 16 AS shard, '{"kind":"' || l_returnflag || '","seed":' || 42 + l_suppkey % 4 || ',"shards":16}' AS text FROM lineitem)
+SELECT shard, sha256(text) AS identity, count(*) AS n FROM r GROUP BY 1, 2"""
+)
 def manifest_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.identity(table(spark, sf_dir, "nation"), ["n_nationkey"]).groupBy("n_regionkey", "identity").agg(F.count(F.lit(1)).alias("n"))
+    """The identity of every row's manifest without what may vary (shard and row), by shard."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("shard"), F.col("l_returnflag").alias("kind"), (42 + F.col("l_suppkey") % 4).alias("seed"), F.lit(16).alias("shards"), F.col("l_orderkey").alias("row"))
+    return lineage.identity(rows, ["shard", "row"]).groupBy("shard", "identity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT r_regionkey, sha256('{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}') AS sha FROM region")
+@query(
+    """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":' || CASE WHEN c_custkey % 7 = 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || ',"c_name":"' || replace(c_name, '#', chr(92) || '"') || '","c_nationkey":' || c_nationkey || '}') AS sha FROM customer"""
+)
 def canonical_json_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return regions.select("r_regionkey", F.sha2(lineage.canonical_struct(regions), 256).alias("sha"))
+    """Customers as JSON with sorted keys: numbers, texts with quotation marks in them, and nulls."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.regexp_replace("c_name", "#", '"').alias("c_name"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), "c_custkey")
+    return rows.select("c_custkey", F.sha2(lineage.canonical_struct(rows), 256).alias("sha"))
 
 
 @query()

@@ -20,7 +20,7 @@ WINDOW, MASK, LONGEST = 24, (1 << 9) - 1, 1 << 13
 #: Bytes of chunks and ids that a worker keeps for reuse.
 KEPT_BYTES = 16 << 20
 #: Different words behind a space that it keeps with their ids.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 
 def safe_places(raw: np.ndarray) -> np.ndarray:

@@ -92,7 +92,6 @@ SELECT l_partkey AS problem_id, count(*) AS num_candidates, any_value(b.answer)
 )
 def stream_vote_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools of a part's order lines: three shards in three runs of one stream, the first shard twice; equals the vote over all of them."""
-    ship(spark)
     from pyspark.sql import Window
 
     place = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
@@ -100,9 +99,9 @@ def stream_vote_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("sample_id", (F.row_number().over(place) - 1).cast("bigint"))
     pool = rows.select(F.col("l_partkey").alias("problem_id"), "sample_id", answer.alias("answer"), (F.col("l_returnflag") == "N").alias("correct"), F.lit("pool-a").alias("identity"))
     at = own_dir(spark, "pools")
+    pool.withColumn("shard", F.col("sample_id") % 3).write.partitionBy("shard").parquet(f"{at}/shards")  # places are numbered once
     for shard in (0, 1, 2):
-        pool.where(F.col("sample_id") % 3 == shard).write.mode("append").parquet(f"{at}/in")
-        if shard == 1:
-            pool.where(F.col("sample_id") % 3 == 0).write.mode("append").parquet(f"{at}/in")
+        for arrives in (1, 0) if shard == 1 else (shard,):
+            spark.read.schema(pool.schema).parquet(f"{at}/shards/shard={arrives}").write.mode("append").parquet(f"{at}/in")
         pools.kept(pools.readouts(incremental.arriving(spark, f"{at}/in", files=64)), f"{at}/out", f"{at}/state").awaitTermination()
     return pools.latest(spark.read.parquet(f"{at}/out")).drop("repeated")

@@ -165,3 +165,37 @@ def test_pools_stop_at_another_identity(spark, tmp_path):
     add([(2, 1, "c", True, "other")])
     with pytest.raises(Exception, match="a shard of other"):
         run()
+
+
+def test_pools_of_many_problems_need_no_python(spark, tmp_path):
+    """One call of Python per problem and batch was too slow; votes, ties and repeats against a plain version."""
+    rows = [(p, s, [None, "a", "b", "c"][(p * 7 + s * s) % 4], (p + s) % 2 == 0, "p") for p in range(3000) for s in range(p % 9 + 1)]
+    kind = "problem_id bigint, sample_id bigint, answer string, correct boolean, identity string"
+    for part in (0, 1, 0):
+        spark.createDataFrame([r for r in rows if r[1] % 2 == part], kind).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = pools.readouts(incremental.arriving(spark, f"{tmp_path}/in", kind))
+        pools.kept(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "FlatMapGroups" not in plan
+    want, per = {}, {}
+    for p, s, a, ok, _ in rows:
+        per.setdefault(p, []).append((s, a, ok))
+    for p, cs in per.items():
+        votes = {a: (sum(x[1] == a for x in cs), -min(x[0] for x in cs if x[1] == a)) for _, a, _ in cs if a is not None}
+        best = max(votes, key=votes.get, default=None)
+        low = -votes[best][1] if votes else None
+        want[p] = (len(cs), best, votes[best][0] if votes else 0, low, next((x[2] for x in cs if x[0] == low), False), sum(x[0] % 2 == 0 for x in cs))
+    got = {r.problem_id: (r.num_candidates, r.answer, r.votes, r.sample_id, r.correct, r.repeated) for r in pools.latest(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("again", [(1, 0, "b", True, "p"), (1, 0, "a", False, "p"), (1, 0, "a", True, None), (1, None, "a", True, "p")])
+def test_pools_stop_at_a_candidate_that_changed(spark, tmp_path, again):
+    kind = "problem_id bigint, sample_id bigint, answer string, correct boolean, identity string"
+    for rows in ([(1, 0, "a", True, "p")], [again]):
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{tmp_path}/in")
+        query = pools.kept(pools.readouts(incremental.arriving(spark, f"{tmp_path}/in", kind)), f"{tmp_path}/out", f"{tmp_path}/state")
+        if rows[0] is not again:
+            query.awaitTermination()
+    with pytest.raises(Exception, match="problem 1: a (candidate|shard)"):
+        query.awaitTermination()

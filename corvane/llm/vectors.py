@@ -72,7 +72,7 @@ def summed(df: DataFrame, made: Callable[[pa.RecordBatch], np.ndarray], shape: t
     rows = df.mapInArrow(giving_back(run), f"cell bigint, v {'string' if exact else 'double'}")
     value = F.sum(F.col("v").cast("decimal(38,0)")) if exact else F.sum("v")
     out = np.zeros(cells, object if exact else float)
-    for r in rows.groupBy("cell").agg(value.alias("v")).toLocalIterator():
+    for r in rows.groupBy("cell").agg(value.alias("v")).collect():  # cells alone, in one job; toLocalIterator runs a job a partition
         out[r["cell"]] = int(r["v"]) if exact else r["v"]
     return out.reshape(shape)
 

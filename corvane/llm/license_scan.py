@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,6 @@ TEMPLATES = {
 
 
 def _split(text: str) -> list[str]:
-    import re
-
     return [x for x in re.split(f"[{NOT_WORD}]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if x]
 
 
@@ -69,6 +70,12 @@ def _pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))).otherwise(w)
 
 
+def _spaced(text: Column) -> Column:
+    """The text in lower case (A-Z alone) with a space in place of every character that is in no word."""
+    other = "".join(c for c in map(chr, range(128)) if re.fullmatch(f"[{NOT_WORD}]", c) and not "A" <= c <= "Z")
+    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase + other, string.ascii_lowercase + " " * len(other))
+
+
 def _compared(docs: DataFrame, key: str, text: str, templates: dict[str, str] | None, least: int) -> DataFrame:
     """`matches` with row, a number of the text's own, and a row of nulls for each text without a match."""
     return _parts(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), templates, least)
@@ -96,13 +103,15 @@ def _parts(docs: DataFrame, templates: dict[str, str] | None, least: int) -> Dat
     lines = F.transform(F.split(folded(F.col("text")), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"[^{NOT_WORD}]+"), F.lit(0)))
     every = strings(sorted({w for v in vocabulary.values() for w in v}))
 
-    def by_words(a: Column) -> Column:
-        """The text's lines as words, and the templates whose words it has enough of; null without any."""
-        met = lambda v: F.array_compact(F.array(*[F.when(F.size(F.array_intersect(v, strings(w))) >= fewest_words(known[k], low[k]), F.lit(k)) for k, w in vocabulary.items()]))
-        return let(let(F.array_intersect(F.flatten(a), every), met), lambda m: F.when(F.size(m) > 0, F.struct(a.alias("lines"), m.alias("met"))))
+    def by_words(v: Column) -> Column:
+        """The templates whose words a text has enough of, from those words of it that any template has."""
+        enough = lambda k, w: (F.size(v) >= fewest_words(known[k], low[k])) & (F.size(F.array_intersect(v, strings(w))) >= fewest_words(known[k], low[k]))
+        return F.array_compact(F.array(*[F.when(enough(k, w), F.lit(k)) for k, w in vocabulary.items()]))
 
+    # Most texts end here: without their lines, by the same words, from a split at one character in place of a regular expression.
+    met_words = let(F.array_intersect(F.split(_spaced(F.col("text")), " "), every), by_words)
     # A text without enough words has no lines from here on, and goes through the rest as a row of nulls.
-    some = docs.select("key", "row", let(lines, by_words).alias("t")).select("key", "row", "t.lines", "t.met")
+    some = docs.select("key", "row", let(met_words, lambda m: F.when(F.size(m) > 0, F.struct(lines.alias("lines"), m.alias("met")))).alias("t")).select("key", "row", "t.lines", "t.met")
 
     def by_bigrams(g: Column) -> Column:
         one = [F.when(F.array_contains("met", k) & (F.size(F.array_intersect(g, strings(x))) >= low[k]), F.struct(F.lit(k).alias("licence"), strings(x).alias("template"))) for k, x in known.items()]
@@ -114,8 +123,9 @@ def _parts(docs: DataFrame, templates: dict[str, str] | None, least: int) -> Dat
     share = lambda p: 2000 * p["common"] / (p["size"] + F.size("template"))
 
     def part(first: Column, last: Column, w: Column) -> Column:
-        g = F.array_distinct(_pairs(w))
-        return F.struct(first.cast("int").alias("line"), last.cast("int").alias("last"), F.size(F.array_intersect(g, F.col("template"))).alias("common"), F.size(g).alias("size"))
+        # Once each: _pairs asks for w at every word, and a part's words may have to be joined from lines.
+        sized = lambda g: F.struct(first.cast("int").alias("line"), last.cast("int").alias("last"), F.size(F.array_intersect(g, F.col("template"))).alias("common"), F.size(g).alias("size"))
+        return let(let(w, lambda v: F.array_distinct(_pairs(v))), sized)
 
     empty = F.array().cast("array<struct<line:int,last:int,common:int,size:int>>")
     alike = lambda parts: F.filter(parts, lambda p: 2000 * p["common"] >= least * (p["size"] + F.size("template")))
@@ -165,8 +175,6 @@ def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", templates
 
 def oracle(least: int = LEAST) -> str:
     """DuckDB SQL of `licences` over documents whose notices stand on one line or are the whole text: it has no spans of lines."""
-    import string
-
     fold = f"translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     split = f"regexp_extract_all({fold % 'part'}, '[^{NOT_WORD}]+')"
     known = ", ".join(f"('{name}', [{', '.join(repr(x) for x in bigrams(t))}])" for name, t in sorted(TEMPLATES.items()))

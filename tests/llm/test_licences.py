@@ -54,3 +54,15 @@ def test_notices_over_several_lines(spark):
     assert got[1, 0, 0, "MIT-full"] > 900 and got[2, 0, 0, "BSD-2-Clause-full"] > 900
     assert got[1, 5, 7, "MIT-text"] == 1000 and got[4, 121, 122, "CC-BY-4.0"] == 1000
     assert {k for k in got if k[0] in (5, 6)} == {(6, 121, 121, "MIT")}
+
+
+def test_words_are_split_once_and_only_where_they_may_match(spark):
+    """A part's words were joined from lines again at every word; texts without a template's words met the regular expression."""
+    marks = "".join(map(chr, [*range(0x0A), *range(0x0B, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+    words = TEMPLATES["MIT"].split()
+    texts = [*(c.join(words) for c in marks), "ä " + TEMPLATES["MIT"].upper(), TEMPLATES["MIT"].replace("MIT", "MİT"), TEMPLATES["MIT"].replace("License", "K License"), None, "", "\x00", "prose"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.line, r.licence, r.common, r["size"]) for r in license_scan.matches(docs).collect()}
+    assert got == {(i, *m) for i, t in enumerate(texts) for m in plain(t or "")} and len(got) > len(marks)
+    plan = license_scan.licences(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(slice(") == 1 and "split(translate(" in plan
